@@ -137,7 +137,7 @@ def cleaning_report(raw: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     body = kept.crossJoin(stats).agg(
         F.count(F.lit(1)).alias("rows_kept"),
         F.count_if((f < lo) | (f > hi)).alias("funding_outliers"),
-        F.round(F.max("f__cap"), 4).alias("cap_value"),
+        F.max("f__cap").alias("cap_value"),
         F.count_if(f > F.col("f__cap")).alias("capped_rows"),
         F.count_if((rounds_fixed > 0) & capped.isNull()).alias("suspicious_rounds"),
         F.count_if(first.isNotNull() & founded.isNotNull() & (first < founded)).alias("date_fixes"),

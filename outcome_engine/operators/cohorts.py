@@ -16,13 +16,21 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import exprs as X
 
-IS_CONCLUDED = F.col("success_category").isin("Success", "Failed")
-IS_SUCCESS = F.col("success_category") == "Success"
-IS_FAILED = F.col("success_category") == "Failed"
+
+def is_concluded() -> Column:
+    return F.col("success_category").isin("Success", "Failed")
+
+
+def is_success() -> Column:
+    return F.col("success_category") == "Success"
+
+
+def is_failed() -> Column:
+    return F.col("success_category") == "Failed"
 
 
 def concluded(df: DataFrame) -> DataFrame:
-    return df.where(IS_CONCLUDED)
+    return df.where(is_concluded())
 
 
 def value_counts(df: DataFrame, key: str | Column, name: str | None = None, top: int | None = None) -> DataFrame:
@@ -44,9 +52,10 @@ def top_k(df: DataFrame, value: str, key: str, k: int, rank_name: str = "rank")
     return best.withColumn(rank_name, F.row_number().over(w))  # window over <= k rows
 
 
-def rate_by(df: DataFrame, keys: Sequence[str | Column], success: Column = IS_SUCCESS,
+def rate_by(df: DataFrame, keys: Sequence[str | Column], success: Column | None = None,
             min_n: int | None = None) -> DataFrame:
     """Per group: rows, successes and the success rate in percent (``n > min_n`` if given)."""
+    success = is_success() if success is None else success
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(success).alias("n_success"))
     out = out.withColumn("success_rate", X.pct(F.col("n_success"), F.col("n")))
     if min_n is not None:
@@ -63,13 +72,14 @@ def bucket_labels(df: DataFrame, labels: Sequence[str], name: str) -> DataFrame:
 
 
 def rate_by_bucket(df: DataFrame, value: str | Column, bucket_def, name: str,
-                   success: Column = IS_SUCCESS, keep_empty: bool = True) -> DataFrame:
+                   success: Column | None = None, keep_empty: bool = True) -> DataFrame:
     """Success rate per right-closed bucket of ``value``; empty buckets get a null rate.
 
     Rows outside every bucket (e.g. age 0 with a bucket starting at 0) drop out,
     as with ``pandas.cut``.
     """
     edges, labels, lowest = bucket_def
+    success = is_success() if success is None else success
     v = F.col(value) if isinstance(value, str) else value
     b = df.select(X.bucketize(v, edges, labels, lowest).alias(name), success.alias("_s")).where(F.col(name).isNotNull())
     agg = b.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.count_if("_s").alias("n_success"))

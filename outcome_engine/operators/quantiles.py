@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..session import cut_lineage
 
 
 def _long(df: DataFrame, values: Mapping[str, Column | str], by: Sequence[str]) -> DataFrame:
@@ -100,14 +101,17 @@ def quantile_row(df: DataFrame, values: Mapping[str, Column | str], probs: Seque
                  names: Sequence[str], settings: Settings = DEFAULT) -> DataFrame:
     """A single row with columns ``<measure>__<name>``; all-null measures give null.
 
-    The result has exactly one row (bounded), so callers may broadcast it.
+    The row is computed now and checkpointed (reliably, into the shared
+    checkpoint folder): later plans reference one stored row instead of
+    re-planning the whole input lineage, and it survives executor loss.  It
+    has exactly one row, so callers broadcast it.
     """
     table = quantile_table(df, values, probs, names, settings=settings)
     cols = []
     for m in values:
         for nm in names:
             cols.append(F.max(F.when(F.col("measure") == m, F.col(nm))).alias(f"{m}__{nm}"))
-    return table.agg(*cols)
+    return cut_lineage(table.agg(*cols))
 
 
 def grouped_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float], names: Sequence[str],

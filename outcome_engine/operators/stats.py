@@ -139,9 +139,9 @@ def completeness(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 
 
 def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Missing count and percent per column in one aggregation pass (column, n_missing, missing_pct)."""
+    """Missing count and percent per column in one aggregation pass (column_name, n_missing, missing_pct)."""
     cols = list(columns or df.columns)
     row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_missing")) for c in cols])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_missing")) for c in cols])
     out = row.select("_n", F.explode(cells).alias("c")).select("_n", "c.*")
-    return out.select("column", "n_missing", X.pct(F.col("n_missing"), F.col("_n")).alias("missing_pct"))
+    return out.select("column_name", "n_missing", X.pct(F.col("n_missing"), F.col("_n")).alias("missing_pct"))
