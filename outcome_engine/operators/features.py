@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import DEFAULT, Settings
 from ..functions import exprs as X
-from ..session import cut_lineage
+from ..session import cut_lineage, sized_broadcast
 from .quantiles import quantile_row
 
 # Float-typed columns of the feature frame, winsorized to [q01, q99] then median-filled.
@@ -175,6 +175,10 @@ def fit_features(train: DataFrame, settings: Settings = DEFAULT) -> FeatureModel
         F.coalesce(F.col("f__p90"), F.col("_mx")).alias("_p90")))
     # fitted encoding tables: one row per category / country / (category, year); stored once
     density, cat_rates, cty_rates = cut_lineage(density), cut_lineage(cat_rates), cut_lineage(cty_rates)
+    # keyed tables: one row per category / country / (category, year); broadcast behind a row-count check
+    density, _ = sized_broadcast(density)
+    cat_rates, _ = sized_broadcast(cat_rates)
+    cty_rates, _ = sized_broadcast(cty_rates)
     partial = FeatureModel(base, density, cat_rates, cty_rates, risk, winsor=None, settings=settings,
                            has_target=has_target)
     b = _stage_b(a, partial)

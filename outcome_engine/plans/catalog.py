@@ -8,21 +8,35 @@ matching DuckDB SQL lives in ``oracle_sql``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..operators.clean import clean, cleaning_report
+from ..session import cut_lineage
 from ..sources.fixture import ventures_raw
 from . import panels as P
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def ventures(spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT) -> DataFrame:
-    """The cleaned venture table derived from the scale-factor folder."""
-    return clean(ventures_raw(spark, sf_dir), settings)
+def ventures(spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT, stored: bool = True) -> DataFrame:
+    """The cleaned venture table derived from the scale-factor folder.
+
+    ``stored``: write it once to the shared checkpoint folder (the cleaned-table
+    sink of the original flow); every statistic and panel that follows reads the
+    stored table instead of re-deriving it from the raw tables.  The stored
+    table is shared by the queries of one session.
+    """
+    return _ventures(spark, sf_dir, settings, stored)
+
+
+@lru_cache(maxsize=8)
+def _ventures(spark: SparkSession, sf_dir: str, settings: Settings, stored: bool) -> DataFrame:
+    v = clean(ventures_raw(spark, sf_dir), settings)
+    return cut_lineage(v) if stored else v
 
 
 def _clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:

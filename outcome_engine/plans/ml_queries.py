@@ -33,6 +33,12 @@ def _round_doubles(df: DataFrame, digits: int = DIGITS, skip: tuple = ()) -> Dat
 
 
 def training_frame(spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT):
+    """Cleaned table, fitted feature statistics and the training feature frame (shared per session)."""
+    return _training_frame(spark, sf_dir, settings)
+
+
+@lru_cache(maxsize=8)
+def _training_frame(spark: SparkSession, sf_dir: str, settings: Settings):
     v = ventures(spark, sf_dir, settings)
     train = FE.with_target(v)
     model = FE.fit_features(train, settings)
@@ -152,7 +158,7 @@ def _ins_report(spark, sf_dir):
 
 # ------------------------------------------------------------------ model-dependent (rows-only check)
 @lru_cache(maxsize=4)
-def trained(spark: SparkSession, sf_dir: str):
+def trained(spark: SparkSession, sf_dir: str, grid: str = "quick"):
     """Select features, scale, split and train the model families once per (session, folder)."""
     from ..operators import models as MD
     v, fmodel, feat = training_frame(spark, sf_dir)
@@ -160,11 +166,12 @@ def trained(spark: SparkSession, sf_dir: str):
     chosen = sel["selected"]
     prepared = sel["prepared"]
     scaler = PR.fit_robust_scaler(prepared, chosen)
-    split = PR.stratified_split(prepared.select("venture_id", "target"), label="target")
+    # quick preset for the registered query: 3 folds, one configuration per family
+    split = PR.stratified_split(prepared.select("venture_id", "target"), label="target", n_folds=3)
     data = (PR.robust_scale(prepared, scaler, chosen, keep=["venture_id", "target"])
             .join(split.drop("target"), "venture_id").withColumnRenamed("target", "label"))
     data = data.persist()
-    res = MD.train_models(data, chosen)
+    res = MD.train_models(data, chosen, grid=grid)
     return {"ventures": v, "features": fmodel, "selection": sel, "scaler": scaler, "result": res, "data": data}
 
 
@@ -195,12 +202,14 @@ def _sco_model_predictions(spark, sf_dir):
     t = trained(spark, sf_dir)
     res = t["result"]
     op = t["features"].transform(t["ventures"].where(F.col("status") == "operating"))
-    prepared_op = SEL.prepare(op, res.features, keep=["venture_id", "name", "primary_category", "country_code",
-                                                      "funding_total_usd", "company_age_years"])
-    scaled = PR.robust_scale(prepared_op, t["scaler"], res.features,
-                             keep=["venture_id", "name", "primary_category", "country_code", "funding_total_usd",
-                                   "company_age_years"])
+    shown = ["name", "primary_category", "country_code", "funding_total_usd", "company_age_years"]
+    op = op.select("*", *[F.col(c).alias(f"_show_{c}") for c in shown])
+    keep = ["venture_id"] + [f"_show_{c}" for c in shown]
+    prepared_op = SEL.prepare(op, res.features, keep=keep)
+    scaled = PR.robust_scale(prepared_op, t["scaler"], res.features, keep=keep)
     scored = MD.predict(res.models, res.best_name, scaled)
+    scored = scored.select("venture_id", "success_probability", "predicted_success",
+                           *[F.col(f"_show_{c}").alias(c) for c in shown])
     return SC.prediction_table(scored)
 
 

@@ -11,6 +11,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "outcome_engine",
@@ -54,3 +55,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss) into the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROW_LIMIT = 2_000_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame, bool]:
+    """Broadcast ``df`` only behind a size check.
+
+    Meant for small stored tables (checkpointed fitted statistics), where the
+    count is cheap.  Returns the (possibly broadcast-hinted) frame and whether it
+    was hinted; beyond ``max_rows`` the caller's join stays a shuffle join.
+    """
+    n = df.count()
+    return (F.broadcast(df), True) if n <= max_rows else (df, False)
