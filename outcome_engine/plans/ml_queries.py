@@ -164,11 +164,11 @@ def trained(spark: SparkSession, sf_dir: str, grid: str = "quick"):
     v, fmodel, feat = training_frame(spark, sf_dir)
     sel = SEL.select_features(feat)
     chosen = sel["selected"]
-    prepared = sel["prepared"]
-    scaler = PR.fit_robust_scaler(prepared, chosen)
+    # models learn from the feature frame itself (the selection clean-up only ranks features)
+    scaler = PR.fit_robust_scaler(feat, chosen)
     # quick preset for the registered query: 3 folds, one configuration per family
-    split = PR.stratified_split(prepared.select("venture_id", "target"), label="target", n_folds=3)
-    data = (PR.robust_scale(prepared, scaler, chosen, keep=["venture_id", "target"])
+    split = PR.stratified_split(feat.select("venture_id", "target"), label="target", n_folds=3)
+    data = (PR.robust_scale(feat, scaler, chosen, keep=["venture_id", "target"])
             .join(split.drop("target"), "venture_id").withColumnRenamed("target", "label"))
     data = data.persist()
     res = MD.train_models(data, chosen, grid=grid)
@@ -205,8 +205,7 @@ def _sco_model_predictions(spark, sf_dir):
     shown = ["name", "primary_category", "country_code", "funding_total_usd", "company_age_years"]
     op = op.select("*", *[F.col(c).alias(f"_show_{c}") for c in shown])
     keep = ["venture_id"] + [f"_show_{c}" for c in shown]
-    prepared_op = SEL.prepare(op, res.features, keep=keep)
-    scaled = PR.robust_scale(prepared_op, t["scaler"], res.features, keep=keep)
+    scaled = PR.robust_scale(op, t["scaler"], res.features, keep=keep)
     scored = MD.predict(res.models, res.best_name, scaled)
     scored = scored.select("venture_id", "success_probability", "predicted_success",
                            *[F.col(f"_show_{c}").alias(c) for c in shown])
