@@ -14,7 +14,7 @@ from .. import config as C
 from ..config import DEFAULT, Settings
 from ..functions import exprs as X
 from . import cohorts as K
-from .quantiles import quantile_row
+from .quantiles import bounded_quantile_row, quantile_row
 
 
 def _concluded(v: DataFrame) -> DataFrame:
@@ -58,8 +58,8 @@ def opportunity(v: DataFrame) -> DataFrame:
 
 
 def quadrants(opp: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Median competition and median success rate of the opportunity table (one row)."""
-    q = quantile_row(opp, {"c": "competition", "r": "success_rate"}, [0.5], ["med"], settings=settings)
+    """Median competition and median success rate of the opportunity table (one row; <= 20 rows in)."""
+    q = bounded_quantile_row(opp, {"c": "competition", "r": "success_rate"}, [0.5], ["med"])
     return q.select(F.col("c__med").alias("median_competition"), F.col("r__med").alias("median_success_rate"))
 
 

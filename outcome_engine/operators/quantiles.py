@@ -119,3 +119,30 @@ def grouped_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float]
     """Quantiles of one value per group: columns ``*by, n, <names...>``."""
     t = quantile_table(df, {"v": value}, probs, names, by=by, settings=settings)
     return t.drop("measure")
+
+
+def bounded_quantile_row(df: DataFrame, values: Mapping[str, Column | str], probs: Sequence[float],
+                         names: Sequence[str]) -> DataFrame:
+    """Quantiles of a table whose size is bounded by construction (a top-k table).
+
+    Same definition as ``quantile_row``; the whole (bounded) table is ranked with
+    one window, which is only acceptable because it holds at most k rows.
+    """
+    out = []
+    for m, v in values.items():
+        col = (F.col(v) if isinstance(v, str) else v).cast("double")
+        ranked = (df.select(col.alias("_v")).where(F.col("_v").isNotNull())
+                  .withColumn("_r", F.row_number().over(Window.orderBy("_v")) - 1)
+                  .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy())))
+        aggs = []
+        for p, nm in zip(probs, names):
+            pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+            a = F.max(F.when(F.col("_r") == F.floor(pos), F.col("_v")))
+            b = F.max(F.when(F.col("_r") == F.ceil(pos), F.col("_v")))
+            t = F.max(pos - F.floor(pos))
+            aggs.append(_lerp(a, b, t).alias(f"{m}__{nm}"))
+        out.append(ranked.agg(*aggs))
+    row = out[0]
+    for o in out[1:]:
+        row = row.crossJoin(o)
+    return row

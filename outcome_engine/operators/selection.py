@@ -94,11 +94,13 @@ def vote(lists: Sequence[Sequence[str]], corr_order: Sequence[str], all_features
     return [f for f in ranked if f in all_features]
 
 
-def select_features(feat: DataFrame, settings: Settings = DEFAULT, with_forest: bool = True) -> dict:
+def select_features(feat: DataFrame, settings: Settings = DEFAULT, with_forest: bool = True,
+                    prepared: DataFrame | None = None) -> dict:
     """Run the three selectors and the vote; returns the selector tables and the final list."""
     cands = [f for f in C.CANDIDATE_FEATURES if f in feat.columns]
     # read by three selectors and a forest fit (one job per tree level): keep it
-    prepared = prepare(feat, cands, settings=settings).persist()
+    if prepared is None:
+        prepared = prepare(feat, cands, settings=settings).persist()
     corr = correlation_rank(prepared, cands)
     var = variance_table(prepared, cands)
     # The selector outputs are <= 26-row tables: bringing them to the driver is metadata.

@@ -105,26 +105,36 @@ def pearson(a: Column, b: Column) -> Column:
     return F.when(den > 0, F.try_divide(F.covar_pop(a2, b2), den))
 
 
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], digits: int = 6,
+                      names: tuple[str, str] = ("col_a", "col_b")) -> DataFrame:
+    """Pearson correlation of each (a, b) pair, one small aggregate per pair.
+
+    Rows are unpivoted into (pair, x, y) and grouped by pair: the map-side partial
+    aggregation emits one row per pair and partition, so the shuffle stays tiny,
+    and the aggregate code stays small enough for whole-stage codegen (one
+    aggregation with hundreds of moment buffers does not).
+    """
+    na, nb = names
+    items = F.array(*[F.struct(F.lit(a).alias(na), F.lit(b).alias(nb), F.col(a).cast("double").alias("_x"),
+                               F.col(b).cast("double").alias("_y")) for a, b in pairs])
+    long = df.select(F.explode(items).alias("_s")).select("_s.*")
+    return long.groupBy(na, nb).agg(F.round(pearson(F.col("_x"), F.col("_y")), digits).alias("corr"))
+
+
 def corr_long(df: DataFrame, columns: Sequence[str], lower_only: bool = True, digits: int = 6) -> DataFrame:
-    """All pairwise correlations in one aggregation pass, as a long table (col_a, col_b, corr).
+    """All pairwise correlations as a long table (col_a, col_b, corr).
 
     ``lower_only`` keeps pairs below the diagonal (the masked heat-map's cells).
     """
     cols = list(columns)
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(len(cols))
              if (i > j if lower_only else i != j)]
-    dbl = {c: F.col(c).cast("double") for c in cols}
-    row = df.agg(*[pearson(dbl[a], dbl[b]).alias(f"{a}__{b}") for a, b in pairs])
-    cells = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                               F.round(F.col(f"{a}__{b}"), digits).alias("corr")) for a, b in pairs])
-    return row.select(F.explode(cells).alias("c")).select("c.*")
+    return pair_correlations(df, pairs, digits)
 
 
 def corr_with(df: DataFrame, columns: Sequence[str], target: str, digits: int = 6) -> DataFrame:
     """Correlation of every column with ``target`` (feature, corr, abs_corr)."""
-    row = df.agg(*[pearson(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in columns])
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.col(c), digits).alias("corr")) for c in columns])
-    out = row.select(F.explode(cells).alias("c")).select("c.*")
+    out = pair_correlations(df, [(c, target) for c in columns], digits, names=("feature", "_t")).drop("_t")
     return out.withColumn("abs_corr", F.abs("corr"))
 
 

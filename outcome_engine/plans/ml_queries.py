@@ -52,8 +52,14 @@ def _features(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir):
-    _, _, feat = training_frame(spark, sf_dir)
-    return SEL.prepare(feat, list(C.CANDIDATE_FEATURES))
+    return _prepared_frame(spark, sf_dir, DEFAULT)
+
+
+@lru_cache(maxsize=8)
+def _prepared_frame(spark, sf_dir, settings):
+    """The selection clean-up frame (shared per session; read by three selectors)."""
+    _, _, feat = training_frame(spark, sf_dir, settings)
+    return SEL.prepare(feat, list(C.CANDIDATE_FEATURES), settings=settings).persist()
 
 
 def _sel_correlation(spark, sf_dir):
@@ -162,7 +168,7 @@ def trained(spark: SparkSession, sf_dir: str, grid: str = "quick"):
     """Select features, scale, split and train the model families once per (session, folder)."""
     from ..operators import models as MD
     v, fmodel, feat = training_frame(spark, sf_dir)
-    sel = SEL.select_features(feat)
+    sel = SEL.select_features(feat, prepared=_prepared(spark, sf_dir))
     chosen = sel["selected"]
     # models learn from the feature frame itself (the selection clean-up only ranks features)
     scaler = PR.fit_robust_scaler(feat, chosen)
