@@ -61,9 +61,10 @@ def funding_stats(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
                         settings=settings)
 
 
-def cap_funding(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def cap_funding(df: DataFrame, settings: Settings = DEFAULT, stats: DataFrame | None = None) -> DataFrame:
     """Step 7: cap amounts above the 99.9th percentile (nulls stay null)."""
-    stats = F.broadcast(funding_stats(df, settings).select(F.col("f__cap").alias("_cap")))
+    stats = funding_stats(df, settings) if stats is None else stats
+    stats = F.broadcast(stats.select(F.col("f__cap").alias("_cap")))
     f = F.col("funding_total_usd")
     return (df.crossJoin(stats)
             .withColumn("funding_total_usd", F.when(f > F.col("_cap"), F.col("_cap")).otherwise(f))
@@ -112,19 +113,22 @@ def repair(df: DataFrame) -> DataFrame:
             .withColumn("success_category", X.outcome_of("status")))
 
 
-def clean(raw: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Raw venture rows -> cleaned analysis table with every derived column."""
+def clean(raw: DataFrame, settings: Settings = DEFAULT, stats: DataFrame | None = None) -> DataFrame:
+    """Raw venture rows -> cleaned analysis table with every derived column.
+
+    ``stats``: the one-row funding statistics of the kept rows, if already computed.
+    """
     df = drop_incomplete(typed(raw, settings))
-    df = cap_funding(df, settings)
+    df = cap_funding(df, settings, stats)
     df = derive(df, settings)
     return repair(df)
 
 
-def cleaning_report(raw: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def cleaning_report(raw: DataFrame, settings: Settings = DEFAULT, stats: DataFrame | None = None) -> DataFrame:
     """One row of cleaning counts: removed rows, IQR outliers, capped rows, suspicious rounds, date repairs."""
     t = typed(raw, settings)
     kept = drop_incomplete(t)
-    stats = F.broadcast(funding_stats(kept, settings))
+    stats = F.broadcast(funding_stats(kept, settings) if stats is None else stats)
     f = F.col("funding_total_usd")
     iqr = F.col("f__q3") - F.col("f__q1")
     lo = F.col("f__q1") - F.lit(C.OUTLIER_IQR_FACTOR) * iqr

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..operators.clean import clean, cleaning_report
+from ..operators.clean import clean, cleaning_report, drop_incomplete, funding_stats, typed
 from ..session import cut_lineage
 from ..sources.fixture import ventures_raw
 from . import panels as P
@@ -33,9 +33,15 @@ def ventures(spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT, sto
     return _ventures(spark, sf_dir, settings, stored)
 
 
+@lru_cache(maxsize=8)
+def _funding_stats(spark: SparkSession, sf_dir: str, settings: Settings) -> DataFrame:
+    """The stored one-row amount statistics (quartiles, cap) shared by the cleaner and its report."""
+    return funding_stats(drop_incomplete(typed(ventures_raw(spark, sf_dir), settings)), settings)
+
+
 @lru_cache(maxsize=8)
 def _ventures(spark: SparkSession, sf_dir: str, settings: Settings, stored: bool) -> DataFrame:
-    v = clean(ventures_raw(spark, sf_dir), settings)
+    v = clean(ventures_raw(spark, sf_dir), settings, _funding_stats(spark, sf_dir, settings))
     return cut_lineage(v) if stored else v
 
 
@@ -46,7 +52,7 @@ def _clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning_report(ventures_raw(spark, sf_dir))
+    return cleaning_report(ventures_raw(spark, sf_dir), DEFAULT, _funding_stats(spark, sf_dir, DEFAULT))
 
 
 def _panel(fn) -> Query:
