@@ -181,5 +181,10 @@ class Settings:
     def with_(self, **kw) -> "Settings":
         return replace(self, **kw)
 
+    @classmethod
+    def for_cluster(cls, **kw) -> "Settings":
+        """More blocks for quantiles and ranks, so one block stays a modest task at 100 TB."""
+        return cls(quantile_blocks=4096, **kw)
+
 
 DEFAULT = Settings()

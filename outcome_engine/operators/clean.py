@@ -41,9 +41,9 @@ def typed(raw: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
             out.append(X.to_number(c).alias(c))
         else:
             out.append(F.col(c))
+    if "k" not in cols and "venture_id" not in cols:  # no id given: a content hash (works on streams too)
+        out.append(F.xxhash64(*[F.col(c) for c in raw.columns]).alias("venture_id"))
     df = raw.select(*out)
-    if "venture_id" not in df.columns:
-        df = df.withColumn("venture_id", F.monotonically_increasing_id())
     missing = [c for c in ("name", "status") if c not in cols]
     if missing:
         raise ValueError(f"input lacks required columns {missing}")

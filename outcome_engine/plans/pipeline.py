@@ -70,7 +70,7 @@ class Scorer:
 
 
 def run(spark: SparkSession, raw: DataFrame, output_root: str | None = None, settings: Settings = DEFAULT,
-        grid: str = "quick") -> tuple[RunResult, Scorer]:
+        grid: str = "quick", model_names: list[str] | None = None) -> tuple[RunResult, Scorer]:
     """End-to-end analysis of a raw venture table."""
     kept = CL.drop_incomplete(CL.typed(raw, settings))
     cap = CL.funding_stats(kept, settings).select(F.col("f__cap").alias("_cap"))
@@ -85,7 +85,7 @@ def run(spark: SparkSession, raw: DataFrame, output_root: str | None = None, set
     split = PR.stratified_split(feat.select("venture_id", "target"), "target", settings=settings)
     data = (PR.robust_scale(feat, scaler, chosen, keep=["venture_id", "target"])
             .join(split.drop("target"), "venture_id").withColumnRenamed("target", "label")).persist()
-    res = MD.train_models(data, chosen, settings, grid=grid)       # 4-5: models and evaluation
+    res = MD.train_models(data, chosen, settings, grid=grid, names=model_names)       # 4-5: models and evaluation
     scorer = Scorer(cap, fmodel, chosen, scaler, res.models, res.best_name, settings)
     op = fmodel.transform(v.where(F.col("status") == "operating"))  # 6: open ventures
     op = op.select("*", *[F.col(c).alias(f"_show_{c}") for c in

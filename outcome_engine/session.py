@@ -38,6 +38,20 @@ def build_session(master: str | None = None, app: str = "outcome_engine",
     return spark
 
 
+# Settings for a large cluster (hundreds of executors, ~100 TB input): many shuffle
+# partitions that AQE coalesces to ~256 MB, skew splitting, 256 MB scan splits.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.ui.enabled": "false",
+}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, setting a scratch one only if none is configured."""
     sc = spark.sparkContext
