@@ -155,3 +155,11 @@ def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_missing")) for c in cols])
     out = row.select("_n", F.explode(cells).alias("c")).select("_n", "c.*")
     return out.select("column_name", "n_missing", X.pct(F.col("n_missing"), F.col("_n")).alias("missing_pct"))
+
+
+def schema_type_counts(df: DataFrame) -> DataFrame:
+    """Number of columns per data type (metadata of the schema, not a scan of the data)."""
+    counts: dict[str, int] = {}
+    for f in df.schema.fields:
+        counts[f.dataType.simpleString()] = counts.get(f.dataType.simpleString(), 0) + 1
+    return df.sparkSession.createDataFrame(sorted(counts.items()), "data_type string, n_columns int")

@@ -218,6 +218,51 @@ def _sco_model_predictions(spark, sf_dir):
     return SC.prediction_table(scored)
 
 
+def _mdl_curve(kind):
+    def run(spark, sf_dir):
+        res = trained(spark, sf_dir)["result"]
+        pred = res.predictions
+        if kind == "roc":
+            return M.roc_curve(pred)
+        if kind == "pr":
+            return M.pr_curve(pred)
+        return M.confusion(pred)
+    run.__name__ = f"_mdl_{kind}"
+    return run
+
+
+def _importance_table(spark, sf_dir, k):
+    from ..functions import exprs as X
+    from ..operators import models as MD
+    res = trained(spark, sf_dir)["result"]
+    imp = MD.importances(res.models, res.best_name, res.features)
+    df = spark.createDataFrame(imp or [("none", 0.0)], "feature string, importance double")
+    top = df.orderBy(F.col("importance").desc(), "feature").limit(k)
+    return top.withColumn("factor", X.snake_to_title("feature"))
+
+
+def _ins_success_factors(spark, sf_dir):
+    """INS-01: the best model's 8 most important features."""
+    return _importance_table(spark, sf_dir, 8)
+
+
+def _ins_model_summary(spark, sf_dir):
+    """INS-07: best model, its ROC-AUC and its five main factors (prettified names)."""
+    res = trained(spark, sf_dir)["result"]
+    best = res.metrics.where(F.col("Model") == res.best_name).select("Model", "ROC-AUC")
+    top5 = _importance_table(spark, sf_dir, 5).agg(F.concat_ws(", ", F.collect_list("factor")).alias("top_factors"))
+    return best.crossJoin(top5)
+
+
+def _ins_run_summary(spark, sf_dir):
+    """INS-15: rows analysed, best model, number of scored open ventures."""
+    t = trained(spark, sf_dir)
+    n = t["ventures"].agg(F.count(F.lit(1)).alias("n_ventures"))
+    n_op = t["ventures"].where(F.col("status") == "operating").agg(F.count(F.lit(1)).alias("n_predictions"))
+    best = t["result"].metrics.where(F.col("Model") == t["result"].best_name).select(F.col("Model").alias("best_model"))
+    return n.crossJoin(best).crossJoin(n_op)
+
+
 def queries() -> dict:
     return {
         "fea_features": _features,
@@ -251,4 +296,10 @@ def queries() -> dict:
         "mdl_results": _mdl_results,
         "mdl_importance": _mdl_importance,
         "sco_model_predictions": _sco_model_predictions,
+        "mdl_roc_curve": _mdl_curve("roc"),
+        "mdl_pr_curve": _mdl_curve("pr"),
+        "mdl_confusion": _mdl_curve("confusion"),
+        "ins_success_factors": _ins_success_factors,
+        "ins_model_summary": _ins_model_summary,
+        "ins_run_summary": _ins_run_summary,
     }

@@ -22,7 +22,8 @@ def test_every_query_has_sql_or_is_model_bound():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"sel_forest_importance", "sel_selected", "mdl_results", "mdl_importance",
-                               "sco_model_predictions"}
+                               "sco_model_predictions", "mdl_roc_curve", "mdl_pr_curve", "mdl_confusion",
+                               "ins_success_factors", "ins_model_summary", "ins_run_summary"}
 
 
 @pytest.mark.parametrize("name", FAST + ML)

@@ -48,3 +48,22 @@ def test_corr_matches_numpy_and_constant_is_null(spark):
     assert got[("b", "a")] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-6)
     assert got[("c", "a")] is None and got[("c", "b")] is None
     assert set(got) == {("b", "a"), ("c", "a"), ("c", "b")}
+
+
+def test_match_modes_token_subset_of_substring(spark):
+    from outcome_engine.operators import cohorts as K
+
+    v = spark.createDataFrame([(1, "Software|Enterprise Software"), (2, "Enterprise Software"), (3, "Games"),
+                               (4, None)], "venture_id int, category_list string")
+    cats = spark.createDataFrame([("Software",), ("Games",)], "category string")
+    sub = {(r["venture_id"], r["category"]) for r in K.match_categories(v, cats, "substring").collect()}
+    tok = {(r["venture_id"], r["category"]) for r in K.match_categories(v, cats, "token").collect()}
+    rgx = {(r["venture_id"], r["category"]) for r in K.match_categories(v, cats, "regex").collect()}
+    assert tok <= sub and sub == rgx
+    assert sub == {(1, "Software"), (2, "Software"), (3, "Games")} and tok == {(1, "Software"), (3, "Games")}
+
+
+def test_schema_type_counts(spark):
+    df = spark.createDataFrame([(1, "a", 1.0)], "a int, b string, c double")
+    got = {r["data_type"]: r["n_columns"] for r in S.schema_type_counts(df).collect()}
+    assert got == {"int": 1, "string": 1, "double": 1}
