@@ -4,8 +4,9 @@
 training rows, as small DataFrames: one row of medians/maxima/percentiles, the
 target-encoding tables (category and country success rates) and the market
 density table.  ``FeatureModel.transform`` applies them to any venture rows.
-Nothing is collected to the driver; one-row tables are broadcast, the keyed
-tables are ordinary joins (Spark/AQE picks broadcast when they are small).
+Only the one-row statistics tables (a bounded row of numbers each) are read
+back and applied as literals; the keyed tables are joins, broadcast behind a
+row-count check.
 
 Reference behaviour (``refit=True``): statistics are recomputed on the rows
 being transformed, and without a target both success rates are the constant
@@ -49,20 +50,31 @@ def _base_stats(df: DataFrame, settings: Settings) -> DataFrame:
     return cut_lineage(meds.crossJoin(df.agg(F.max("category_count").alias("max_cc"))))
 
 
-def _stage_a(df: DataFrame, s: DataFrame, settings: Settings) -> DataFrame:
-    """Fills, logs, ratios and flags (needs the one-row base statistics)."""
-    df = df.crossJoin(F.broadcast(s))
-    filled = F.coalesce(F.col("funding_total_usd"), F.col("f__med"), F.lit(0.0))
+def _lit(row: dict, key: str):
+    """A fitted one-row statistic as a literal (null stays a typed null)."""
+    v = row.get(key)
+    return F.lit(None).cast("double") if v is None else F.lit(v)
+
+
+def one_row(df: DataFrame) -> dict:
+    """The values of a stored one-row statistics table (bounded: one row of numbers)."""
+    r = df.first()
+    return r.asDict() if r is not None else {}
+
+
+def _stage_a(df: DataFrame, s: dict, settings: Settings) -> DataFrame:
+    """Fills, logs, ratios and flags (the one-row base statistics are literals)."""
+    filled = F.coalesce(F.col("funding_total_usd"), _lit(s, "f__med"), F.lit(0.0))
     age = X.clip(F.coalesce(F.col("company_age_years"), F.lit(0.0)), 0, C.MAX_AGE_YEARS)
-    year_fill = F.coalesce(F.col("year__med"), F.lit(float(C.DEFAULT_MEDIAN_YEAR)))
+    year_fill = F.coalesce(_lit(s, "year__med"), F.lit(float(C.DEFAULT_MEDIAN_YEAR)))
     year = X.clip(F.coalesce(F.year("founded_at").cast("double"), year_fill), C.FIRST_YEAR, settings.current_year)
-    days_fill = F.coalesce(F.col("days__med"), F.lit(float(C.DEFAULT_MEDIAN_DAYS)))
+    days_fill = F.coalesce(_lit(s, "days__med"), F.lit(float(C.DEFAULT_MEDIAN_DAYS)))
     days = X.clip(F.coalesce(F.col("days_to_first_funding").cast("double"), days_fill), 0, C.MAX_DAYS_TO_FUNDING)
-    max_cc = F.when(F.col("max_cc").isNull() | (F.col("max_cc") == 0), F.lit(1)).otherwise(F.col("max_cc"))
+    max_cc = F.lit(1 if not s.get("max_cc") else s["max_cc"])
     df = df.select(
-        *[c for c in df.columns if c not in s.columns and c != "company_age_years"],
+        *[c for c in df.columns if c != "company_age_years"],
         filled.alias("funding_total_usd_filled"),
-        F.coalesce(F.col("funding_per_round"), F.col("fpr__med"), F.lit(0.0)).alias("funding_per_round_filled"),
+        F.coalesce(F.col("funding_per_round"), _lit(s, "fpr__med"), F.lit(0.0)).alias("funding_per_round_filled"),
         age.alias("company_age_years"),
         year.alias("founded_year_filled"),
         days.alias("days_to_first_funding_filled"),
@@ -95,6 +107,9 @@ class FeatureModel:
     winsor: DataFrame          # one row: <col>__lo, <col>__hi, <col>__med
     settings: Settings = DEFAULT
     has_target: bool = True
+    base_row: dict | None = None    # the one-row tables' values, applied as literals
+    risk_row: dict | None = None
+    winsor_row: dict | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         return _apply(df, self)
@@ -109,7 +124,7 @@ def _stage_b(df: DataFrame, m: FeatureModel) -> DataFrame:
     df = (df.join(m.density, ["primary_category", "founded_year_filled"], "left")
           .join(m.category_rates, "primary_category", "left")
           .join(m.country_rates, "country_code", "left")
-          .crossJoin(F.broadcast(m.risk)))
+          .withColumn("_p90", _lit(m.risk_row, "_p90")))
     default = F.lit(C.DEFAULT_RATE)
     cat_rate = X.clip(F.coalesce(F.col("_cat_rate"), default), 0, 1) if m.has_target else default
     cty_rate = X.clip(F.coalesce(F.col("_cty_rate"), default), 0, 1) if m.has_target else default
@@ -138,15 +153,12 @@ def _winsor_stats(df: DataFrame, settings: Settings) -> DataFrame:
                         settings=settings)
 
 
-def _stage_c(df: DataFrame, winsor: DataFrame) -> DataFrame:
+def _stage_c(df: DataFrame, winsor: dict) -> DataFrame:
     """Winsorize every float column to its [q01, q99] and fill what is still null with its median."""
-    df = df.crossJoin(F.broadcast(winsor))
     out = []
     for c in df.columns:
-        if c in winsor.columns:
-            continue
         if c in WINSORIZED:
-            lo, hi, med = F.col(f"{c}__lo"), F.col(f"{c}__hi"), F.col(f"{c}__med")
+            lo, hi, med = _lit(winsor, f"{c}__lo"), _lit(winsor, f"{c}__hi"), _lit(winsor, f"{c}__med")
             clipped = F.when(lo.isNotNull() & hi.isNotNull(), X.clip(F.col(c), lo, hi)).otherwise(F.col(c))
             med_clipped = F.when(lo.isNotNull() & hi.isNotNull(), X.clip(med, lo, hi)).otherwise(med)
             out.append(F.coalesce(clipped.cast("double"), med_clipped, F.lit(0.0)).alias(c))
@@ -159,7 +171,8 @@ def fit_features(train: DataFrame, settings: Settings = DEFAULT) -> FeatureModel
     """Fit feature statistics on training rows (must hold ``target``)."""
     has_target = "target" in train.columns
     base = _base_stats(train, settings)
-    a = _stage_a(train, base, settings)
+    base_row = one_row(base)
+    a = _stage_a(train, base_row, settings)
     density = (a.where(F.col("primary_category").isNotNull() & F.col("founded_year_filled").isNotNull())
                .groupBy("primary_category", "founded_year_filled").agg(F.count(F.lit(1)).alias("_density")))
     if has_target:
@@ -180,16 +193,17 @@ def fit_features(train: DataFrame, settings: Settings = DEFAULT) -> FeatureModel
     cat_rates, _ = sized_broadcast(cat_rates)
     cty_rates, _ = sized_broadcast(cty_rates)
     partial = FeatureModel(base, density, cat_rates, cty_rates, risk, winsor=None, settings=settings,
-                           has_target=has_target)
+                           has_target=has_target, base_row=base_row, risk_row=one_row(risk))
     b = _stage_b(a, partial)
     partial.winsor = _winsor_stats(b, settings)
+    partial.winsor_row = one_row(partial.winsor)
     return partial
 
 
 def _apply(df: DataFrame, m: FeatureModel) -> DataFrame:
-    a = _stage_a(df, m.base, m.settings)
+    a = _stage_a(df, m.base_row, m.settings)
     b = _stage_b(a, m)
-    return _stage_c(b, m.winsor)
+    return _stage_c(b, m.winsor_row)
 
 
 def build_features(df: DataFrame, settings: Settings = DEFAULT, model: FeatureModel | None = None,
