@@ -170,7 +170,6 @@ class Settings:
     approx_accuracy: int = 10000
     # date formats tried in order when coercing text to dates
     date_formats: tuple[str, ...] = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM")
-    na_tokens: tuple[str, ...] = ("", "nan", "NaN", "NA", "N/A", "null", "NULL", "None")
     roles: Roles = field(default_factory=Roles)
     seed: int = 42
 

@@ -17,9 +17,6 @@ from ..config import DEFAULT, Settings
 from ..functions import exprs as X
 from .quantiles import quantile_row
 
-TEXT_COLUMNS = ("name", "category_list", "homepage_url")
-
-
 def typed(raw: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Steps 1-5: numeric/date coercion, text trimming, category cleaning, upper-case regions."""
     cols = set(raw.columns)
