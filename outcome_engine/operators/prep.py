@@ -47,15 +47,22 @@ def fit_robust_scaler(df: DataFrame, features: Sequence[str], settings: Settings
     return quantile_row(df, {f: f for f in features}, [0.25, 0.5, 0.75], ["q1", "med", "q3"], settings=settings)
 
 
-def robust_scale(df: DataFrame, scaler: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(x - median) / IQR, with an IQR of 0 (or unknown) treated as 1."""
-    j = df.crossJoin(F.broadcast(scaler))
-    cols = []
+def scaler_values(scaler: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """feature -> (center, scale) from the stored one-row scaler (bounded: two numbers per feature)."""
+    row = scaler.first().asDict()
+    out = {}
     for f in features:
-        iqr = F.col(f"{f}__q3") - F.col(f"{f}__q1")
-        scale = F.when(iqr.isNull() | (F.abs(iqr) < F.lit(1e-12)), F.lit(1.0)).otherwise(iqr)
-        cols.append(((F.col(f) - F.coalesce(F.col(f"{f}__med"), F.lit(0.0))) / scale).alias(f))
-    return j.select(*keep, *cols)
+        q1, med, q3 = row.get(f"{f}__q1"), row.get(f"{f}__med"), row.get(f"{f}__q3")
+        iqr = None if q1 is None or q3 is None else q3 - q1
+        out[f] = (0.0 if med is None else med, 1.0 if iqr is None or abs(iqr) < 1e-12 else iqr)
+    return out
+
+
+def robust_scale(df: DataFrame, scaler: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(x - median) / IQR, with an IQR of 0 (or unknown) treated as 1 (fitted values as literals)."""
+    vals = scaler_values(scaler, features)
+    cols = [((F.col(f) - F.lit(vals[f][0])) / F.lit(vals[f][1])).alias(f) for f in features]
+    return df.select(*keep, *cols)
 
 
 def scaler_table(scaler: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -24,17 +24,17 @@ def prepare(feat: DataFrame, features: Sequence[str], keep: Sequence[str] = ("ve
     """Second clean-up pass: clip every feature to [q01, q99] when q99 > q01, fill nulls
     with the median (0 if none), replace what is not finite by 0."""
     q = quantile_row(feat, {f: f for f in features}, [C.WINSOR_LOW, 0.5, C.WINSOR_HIGH], ["lo", "med", "hi"],
-                     settings=settings)
-    j = feat.crossJoin(F.broadcast(q))
+                     settings=settings).first().asDict()  # one bounded row of numbers, applied as literals
     cols = []
     for f in features:
-        lo, hi, med = F.col(f"{f}__lo"), F.col(f"{f}__hi"), F.col(f"{f}__med")
-        ok = lo.isNotNull() & hi.isNotNull() & (hi > lo)
+        lo, hi, med = q.get(f"{f}__lo"), q.get(f"{f}__hi"), q.get(f"{f}__med")
         x = F.col(f).cast("double")
-        clipped = F.when(ok, X.clip(x, lo, hi)).otherwise(x)
-        med_c = F.when(ok, X.clip(med, lo, hi)).otherwise(med)
+        if lo is not None and hi is not None and hi > lo:
+            clipped, med_c = X.clip(x, lo, hi), F.lit(min(max(med, lo), hi))
+        else:
+            clipped, med_c = x, F.lit(med).cast("double")
         cols.append(F.coalesce(X.nan_to_null(clipped), med_c, F.lit(0.0)).alias(f))
-    return j.select(*[k for k in keep if k in feat.columns], *cols)
+    return feat.select(*[k for k in keep if k in feat.columns], *cols)
 
 
 def correlation_rank(prepared: DataFrame, features: Sequence[str], target: str = "target") -> DataFrame:
