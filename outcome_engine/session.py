@@ -60,7 +60,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="oe-ckpt-", dir="/tmp")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage: the engine stores "
+                               "its statistics tables there and a machine-local folder does not survive "
+                               "executor loss")
+        configured = tempfile.mkdtemp(prefix="oe-ckpt-", dir="/tmp")  # local runs and tests only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
