@@ -12,7 +12,7 @@ PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999, 1.0]
 NAMES = [f"p{i}" for i in range(len(PROBS))]
 
 
-@pytest.mark.parametrize("blocks", [1, 4, 64])
+@pytest.mark.parametrize("blocks", [1, 4, 64, 4096])
 def test_exact_matches_numpy_with_ties_and_nulls(spark, blocks):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.lognormal(10, 2, 500), np.full(300, 42.0), rng.integers(0, 5, 200).astype(float)])
