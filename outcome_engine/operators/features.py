@@ -149,8 +149,9 @@ def _stage_b(df: DataFrame, m: FeatureModel) -> DataFrame:
 
 
 def _winsor_stats(df: DataFrame, settings: Settings) -> DataFrame:
-    return quantile_row(df, {c: c for c in WINSORIZED}, [C.WINSOR_LOW, 0.5, C.WINSOR_HIGH], ["lo", "med", "hi"],
-                        settings=settings)
+    """One row: q01, median, q90 and q99 of every winsorized column (q90 of the filled amount is the risk cut)."""
+    return quantile_row(df, {c: c for c in WINSORIZED}, [C.WINSOR_LOW, 0.5, 0.9, C.WINSOR_HIGH],
+                        ["lo", "med", "p90", "hi"], settings=settings)
 
 
 def _stage_c(df: DataFrame, winsor: dict) -> DataFrame:
@@ -183,20 +184,21 @@ def fit_features(train: DataFrame, settings: Settings = DEFAULT) -> FeatureModel
     else:
         cat_rates = a.select("primary_category", F.lit(None).cast("double").alias("_cat_rate")).limit(0)
         cty_rates = a.select("country_code", F.lit(None).cast("double").alias("_cty_rate")).limit(0)
-    p90 = quantile_row(a, {"f": "funding_total_usd_filled"}, [0.9], ["p90"], settings=settings)
-    risk = cut_lineage(p90.crossJoin(a.agg(F.max("funding_total_usd_filled").alias("_mx"))).select(
-        F.coalesce(F.col("f__p90"), F.col("_mx")).alias("_p90")))
     # fitted encoding tables: one row per category / country / (category, year); stored once
     density, cat_rates, cty_rates = cut_lineage(density), cut_lineage(cat_rates), cut_lineage(cty_rates)
     # keyed tables: one row per category / country / (category, year); broadcast behind a row-count check
     density, _ = sized_broadcast(density)
     cat_rates, _ = sized_broadcast(cat_rates)
     cty_rates, _ = sized_broadcast(cty_rates)
-    partial = FeatureModel(base, density, cat_rates, cty_rates, risk, winsor=None, settings=settings,
-                           has_target=has_target, base_row=base_row, risk_row=one_row(risk))
+    partial = FeatureModel(base, density, cat_rates, cty_rates, risk=None, winsor=None, settings=settings,
+                           has_target=has_target, base_row=base_row, risk_row={"_p90": None})
+    # The winsorized columns do not depend on the risk flags, so the 90th percentile of the filled
+    # amount comes out of the same ranking pass as the winsor bounds.
     b = _stage_b(a, partial)
     partial.winsor = _winsor_stats(b, settings)
     partial.winsor_row = one_row(partial.winsor)
+    partial.risk = partial.winsor.select(F.col("funding_total_usd_filled__p90").alias("_p90"))
+    partial.risk_row = {"_p90": partial.winsor_row.get("funding_total_usd_filled__p90")}
     return partial
 
 
