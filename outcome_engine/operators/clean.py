@@ -121,10 +121,11 @@ def clean(raw: DataFrame, settings: Settings = DEFAULT, stats: DataFrame | None
     return repair(df)
 
 
-def cleaning_report(raw: DataFrame, settings: Settings = DEFAULT, stats: DataFrame | None = None) -> DataFrame:
+def cleaning_report(raw: DataFrame, settings: Settings = DEFAULT, stats: DataFrame | None = None,
+                    kept: DataFrame | None = None) -> DataFrame:
     """One row of cleaning counts: removed rows, IQR outliers, capped rows, suspicious rounds, date repairs."""
     t = typed(raw, settings)
-    kept = drop_incomplete(t)
+    kept = drop_incomplete(t) if kept is None else kept
     stats = F.broadcast(funding_stats(kept, settings) if stats is None else stats)
     f = F.col("funding_total_usd")
     iqr = F.col("f__q3") - F.col("f__q1")
@@ -134,7 +135,7 @@ def cleaning_report(raw: DataFrame, settings: Settings = DEFAULT, stats: DataFra
     rounds = F.col("funding_rounds")
     rounds_fixed = F.when((capped > 0) & rounds.isNull(), F.lit(1.0)).otherwise(rounds)
     first, founded = F.col("first_funding_at"), F.col("founded_at")
-    removed = t.agg(F.count(F.lit(1)).alias("rows_in"))
+    removed = raw.agg(F.count(F.lit(1)).alias("rows_in"))
     body = kept.crossJoin(stats).agg(
         F.count(F.lit(1)).alias("rows_kept"),
         F.count_if((f < lo) | (f > hi)).alias("funding_outliers"),

@@ -45,9 +45,9 @@ def with_target(v: DataFrame) -> DataFrame:
 def _base_stats(df: DataFrame, settings: Settings) -> DataFrame:
     """One row: medians of amount, amount per round, founding year, days to funding; max category count."""
     meds = quantile_row(df, {"f": "funding_total_usd", "fpr": "funding_per_round",
-                             "year": F.year("founded_at"), "days": "days_to_first_funding"},
-                        [0.5], ["med"], settings=settings)
-    return cut_lineage(meds.crossJoin(df.agg(F.max("category_count").alias("max_cc"))))
+                             "year": F.year("founded_at"), "days": "days_to_first_funding",
+                             "cc": "category_count"}, [0.5, 1.0], ["med", "max"], settings=settings)
+    return meds.withColumnRenamed("cc__max", "max_cc")  # the 1.0 quantile is the maximum
 
 
 def _lit(row: dict, key: str):

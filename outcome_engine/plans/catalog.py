@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..operators.clean import clean, cleaning_report, drop_incomplete, funding_stats, typed
+from ..operators.clean import cap_funding, cleaning_report, derive, drop_incomplete, funding_stats, repair, typed
 from ..session import cut_lineage
 from ..sources.fixture import ventures_raw
 from . import panels as P
@@ -25,24 +25,31 @@ Query = Callable[[SparkSession, str], DataFrame]
 def ventures(spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT, stored: bool = True) -> DataFrame:
     """The cleaned venture table derived from the scale-factor folder.
 
-    ``stored``: write it once to the shared checkpoint folder (the cleaned-table
-    sink of the original flow); every statistic and panel that follows reads the
-    stored table instead of re-deriving it from the raw tables.  The stored
-    table is shared by the queries of one session.
+    The typed rows are written once to the shared checkpoint folder; the cap,
+    the derived columns and the repairs are row-level projections over them,
+    so every statistic and panel reads the stored rows instead of re-deriving
+    them from the raw tables.  Shared by the queries of one session.
     """
     return _ventures(spark, sf_dir, settings, stored)
 
 
+@lru_cache(maxsize=8)
+def _kept(spark: SparkSession, sf_dir: str, settings: Settings) -> DataFrame:
+    """Typed rows with a name and a status, stored once (the raw tables are read one time)."""
+    return cut_lineage(drop_incomplete(typed(ventures_raw(spark, sf_dir), settings)))
+
+
 @lru_cache(maxsize=8)
 def _funding_stats(spark: SparkSession, sf_dir: str, settings: Settings) -> DataFrame:
     """The stored one-row amount statistics (quartiles, cap) shared by the cleaner and its report."""
-    return funding_stats(drop_incomplete(typed(ventures_raw(spark, sf_dir), settings)), settings)
+    return funding_stats(_kept(spark, sf_dir, settings), settings)
 
 
 @lru_cache(maxsize=8)
 def _ventures(spark: SparkSession, sf_dir: str, settings: Settings, stored: bool) -> DataFrame:
-    v = clean(ventures_raw(spark, sf_dir), settings, _funding_stats(spark, sf_dir, settings))
-    return cut_lineage(v) if stored else v
+    # cap, derived columns and repairs are row-level over the stored rows: no second write needed
+    kept = _kept(spark, sf_dir, settings)
+    return repair(derive(cap_funding(kept, settings, _funding_stats(spark, sf_dir, settings)), settings))
 
 
 def _clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +59,8 @@ def _clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning_report(ventures_raw(spark, sf_dir), DEFAULT, _funding_stats(spark, sf_dir, DEFAULT))
+    return cleaning_report(ventures_raw(spark, sf_dir), DEFAULT, _funding_stats(spark, sf_dir, DEFAULT),
+                           kept=_kept(spark, sf_dir, DEFAULT))
 
 
 def _panel(fn) -> Query:
