@@ -41,6 +41,26 @@ def _long(df: DataFrame, values: Mapping[str, Column | str], by: Sequence[str])
     return out.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
 
+def block_of(cuts: Column, v: Column, n_cuts: int) -> Column:
+    """Number of cut points strictly below ``v`` (cuts sorted ascending), by binary search.
+
+    ``ceil(log2(n_cuts + 1))`` steps of an ``aggregate`` over a short sequence, so
+    thousands of blocks cost a dozen comparisons per value, not thousands.
+    """
+    steps = max(1, (n_cuts + 1).bit_length())
+    init = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        right = F.element_at(cuts, mid + 1) < v
+        moved = F.when(right, F.struct((mid + 1).alias("lo"), hi.alias("hi"))).otherwise(
+            F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo < hi, moved).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+
+
 def _lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t == 0, a).otherwise(a + (b - a) * t)
 
@@ -72,7 +92,7 @@ def quantile_table(df: DataFrame, values: Mapping[str, Column | str], probs: Seq
     if not by:  # one row per measured column: bounded, broadcast it
         cuts = F.broadcast(cuts)
     vb = (vc.join(cuts, keys)
-          .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+          .withColumn("_b", block_of(F.col("_cuts"), F.col("_v"), len(fracs)))
           .drop("_cuts"))
     block_counts = vb.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from .quantiles import block_of
 
 
 def cumulative_before(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
@@ -38,7 +39,7 @@ def cumulative_before(df: DataFrame, keys: Sequence[str], value: str, sums: Sequ
         if not keys:
             cuts = F.broadcast(cuts)
         base = (df.join(cuts, keys) if keys else df.crossJoin(cuts))
-        base = base.withColumn("_blk", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+        base = base.withColumn("_blk", block_of(F.col("_cuts"), F.col(value), len(fracs))).drop("_cuts")
     else:
         base = df.withColumn("_blk", block)
     totals = base.groupBy(*keys, "_blk").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
