@@ -61,11 +61,11 @@ def funding_stats(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 def cap_funding(df: DataFrame, settings: Settings = DEFAULT, stats: DataFrame | None = None) -> DataFrame:
     """Step 7: cap amounts above the 99.9th percentile (nulls stay null)."""
     stats = funding_stats(df, settings) if stats is None else stats
-    stats = F.broadcast(stats.select(F.col("f__cap").alias("_cap")))
+    cap = stats.first()["f__cap"]  # one stored row: applied as a literal
+    if cap is None:  # no amounts at all
+        return df
     f = F.col("funding_total_usd")
-    return (df.crossJoin(stats)
-            .withColumn("funding_total_usd", F.when(f > F.col("_cap"), F.col("_cap")).otherwise(f))
-            .drop("_cap"))
+    return df.withColumn("funding_total_usd", F.when(f > F.lit(cap), F.lit(cap)).otherwise(f))
 
 
 def derive(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -53,10 +53,7 @@ class Scorer:
     def score(self, raw: DataFrame) -> DataFrame:
         """Raw venture rows (text columns) -> the 8-column prediction table."""
         t = CL.drop_incomplete(CL.typed(raw, self.settings))
-        f = F.col("funding_total_usd")
-        t = (t.crossJoin(F.broadcast(self.cap)).withColumn("funding_total_usd",
-                                                          F.when(f > F.col("_cap"), F.col("_cap")).otherwise(f))
-             .drop("_cap"))
+        t = CL.cap_funding(t, self.settings, self.cap)  # the training cap, as a literal
         v = CL.repair(CL.derive(t, self.settings))
         feat = self.feature_model.transform(v)
         shown = ["name", "primary_category", "country_code", "funding_total_usd", "company_age_years"]
@@ -73,7 +70,7 @@ def run(spark: SparkSession, raw: DataFrame, output_root: str | None = None, set
         grid: str = "quick", model_names: list[str] | None = None) -> tuple[RunResult, Scorer]:
     """End-to-end analysis of a raw venture table."""
     kept = CL.drop_incomplete(CL.typed(raw, settings))
-    cap = CL.funding_stats(kept, settings).select(F.col("f__cap").alias("_cap"))
+    cap = CL.funding_stats(kept, settings)
     v = cut_lineage(CL.clean(raw, settings))                       # 1: cleaned table, stored once
     panels = {name: fn(v, settings) for name, fn in P.PANELS.items()}  # 2: dashboards
     train = FE.with_target(v)                                      # 3: features
