@@ -36,3 +36,21 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) == 5 and df.columns == ["funding_bracket", "bucket_order", "n", "n_success", "success_rate"]
+
+
+def test_cleaning_is_time_zone_independent(spark, con):
+    from pyspark.sql import functions as F
+
+    from outcome_engine.operators.clean import clean
+    from outcome_engine.sources.fixture import ventures_raw
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        v = clean(ventures_raw(spark, SF_SMALL))
+        dates = ("founded_at", "first_funding_at", "last_funding_at")
+        v = v.select(*[F.col(c).cast("string").alias(c) if c in dates else F.col(c) for c in v.columns])
+        ok, msg = compare(v, con, E.oracle_sql()["ventures_clean"])
+        assert ok, msg
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
