@@ -84,7 +84,8 @@ def rate_by_bucket(df: DataFrame, value: str | Column, bucket_def, name: str,
     b = df.select(X.bucketize(v, edges, labels, lowest).alias(name), success.alias("_s")).where(F.col(name).isNotNull())
     agg = b.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.count_if("_s").alias("n_success"))
     if keep_empty:
-        agg = F.broadcast(bucket_labels(df, labels, name)).join(agg, name, "left")
+        # all buckets kept; the aggregate (one row per bucket label at most) is the broadcast side
+        agg = bucket_labels(df, labels, name).join(F.broadcast(agg), name, "left")
         agg = agg.select(name, "bucket_order", F.coalesce("n", F.lit(0)).alias("n"),
                          F.coalesce("n_success", F.lit(0)).alias("n_success"))
     else:

@@ -282,7 +282,8 @@ def d6_median_funding_year(v: DataFrame, settings: Settings = DEFAULT) -> DataFr
 def d6_month_counts(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     counts = _temporal(v).groupBy(F.month("founded_at").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     months = v.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month"))
-    return F.broadcast(months).join(counts, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
+    # every month kept; the month counts (12 rows at most) are the broadcast side
+    return months.join(F.broadcast(counts), "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def d6_rate_by_era(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -291,7 +292,7 @@ def d6_rate_by_era(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
                                "success_category").where(F.col("economic_era").isNotNull())
     agg = rows.groupBy("economic_era").agg(F.count_if(K.is_success()).alias("n_success"),
                                            F.count_if(K.is_failed()).alias("n_failed"))
-    out = F.broadcast(K.bucket_labels(v, labels, "economic_era")).join(agg, "economic_era", "left")
+    out = K.bucket_labels(v, labels, "economic_era").join(F.broadcast(agg), "economic_era", "left")
     s, f = F.coalesce("n_success", F.lit(0)), F.coalesce("n_failed", F.lit(0))
     return out.select("economic_era", "bucket_order", s.alias("n_success"), f.alias("n_failed"),
                       F.coalesce(X.pct(s, s + f), F.lit(0.0)).alias("success_rate"))
