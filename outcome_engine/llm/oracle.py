@@ -30,6 +30,20 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
+LINES_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
+keyed AS (
+  SELECT doc_id, n, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM lines),
+firsts AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+marked AS (
+  SELECT k.doc_id, n, line, f.key IS NOT NULL AND k.doc_id > f.first AS gone FROM keyed k LEFT JOIN firsts f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_urls": URLS_SQL}
+    return {"op4_lines": LINES_SQL, "op9_urls": URLS_SQL}

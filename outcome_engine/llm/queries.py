@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import dedup_lines
+from .packing import pack_documents
 from .repetition import repetition_quality
 from .secrets import scan_secrets
-from .tables import read
+from .tables import read, scratch
 from .urlrules import UrlRule, filter_urls
+from .wavelet import read_shards, write_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +21,17 @@ URL_RULES = (UrlRule("org", "/", "allow"), UrlRule("example.org", "/es/", "block
              UrlRule("com", "/fr/", "allow"), UrlRule("com", "/de/", "block"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scanner gives its spans by start, then kind; lexed ones are counted in ``spans`` only."""
     spans = scan_secrets(read(spark, sf_dir, "documents"))
@@ -29,6 +43,17 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join(F.transform("spans", name), ",").alias("spans"), count("literal"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "wavelet-shards")
+    write_shards(read(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    return read_shards(spark, path)
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -38,4 +63,4 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secrets, op9_urls, op10_repetition)}
+    return {f.__name__: f for f in (op1_packing, op2_secrets, op4_lines, op6_token_ids, op9_urls, op10_repetition)}
