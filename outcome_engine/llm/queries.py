@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lines import dedup_lines
+from .neardup import near_components
 from .packing import pack_documents
 from .repetition import repetition_quality
 from .secrets import scan_secrets
@@ -54,6 +55,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, path)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(read(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -63,4 +68,4 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_secrets, op4_lines, op6_token_ids, op9_urls, op10_repetition)}
+    return {f.__name__: f for f in (op1_packing, op2_secrets, op4_lines, op6_token_ids, op7_minhash, op9_urls, op10_repetition)}
