@@ -180,10 +180,10 @@ def suspected_lines(docs: DataFrame, min_chars: int, max_filter_bytes: int) -> D
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
-                max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """The table with the kept lines as its text, and two more columns: n_lines (before) and n_dropped.
+                max_filter_bytes: int = MAX_FILTER_BYTES, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The table with the kept lines as its text, and two more columns: the lines before, and those dropped.
 
-    Columns of the input with these two names are replaced.
+    Columns of the input with the names in ``counts`` are replaced.
     """
     docs = _plain(df, id_col, text_col)
     suspects = stored(suspected_lines(docs, min_chars, max_filter_bytes), "suspects")
@@ -192,9 +192,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         .agg(F.collect_set("digest").alias("__drops"))  # at most the lines of one document
     drops = stored(drops.select(F.col("doc_id").alias("__id"), "__drops"), "line-drops")
     discard(suspects)
-    base = df.drop("n_lines", "n_dropped")
+    base = df.drop(*counts)
     fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in base.schema.fields]
-    schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in counts)])
     joined = base.withColumn(text_col, base[text_col].cast("string")).withColumn("__id", F.coalesce(base[id_col].cast("long"), F.lit(NO_ID))) \
         .join(drops, "__id", "left").select(*base.columns, "__drops")
 

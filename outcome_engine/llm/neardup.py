@@ -257,3 +257,9 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mine = F.coalesce("component", "doc_id")
     real = lambda c: F.when(c != F.lit(NO_ID), c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(mine).alias("component_id"), (F.col("doc_id") == mine).alias("kept"))
+
+
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: NearRules = NearRules()) -> DataFrame:
+    """The rows of one document of each component: the smallest id (its repeated rows stay together)."""
+    kept = near_components(df, id_col, text_col, rules).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return df.join(kept, df[id_col].eqNullSafe(kept["__kept"]), "left_semi")

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import is_held_out, label_languages, learn_languages
+from .licences import scan_licences
 from .lines import dedup_lines
 from .neardup import near_components
 from .packing import pack_documents
 from .repetition import repetition_quality
 from .secrets import scan_secrets
 from .tables import read, scratch
+from .templates import decontaminate
 from .urlrules import UrlRule, filter_urls
 from .wavelet import read_shards, write_shards
 
@@ -28,11 +31,15 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    pieces = pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(read(spark, sf_dir, "documents"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scanner gives its spans by start, then kind; lexed ones are counted in ``spans`` only."""
     spans = scan_secrets(read(spark, sf_dir, "documents"))
@@ -44,11 +51,26 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join(F.transform("spans", name), ",").alias("spans"), count("literal"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths: source, language and the id's higher digits stand for directories,
+    and the first document of 64 for the LICENSE file of its directory (the first of 4096: of the one above)."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    above = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")))
+    here = F.concat_ws("/", above, F.expr("doc_id div 64").cast("string"))
+    path = F.when(F.col("doc_id") % 4096 == 0, F.concat(above, F.lit("/LICENSE"))).when(F.col("doc_id") % 64 == 0, F.concat(here, F.lit("/LICENSE"))) \
+        .otherwise(F.concat(here, F.lit("/doc-"), F.col("doc_id").cast("string")))
+    return scan_licences(docs.select("doc_id", "text", path.alias("path")))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "wavelet-shards")
     write_shards(read(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
@@ -59,6 +81,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(read(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labelled = label_languages(docs, learn_languages(docs))
+    return labelled.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -68,4 +96,6 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_secrets, op4_lines, op6_token_ids, op7_minhash, op9_urls, op10_repetition)}
+    return {f.__name__: f for f in (
+        op1_packing, op2_secrets, op3_decontamination, op4_lines, op5_licences, op6_token_ids, op7_minhash, op8_language, op9_urls,
+        op10_repetition)}

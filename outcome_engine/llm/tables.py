@@ -63,3 +63,12 @@ def by_text(df: DataFrame, id_col: str, text_col: str, fn: Callable[[pa.RecordBa
             yield fn(batch)
 
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, text_col: str, judge: Callable[[list[str | None]], list[bool]], max_bytes: int = 1 << 20) -> DataFrame:
+    """The rows, with all columns, whose text passes; a filter in the task that reads them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, max_bytes):
+            yield batch.filter(pa.array(judge(batch.column(text_col).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
