@@ -71,7 +71,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     value = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[codes]
     power, base = np.ones(1, np.uint64), np.uint64(0x9E3779B97F4A7C15)
     window = value.copy()
-    for n in range(1, words):
+    for n in range(1, min(words, len(value))):
         power = power * base
         window[:len(value) - n] += value[n:] * power  # a window's last places are not read
     window = _mix(window)
@@ -110,7 +110,7 @@ def band_keys(signatures: np.ndarray, rules: NearRules) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, rules: NearRules) -> DataFrame:
-    """(doc_id, n_shingles, class, keys) of each row of (doc_id, text); class and keys are null without shingles."""
+    """(doc_id, row, n_shingles, class, keys) of each row of (doc_id, row, text); class and keys are null without shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(raw_texts(batch, "text"), rules.words)
@@ -120,11 +120,11 @@ def signatures(docs: DataFrame, rules: NearRules) -> DataFrame:
                 for i, row in zip(full, band_keys(np.stack([signature(sets[i], rules) for i in full]), rules)):
                     keys[i] = row
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()),
+                batch.column("doc_id"), batch.column("row"), pa.array(list(map(len, sets)), pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class", "keys"])
+                pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "n_shingles", "class", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, class binary, keys array<long>")
 
 
 # ---- links inside clusters of candidates ----
@@ -209,10 +209,10 @@ def _block(side: DataFrame, name: str) -> DataFrame:
     return side.select("cluster", F.struct("ids", "sizes", "shingles").alias(name))
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: NearRules = NearRules()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; the smallest id of a component is kept."""
+def _judged(df: DataFrame, id_col: str, text_col: str, rules: NearRules) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, kept) of every row; ``row`` is a hash of the text."""
     docs = df.select(F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), df[text_col].cast("string").alias("text"))
-    signed = stored(signatures(docs, rules), "signatures")
+    signed = stored(signatures(docs.withColumn("row", F.xxhash64("text")), rules), "signatures")
     classes = signed.filter("class IS NOT NULL").groupBy("class") \
         .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = stored(classes, "classes")
@@ -256,10 +256,16 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = signed.drop("keys").join(by_class, "class", "left")
     mine = F.coalesce("component", "doc_id")
     real = lambda c: F.when(c != F.lit(NO_ID), c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(mine).alias("component_id"), (F.col("doc_id") == mine).alias("kept"))
+    return out.select(real(F.col("doc_id")).alias("doc_id"), "row", "n_shingles", real(mine).alias("component_id"),
+                      (F.col("doc_id") == mine).alias("kept"))
+
+
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: NearRules = NearRules()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; the smallest id of a component is kept."""
+    return _judged(df, id_col, text_col, rules).drop("row")
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: NearRules = NearRules()) -> DataFrame:
-    """The rows of one document of each component: the smallest id (its repeated rows stay together)."""
-    kept = near_components(df, id_col, text_col, rules).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """The rows of one document of each component: the smallest id (rows that repeat its id and text stay together)."""
+    kept = _judged(df, id_col, text_col, rules).filter("kept").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    return df.join(kept, df[id_col].eqNullSafe(kept["__id"]) & (F.xxhash64(df[text_col].cast("string")) == kept["__row"]), "left_semi")

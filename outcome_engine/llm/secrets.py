@@ -39,7 +39,7 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pas
              "auth": 0.6, "bearer": 0.7, "signingkey": 1.0, "encryptionkey": 1.0, "connectionstring": 0.8, "dsn": 0.5, "key": 0.4}
 HARMLESS = {"public", "url", "uri", "name", "path", "file", "field", "label", "type", "length", "len", "count", "id", "prompt", "hint", "regex"}
 PLACEHOLDERS = re.compile(r"(?i)\A(?:x+|\*+|\.+|-+|null|none|nil|true|false|undefined|todo|change_?me|example.*|your[_-].*|dummy|test|<.*>|\$\{?.*|\{\{.*)\Z")
-MIN_LITERAL, MIN_SCORE = 8, 1.0
+MIN_LITERAL, MIN_SCORE = 8, 0.45
 
 # Lexical grammar of the assignment lexer.
 _lexer = re.compile(r"""
@@ -153,7 +153,7 @@ def lexed_spans(text: str) -> list[Span]:
     for name, value in pairs:
         if isinstance(value, _Literal) and value.value not in names and weight[name] > 0:
             looks = value_weight(value.value)
-            if looks and (score := weight[name] + looks) >= MIN_SCORE:
+            if (score := weight[name] * looks) >= MIN_SCORE:
                 for a, b in value.parts:
                     spans[a, b] = max(score, spans.get((a, b), 0.0))
     return [Span(a, "literal", b, round(s, 4)) for (a, b), s in spans.items()]
