@@ -164,7 +164,7 @@ def _ins_report(spark, sf_dir):
 
 # ------------------------------------------------------------------ model-dependent (rows-only check)
 @lru_cache(maxsize=4)
-def trained(spark: SparkSession, sf_dir: str, grid: str = "quick"):
+def trained(spark: SparkSession, sf_dir: str, grid: str = "single"):
     """Select features, scale, split and train the model families once per (session, folder)."""
     from ..operators import models as MD
     v, fmodel, feat = training_frame(spark, sf_dir)
@@ -172,13 +172,11 @@ def trained(spark: SparkSession, sf_dir: str, grid: str = "quick"):
     chosen = sel["selected"]
     # models learn from the feature frame itself (the selection clean-up only ranks features)
     scaler = PR.fit_robust_scaler(feat, chosen)
-    # quick preset for the registered query: 3 folds, one configuration per family
-    split = PR.stratified_split(feat.select("venture_id", "target"), label="target", n_folds=3)
-    data = (PR.robust_scale(feat, scaler, chosen, keep=["venture_id", "target"])
-            .join(split.drop("target"), "venture_id").withColumnRenamed("target", "label"))
-    data = data.persist()
+    # the split only adds columns, so no row is joined to another one's label or fold
+    scaled = PR.robust_scale(feat, scaler, chosen, keep=["venture_id", "target"])
+    data = PR.stratified_split(scaled, label="target").withColumnRenamed("target", "label")
     res = MD.train_models(data, chosen, grid=grid)
-    return {"ventures": v, "features": fmodel, "selection": sel, "scaler": scaler, "result": res, "data": data}
+    return {"ventures": v, "features": fmodel, "selection": sel, "scaler": scaler, "result": res}
 
 
 def _sel_forest(spark, sf_dir):
@@ -194,6 +192,51 @@ def _mdl_results(spark, sf_dir):
     return trained(spark, sf_dir)["result"].metrics
 
 
+def _mdl_chosen(spark, sf_dir):
+    return trained(spark, sf_dir)["result"].chosen
+
+
+def _mdl_errors(spark, sf_dir):
+    return trained(spark, sf_dir)["result"].errors
+
+
+def _mdl_confusion_totals(spark, sf_dir):
+    """Test rows by model and label: fixed by the split, whatever the models say."""
+    cells = M.confusion(trained(spark, sf_dir)["result"].predictions)
+    return cells.groupBy("model", "label").agg(F.sum("n").alias("n"))
+
+
+def _mdl_invariants(spark, sf_dir):
+    """What must hold of any trained run: 1 where it does.
+
+    The soft vote is its members' mean, the best model has the largest AUC, and
+    each AUC of the table equals the share of (positive, negative) pairs in order.
+    """
+    res = trained(spark, sf_dir)["result"]
+    pred, table = res.predictions, res.metrics
+    mean = pred.where(F.col("model").isin(*res.members)).groupBy("row_id").agg(F.avg("score").alias("mean"))
+    vote = pred.where("model = 'Ensemble'").join(mean, "row_id").agg(F.max(F.abs(F.col("score") - F.col("mean"))).alias("d"))
+    top = table.agg(F.max_by("Model", F.struct("ROC-AUC", F.col("Model") == res.best_name)).alias("m"))
+    # pairs are counted per distinct score, not per pair of rows
+    by_score = pred.groupBy("model", "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    low = by_score.select("model", F.col("score").alias("low"), F.col("n").alias("below"))
+    ordered = by_score.where("p > 0").join(low, "model").where("low <= score") \
+        .groupBy("model").agg(F.sum(F.col("p") * F.col("below") * F.when(F.col("low") < F.col("score"), 1.0).otherwise(0.5)).alias("u"))
+    totals = by_score.groupBy("model").agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    auc = ordered.join(totals, "model").select(F.col("model").alias("Model"), (F.col("u") / (F.col("P") * F.col("N"))).alias("a")).join(table, "Model") \
+        .agg(F.max(F.abs(F.col("a") - F.col("ROC-AUC"))).alias("d"), F.count(F.lit(1)).alias("n"))
+    one = lambda df, name, ok: df.select(F.lit(name).alias("invariant"), ok.cast("int").alias("holds"))
+    return one(vote, "ensemble is the mean of its members", F.col("d") < 1e-9) \
+        .union(one(top, "best model has the largest AUC", F.col("m") == res.best_name)) \
+        .union(one(auc, "AUC equals the share of ordered pairs", F.col("d") < 1e-9)) \
+        .union(one(table.agg(F.count(F.lit(1)).alias("n")), "seven families and the ensemble", F.col("n") == 8))
+
+
+def _sco_model_rows(spark, sf_dir):
+    """Id and shown columns of every scored open venture."""
+    return _sco_model_predictions(spark, sf_dir).select("venture_id", "name", "primary_category", "country_code", "funding_total_usd", "company_age_years")
+
+
 def _mdl_importance(spark, sf_dir):
     from ..operators import models as MD
     t = trained(spark, sf_dir)
@@ -250,7 +293,8 @@ def _ins_model_summary(spark, sf_dir):
     """INS-07: best model, its ROC-AUC and its five main factors (prettified names)."""
     res = trained(spark, sf_dir)["result"]
     best = res.metrics.where(F.col("Model") == res.best_name).select("Model", "ROC-AUC")
-    top5 = _importance_table(spark, sf_dir, 5).agg(F.concat_ws(", ", F.collect_list("factor")).alias("top_factors"))
+    pairs = F.collect_list(F.struct(-F.col("importance"), F.col("feature"), F.col("factor")))
+    top5 = _importance_table(spark, sf_dir, 5).agg(F.array_join(F.sort_array(pairs)["factor"], ", ").alias("top_factors"))
     return best.crossJoin(top5)
 
 
@@ -295,6 +339,11 @@ def queries() -> dict:
         "sel_selected": _sel_selected,
         "mdl_results": _mdl_results,
         "mdl_importance": _mdl_importance,
+        "mdl_chosen": _mdl_chosen,
+        "mdl_errors": _mdl_errors,
+        "mdl_confusion_totals": _mdl_confusion_totals,
+        "mdl_invariants": _mdl_invariants,
+        "sco_model_rows": _sco_model_rows,
         "sco_model_predictions": _sco_model_predictions,
         "mdl_roc_curve": _mdl_curve("roc"),
         "mdl_pr_curve": _mdl_curve("pr"),

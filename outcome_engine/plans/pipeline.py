@@ -67,8 +67,11 @@ class Scorer:
 
 
 def run(spark: SparkSession, raw: DataFrame, output_root: str | None = None, settings: Settings = DEFAULT,
-        grid: str = "quick", model_names: list[str] | None = None) -> tuple[RunResult, Scorer]:
-    """End-to-end analysis of a raw venture table."""
+        grid: str = "single", model_names: list[str] | None = None, models: dict | None = None) -> tuple[RunResult, Scorer]:
+    """End-to-end analysis of a raw venture table.
+
+    ``models``: families of the caller's own, as for ``train_models``.
+    """
     kept = CL.drop_incomplete(CL.typed(raw, settings))
     cap = CL.funding_stats(kept, settings)
     v = cut_lineage(CL.clean(raw, settings))                       # 1: cleaned table, stored once
@@ -79,10 +82,9 @@ def run(spark: SparkSession, raw: DataFrame, output_root: str | None = None, set
     sel = SEL.select_features(feat, settings)                      # 3b: selection
     chosen = sel["selected"]
     scaler = PR.fit_robust_scaler(feat, chosen, settings)
-    split = PR.stratified_split(feat.select("venture_id", "target"), "target", settings=settings)
-    data = (PR.robust_scale(feat, scaler, chosen, keep=["venture_id", "target"])
-            .join(split.drop("target"), "venture_id").withColumnRenamed("target", "label")).persist()
-    res = MD.train_models(data, chosen, settings, grid=grid, names=model_names)       # 4-5: models and evaluation
+    scaled = PR.robust_scale(feat, scaler, chosen, keep=["venture_id", "target"])
+    data = PR.stratified_split(scaled, "target", settings=settings).withColumnRenamed("target", "label")
+    res = MD.train_models(data, chosen, settings, grid=grid, names=model_names, models=models)  # 4-5: models and evaluation
     scorer = Scorer(cap, fmodel, chosen, scaler, res.models, res.best_name, settings)
     op = fmodel.transform(v.where(F.col("status") == "operating"))  # 6: open ventures
     op = op.select("*", *[F.col(c).alias(f"_show_{c}") for c in

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,21 +70,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_STORED: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss) into the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table as Parquet to the shared checkpoint folder and read it back.
+
+    It survives executor loss, and later plans prune its columns and push filters
+    into its scan.  ``drop_stored`` deletes these tables.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/oe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete every table that ``cut_lineage`` wrote in this process; call when no result is read any more."""
+    n = len(_STORED)
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
-BROADCAST_ROW_LIMIT = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame, bool]:
+def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only behind a size check.
 
-    Meant for small stored tables (checkpointed fitted statistics), where the
-    count is cheap.  Returns the (possibly broadcast-hinted) frame and whether it
-    was hinted; beyond ``max_rows`` the caller's join stays a shuffle join.
+    Meant for stored tables (``cut_lineage``): their size in rows times the width
+    of a row, strings at their longest, bounds what is sent.  Returns the
+    (possibly hinted) frame and whether it was hinted; beyond ``max_bytes`` the
+    caller's join stays a shuffle join.
     """
-    n = df.count()
-    return (F.broadcast(df), True) if n <= max_rows else (df, False)
+    width = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary"):
+            width = width + F.coalesce(F.max(F.octet_length(f.name)), F.lit(0)).cast("long")
+    size = df.agg((F.count(F.lit(1)) * width).alias("b")).first()["b"] or 0
+    return (F.broadcast(df), True) if size <= max_bytes else (df, False)
