@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .tables import by_text, keep_rows
 
 MAX_SAMPLE = 20_000
+CELLS = 1 << 16  # words in one step of forward-backward
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -98,7 +99,13 @@ class LanguageField:
         begin, total = np.cumsum(lengths) - lengths, 0.0
         order = np.argsort(lengths, kind="stable")
         move = np.exp(self.transitions)
-        for group in np.array_split(order, max(1, len(order) // 2048)):
+        # groups of chains of like length, of at most CELLS places with their padding
+        widest, cuts = lengths[order], [0]
+        while cuts[-1] < len(order):
+            here = cuts[-1]
+            full = (np.arange(1, len(order) - here + 1) * widest[here:]) > CELLS if widest[-1] * (len(order) - here) > CELLS else np.zeros(1, bool)
+            cuts.append(here + max(1, int(full.argmax()) if full.any() else len(order) - here))
+        for group in (order[a:b] for a, b in zip(cuts, cuts[1:])):
             n, size = len(group), int(lengths[group].max(initial=0))
             if not size:
                 continue
