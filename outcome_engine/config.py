@@ -154,6 +154,11 @@ class Roles:
                 if getattr(self, f) != getattr(canon, f)}
 
 
+# The cell texts that a CSV reader of the original analysis takes as missing.
+NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+             "NaN", "None", "n/a", "nan", "null")
+
+
 @dataclass(frozen=True)
 class Settings:
     """Runtime settings.
@@ -169,7 +174,8 @@ class Settings:
     quantile_blocks: int = 64
     approx_accuracy: int = 10000
     # date formats tried in order when coercing text to dates
-    date_formats: tuple[str, ...] = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM")
+    date_formats: tuple[str, ...] = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
+                                     "yyyy-MM-dd'T'HH:mm:ssXXX", "dd-MMM-yyyy", "yyyyMMdd", "yyyy-MM", "yyyy")
     roles: Roles = field(default_factory=Roles)
     seed: int = 42
 
@@ -180,10 +186,9 @@ class Settings:
     def with_(self, **kw) -> "Settings":
         return replace(self, **kw)
 
-    @classmethod
-    def for_cluster(cls, **kw) -> "Settings":
-        """More blocks for quantiles and ranks, so one block stays a modest task at 100 TB."""
-        return cls(quantile_blocks=4096, **kw)
+    def for_rows(self, n: int, rows_per_block: int = 2_000_000) -> "Settings":
+        """As many quantile and rank blocks as keep one block a modest task: from the row count, at least the set number."""
+        return self.with_(quantile_blocks=min(1 << 16, max(self.quantile_blocks, -(-n // rows_per_block))))
 
 
 DEFAULT = Settings()

@@ -32,6 +32,11 @@ def clean_text(c, na_tokens: Sequence[str] = ("nan",)) -> Column:
     return F.when(s.isin(*na_tokens), F.lit(None).cast("string")).otherwise(s)
 
 
+def na_to_null(c) -> Column:
+    """Cell texts that stand for a missing value become null (compared as they are, before any trimming)."""
+    return F.when(~col(c).isin(*C.NA_TOKENS), col(c))
+
+
 def to_number(c) -> Column:
     """Text to double; anything that is not a plain decimal/scientific number is null."""
     s = strip(col(c).cast("string"))

@@ -20,6 +20,7 @@ from .quantiles import quantile_row
 def typed(raw: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Steps 1-5: numeric/date coercion, text trimming, category cleaning, upper-case regions."""
     cols = set(raw.columns)
+    raw = raw.select(*[X.na_to_null(f.name).alias(f.name) if f.dataType.typeName() == "string" else F.col(f.name) for f in raw.schema.fields])
     out = []
     for c in raw.columns:
         if c == "k":
@@ -38,7 +39,8 @@ def typed(raw: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
             out.append(X.to_number(c).alias(c))
         else:
             out.append(F.col(c))
-    if "k" not in cols and "venture_id" not in cols:  # no id given: a content hash (works on streams too)
+    if "k" not in cols and "venture_id" not in cols:
+        # no id given: a content hash (works on streams too).  Equal rows share it; nothing joins rows on it.
         out.append(F.xxhash64(*[F.col(c) for c in raw.columns]).alias("venture_id"))
     df = raw.select(*out)
     missing = [c for c in ("name", "status") if c not in cols]
@@ -135,7 +137,9 @@ def cleaning_report(raw: DataFrame, settings: Settings = DEFAULT, stats: DataFra
     rounds = F.col("funding_rounds")
     rounds_fixed = F.when((capped > 0) & rounds.isNull(), F.lit(1.0)).otherwise(rounds)
     first, founded = F.col("first_funding_at"), F.col("founded_at")
-    removed = raw.agg(F.count(F.lit(1)).alias("rows_in"))
+    dates = [c for c in ("founded_at", "first_funding_at", "last_funding_at") if c in raw.columns]
+    lost = [(X.na_to_null(F.col(c).cast("string")).isNotNull() & X.to_date(c, settings.date_formats).isNull()).cast("long") for c in dates]
+    removed = raw.agg(F.count(F.lit(1)).alias("rows_in"), F.coalesce(F.sum(sum(lost, F.lit(0).cast("long"))), F.lit(0)).alias("unparsed_dates"))
     body = kept.crossJoin(stats).agg(
         F.count(F.lit(1)).alias("rows_kept"),
         F.count_if((f < lo) | (f > hi)).alias("funding_outliers"),
@@ -146,4 +150,4 @@ def cleaning_report(raw: DataFrame, settings: Settings = DEFAULT, stats: DataFra
     )
     return (removed.crossJoin(body)
             .select("rows_in", "rows_kept", (F.col("rows_in") - F.col("rows_kept")).alias("rows_removed"),
-                    "funding_outliers", "cap_value", "capped_rows", "suspicious_rounds", "date_fixes"))
+                    "funding_outliers", "cap_value", "capped_rows", "suspicious_rounds", "date_fixes", "unparsed_dates"))

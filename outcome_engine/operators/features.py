@@ -110,6 +110,7 @@ class FeatureModel:
     base_row: dict | None = None    # the one-row tables' values, applied as literals
     risk_row: dict | None = None
     winsor_row: dict | None = None
+    extra: tuple[tuple[str, str], ...] = ()  # the caller's own features: name and SQL expression over the frame
 
     def transform(self, df: DataFrame) -> DataFrame:
         return _apply(df, self)
@@ -117,6 +118,17 @@ class FeatureModel:
     def save(self, path: str) -> None:
         for name in ("base", "density", "category_rates", "country_rates", "risk", "winsor"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        rows = [(n, e) for n, e in self.extra]
+        self.base.sparkSession.createDataFrame(rows, "name string, expression string").write.mode("overwrite").parquet(f"{path}/extra")
+
+    @classmethod
+    def load(cls, spark, path: str, settings: Settings = DEFAULT) -> FeatureModel:
+        """The statistics that ``save`` wrote."""
+        t = {n: spark.read.parquet(f"{path}/{n}") for n in ("base", "density", "category_rates", "country_rates", "risk", "winsor")}
+        keyed = {n: sized_broadcast(t[n])[0] for n in ("density", "category_rates", "country_rates")}
+        extra = tuple((r["name"], r["expression"]) for r in spark.read.parquet(f"{path}/extra").collect())
+        return cls(t["base"], **keyed, risk=t["risk"], winsor=t["winsor"], settings=settings, base_row=one_row(t["base"]),
+                   risk_row=one_row(t["risk"]), winsor_row=one_row(t["winsor"]), extra=extra)
 
 
 def _stage_b(df: DataFrame, m: FeatureModel) -> DataFrame:
@@ -168,8 +180,12 @@ def _stage_c(df: DataFrame, winsor: dict) -> DataFrame:
     return df.select(*out)
 
 
-def fit_features(train: DataFrame, settings: Settings = DEFAULT) -> FeatureModel:
-    """Fit feature statistics on training rows (must hold ``target``)."""
+def fit_features(train: DataFrame, settings: Settings = DEFAULT, extra_features: dict[str, str] | None = None) -> FeatureModel:
+    """Fit feature statistics on training rows (must hold ``target``).
+
+    ``extra_features`` adds the caller's own: name -> SQL expression over the
+    finished feature frame; name them in ``select_features(..., candidates=...)``.
+    """
     has_target = "target" in train.columns
     base = _base_stats(train, settings)
     base_row = one_row(base)
@@ -191,7 +207,7 @@ def fit_features(train: DataFrame, settings: Settings = DEFAULT) -> FeatureModel
     cat_rates, _ = sized_broadcast(cat_rates)
     cty_rates, _ = sized_broadcast(cty_rates)
     partial = FeatureModel(base, density, cat_rates, cty_rates, risk=None, winsor=None, settings=settings,
-                           has_target=has_target, base_row=base_row, risk_row={"_p90": None})
+                           has_target=has_target, base_row=base_row, risk_row={"_p90": None}, extra=tuple((extra_features or {}).items()))
     # The winsorized columns do not depend on the risk flags, so the 90th percentile of the filled
     # amount comes out of the same ranking pass as the winsor bounds.
     b = _stage_b(a, partial)
@@ -205,7 +221,7 @@ def fit_features(train: DataFrame, settings: Settings = DEFAULT) -> FeatureModel
 def _apply(df: DataFrame, m: FeatureModel) -> DataFrame:
     a = _stage_a(df, m.base_row, m.settings)
     b = _stage_b(a, m)
-    return _stage_c(b, m.winsor_row)
+    return _stage_c(b, m.winsor_row).withColumns({n: F.expr(e) for n, e in m.extra})
 
 
 def build_features(df: DataFrame, settings: Settings = DEFAULT, model: FeatureModel | None = None,

@@ -66,8 +66,8 @@ def robust_scale(df: DataFrame, scaler: DataFrame, features: Sequence[str], keep
 
 
 def scaler_table(scaler: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The fitted scaler as a long table (feature, center, scale)."""
+    """The fitted scaler as a long table (feature, center, scale), by the rule of ``scaler_values``."""
+    vals = scaler_values(scaler, features)
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"{f}__med").alias("center"),
-                               F.when((F.col(f"{f}__q3") - F.col(f"{f}__q1")) == 0, F.lit(1.0))
-                               .otherwise(F.col(f"{f}__q3") - F.col(f"{f}__q1")).alias("scale")) for f in features])
+                               F.lit(vals[f][1]).alias("scale")) for f in features])
     return scaler.select(F.explode(cells).alias("c")).select("c.*")

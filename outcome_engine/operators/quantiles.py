@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..session import cut_lineage
+from ..session import cut_lineage, per_group
 
 
 def _long(df: DataFrame, values: Mapping[str, Column | str], by: Sequence[str]) -> DataFrame:
@@ -89,8 +89,8 @@ def quantile_table(df: DataFrame, values: Mapping[str, Column | str], probs: Seq
         F.sum("_c").alias("_n"),
         (F.percentile_approx("_v", fracs, settings.approx_accuracy) if fracs
          else F.array().cast("array<double>")).alias("_cuts"))
-    if not by:  # one row per measured column: bounded, broadcast it
-        cuts = F.broadcast(cuts)
+    # one row per measured column and group: never a shuffle of all values on a key of a few groups
+    cuts = per_group(cuts) if by else F.broadcast(cuts)
     vb = (vc.join(cuts, keys)
           .withColumn("_b", block_of(F.col("_cuts"), F.col("_v"), len(fracs)))
           .drop("_cuts"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..session import per_group
 from .quantiles import block_of
 
 
@@ -36,8 +37,7 @@ def cumulative_before(df: DataFrame, keys: Sequence[str], value: str, sums: Sequ
         cuts = df.groupBy(*keys).agg(
             (F.percentile_approx(value, fracs, settings.approx_accuracy) if fracs
              else F.array().cast("array<double>")).alias("_cuts"))
-        if not keys:
-            cuts = F.broadcast(cuts)
+        cuts = per_group(cuts) if keys else F.broadcast(cuts)
         base = (df.join(cuts, keys) if keys else df.crossJoin(cuts))
         base = base.withColumn("_blk", block_of(F.col("_cuts"), F.col(value), len(fracs))).drop("_cuts")
     else:

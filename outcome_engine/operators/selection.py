@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import DEFAULT, Settings
 from ..functions import exprs as X
+from ..session import cut_lineage
 from . import stats as S
 from .quantiles import quantile_row
 
@@ -95,12 +96,12 @@ def vote(lists: Sequence[Sequence[str]], corr_order: Sequence[str], all_features
 
 
 def select_features(feat: DataFrame, settings: Settings = DEFAULT, with_forest: bool = True,
-                    prepared: DataFrame | None = None) -> dict:
+                    prepared: DataFrame | None = None, candidates: Sequence[str] = C.CANDIDATE_FEATURES) -> dict:
     """Run the three selectors and the vote; returns the selector tables and the final list."""
-    cands = [f for f in C.CANDIDATE_FEATURES if f in feat.columns]
-    # read by three selectors and a forest fit (one job per tree level): keep it
+    cands = [f for f in candidates if f in feat.columns]
+    # read by three selectors and a forest fit (one job per tree level): store it
     if prepared is None:
-        prepared = prepare(feat, cands, settings=settings).persist()
+        prepared = cut_lineage(prepare(feat, cands, settings=settings))
     corr = correlation_rank(prepared, cands)
     var = variance_table(prepared, cands)
     # The selector outputs are <= 26-row tables: bringing them to the driver is metadata.

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..session import per_group
 from ..functions import exprs as X
 from .quantiles import quantile_table
 
@@ -50,8 +51,9 @@ def histogram(df: DataFrame, value: str | Column, bins: int, by: Sequence[str] =
     rng = rng.select(*range_keys,
                      F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
                      F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
-    rng_b = F.broadcast(rng) if not range_keys else rng
-    joined = data.join(rng_b, range_keys) if range_keys else data.crossJoin(rng_b)
+    if range_keys:
+        rng = per_group(rng)
+    joined = data.join(rng, range_keys) if range_keys else data.crossJoin(F.broadcast(rng))
     counts = (joined.select(*by, bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
               .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n")))
     frame = rng
@@ -82,6 +84,7 @@ def box_stats(df: DataFrame, value: str | Column, by: Sequence[str], settings: S
     q = q.drop("measure").withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("fence_lo", F.col("q1") - whisker * F.col("iqr")).withColumn(
         "fence_hi", F.col("q3") + whisker * F.col("iqr"))
+    q = per_group(q)
     x = F.col("_x")
     agg = data.join(q, by).groupBy(*by).agg(
         F.min(F.when(x >= F.col("fence_lo"), x)).alias("_wlo"),
@@ -106,19 +109,21 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], digits: int = 6,
-                      names: tuple[str, str] = ("col_a", "col_b")) -> DataFrame:
-    """Pearson correlation of each (a, b) pair, one small aggregate per pair.
+                      names: tuple[str, str] = ("col_a", "col_b"), width: int = 9) -> DataFrame:
+    """Pearson correlation of each (a, b) pair.
 
-    Rows are unpivoted into (pair, x, y) and grouped by pair: the map-side partial
-    aggregation emits one row per pair and partition, so the shuffle stays tiny,
-    and the aggregate code stays small enough for whole-stage codegen (one
-    aggregation with hundreds of moment buffers does not).
+    A few global aggregates of ``width`` pairs each: no row is multiplied, a scan
+    reads just its pairs' columns, one row per task is shuffled, and each aggregate
+    stays small enough for whole-stage codegen.
     """
     na, nb = names
-    items = F.array(*[F.struct(F.lit(a).alias(na), F.lit(b).alias(nb), F.col(a).cast("double").alias("_x"),
-                               F.col(b).cast("double").alias("_y")) for a, b in pairs])
-    long = df.select(F.explode(items).alias("_s")).select("_s.*")
-    return long.groupBy(na, nb).agg(F.round(pearson(F.col("_x"), F.col("_y")), digits).alias("corr"))
+    out = None
+    for k in range(0, len(pairs), width):
+        part = pairs[k:k + width]
+        row = df.agg(*[F.round(pearson(F.col(a).cast("double"), F.col(b).cast("double")), digits).alias(f"c{i}") for i, (a, b) in enumerate(part)])
+        cells = row.select(F.inline(F.array(*[F.struct(F.lit(a).alias(na), F.lit(b).alias(nb), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(part)])))
+        out = cells if out is None else out.unionAll(cells)
+    return out
 
 
 def corr_long(df: DataFrame, columns: Sequence[str], lower_only: bool = True, digits: int = 6) -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators import metrics as M
 from ..operators import prep as PR
 from ..operators import scoring as SC
 from ..operators import selection as SEL
+from ..session import cut_lineage
 from .catalog import ventures
 
 DIGITS = 6
@@ -45,6 +46,18 @@ def _training_frame(spark: SparkSession, sf_dir: str, settings: Settings):
     return v, model, model.transform(train)
 
 
+# Features of the caller's own: SQL expressions over the feature frame.
+EXTRA_FEATURES = {"funding_per_year": "funding_total_usd_filled / (company_age_years + 1)",
+                  "web_and_place": "has_homepage * has_location"}
+
+
+def _features_extra(spark, sf_dir):
+    v = ventures(spark, sf_dir)
+    train = FE.with_target(v)
+    model = FE.fit_features(train, DEFAULT, extra_features=EXTRA_FEATURES)
+    return _round_doubles(model.transform(train).select("venture_id", *EXTRA_FEATURES))
+
+
 def _features(spark, sf_dir):
     _, _, feat = training_frame(spark, sf_dir)
     cands = [c for c in C.CANDIDATE_FEATURES if c in feat.columns]
@@ -59,7 +72,7 @@ def _prepared(spark, sf_dir):
 def _prepared_frame(spark, sf_dir, settings):
     """The selection clean-up frame (shared per session; read by three selectors)."""
     _, _, feat = training_frame(spark, sf_dir, settings)
-    return SEL.prepare(feat, list(C.CANDIDATE_FEATURES), settings=settings).persist()
+    return cut_lineage(SEL.prepare(feat, list(C.CANDIDATE_FEATURES), settings=settings))
 
 
 def _sel_correlation(spark, sf_dir):
@@ -84,8 +97,9 @@ def _split(spark, sf_dir):
 
 
 def _scaler(spark, sf_dir):
-    p = _prepared(spark, sf_dir)
-    s = PR.fit_robust_scaler(p, list(C.CANDIDATE_FEATURES))
+    """The scaler that the models use: fitted on the feature frame, with its one rule for an empty range."""
+    _, _, feat = training_frame(spark, sf_dir)
+    s = PR.fit_robust_scaler(feat, list(C.CANDIDATE_FEATURES))
     return _round_doubles(PR.scaler_table(s, list(C.CANDIDATE_FEATURES)))
 
 
@@ -118,9 +132,14 @@ def _met_summary(spark, sf_dir):
 
 def operating_scored(spark, sf_dir, settings: Settings = DEFAULT) -> DataFrame:
     """Open ventures with features from the training statistics and the baseline score."""
+    return SC.baseline_score(_operating_features(spark, sf_dir, settings))
+
+
+@lru_cache(maxsize=8)
+def _operating_features(spark, sf_dir, settings):
+    """Stored once: several summaries and the model scoring read a few of its columns each."""
     v, model, _ = training_frame(spark, sf_dir, settings)
-    op = model.transform(v.where(F.col("status") == "operating"))
-    return SC.baseline_score(op)
+    return cut_lineage(model.transform(v.where(F.col("status") == "operating")))
 
 
 def _sco_summary(spark, sf_dir):
@@ -310,6 +329,7 @@ def _ins_run_summary(spark, sf_dir):
 def queries() -> dict:
     return {
         "fea_features": _features,
+        "fea_extra": _features_extra,
         "sel_correlation": _sel_correlation,
         "sel_variance": _sel_variance,
         "prp_split": _split,

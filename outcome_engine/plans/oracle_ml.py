@@ -154,10 +154,10 @@ def _split_sql() -> str:
 
 def _scaler_sql() -> str:
     parts = [f"select '{f}' as feature, quantile_cont({f}, 0.5) as center, "
-             f"case when quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) = 0 then 1.0 "
-             f"else quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) end as scale from prep" for f in CANDS]
+             f"case when abs(quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25)) < 1e-12 then 1.0 "
+             f"else quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) end as scale from t_feat" for f in CANDS]
     return with_base(f"select feature, round(center, 6) as center, round(scale, 6) as scale from "
-                     f"({' union all '.join(parts)})", *_prepared_ctes())
+                     f"({' union all '.join(parts)})", *TRAIN_FEAT)
 
 
 def _score(src: str) -> str:
@@ -274,6 +274,8 @@ ML_SQL: dict[str, str] = {
     "mdl_invariants": "select invariant, 1 as holds from (values " + ", ".join(f"('{x}')" for x in INVARIANTS) + ") v(invariant)",
     "sco_model_rows": with_base("select venture_id, name, primary_category, country_code, funding_total_usd, company_age_years from o_feat", *OP_FEAT),
     "fea_features": with_base(_feat_select("t_feat"), *TRAIN_FEAT),
+    "fea_extra": with_base("select venture_id, round(funding_total_usd_filled / (company_age_years + 1), 6) as funding_per_year, "
+                           "has_homepage * has_location as web_and_place from t_feat", *TRAIN_FEAT),
     "sel_correlation": _corr_sql(),
     "sel_variance": _variance_sql(),
     "prp_split": _split_sql(),

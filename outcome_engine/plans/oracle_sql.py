@@ -90,10 +90,19 @@ def _to_number(e: str) -> str:
 def _to_date(e: str) -> str:
     s = _strip(e)
     return (f"coalesce(try_strptime({s}, '%Y-%m-%d'), try_strptime({s}, '%Y/%m/%d'), "
-            f"try_strptime({s}, '%m/%d/%Y'), try_strptime({s}, '%Y-%m-%d %H:%M:%S'))::date")
+            f"try_strptime({s}, '%m/%d/%Y'), try_strptime({s}, '%Y-%m-%d %H:%M:%S'), "
+            f"try_strptime({s}, '%Y-%m-%dT%H:%M:%S'), try_strptime({s}, '%d-%b-%Y'), try_strptime({s}, '%Y%m%d'), try_strptime({s}, '%Y-%m'))::date")
+
+
+# Missing-value texts, written out here and not taken from the engine.
+_NA = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', "
+       "'None', 'n/a', 'nan', 'null'")
+_TEXT_COLUMNS = ("name", "homepage_url", "category_list", "funding_total_usd", "status", "country_code", "state_code", "city", "founded_at",
+                 "first_funding_at", "last_funding_at")
 
 
 TYPED = f"""
+cells as (select * replace ({', '.join(f"case when {c} not in ({_NA}) then {c} end as {c}" for c in _TEXT_COLUMNS)}) from ventures_raw),
 typed as (
   select k as venture_id,
     {_clean_text('name')} as name,
@@ -108,7 +117,7 @@ typed as (
     {_to_date('founded_at')} as founded_at,
     {_to_date('first_funding_at')} as first_funding_at,
     {_to_date('last_funding_at')} as last_funding_at
-  from ventures_raw),
+  from cells),
 kept as (select * from typed where status is not null and name is not null),
 fstats as (select quantile_cont(funding_total_usd, 0.25) q1, quantile_cont(funding_total_usd, 0.75) q3,
                   quantile_cont(funding_total_usd, {C.CAP_QUANTILE}) cap from kept),
@@ -429,7 +438,9 @@ PANEL_SQL: dict[str, str] = {
 
 CLEAN_REPORT_SQL = with_base(
     "select r.rows_in, k.rows_kept, r.rows_in - k.rows_kept as rows_removed, k.funding_outliers, k.cap_value, "
-    "k.capped_rows, k.suspicious_rounds, k.date_fixes from (select count(*) as rows_in from typed) r, "
+    "k.capped_rows, k.suspicious_rounds, k.date_fixes, u.unparsed_dates from (select count(*) as rows_in from typed) r, "
+    "(select cast(coalesce(sum(" + " + ".join(f"cast({c} is not null and {_to_date(c)} is null as integer)" for c in ("founded_at", "first_funding_at", "last_funding_at"))
+    + "), 0) as bigint) as unparsed_dates from cells) u, "
     "(select count(*) as rows_kept, "
     f"cast(count_if(funding_total_usd < q1 - {C.OUTLIER_IQR_FACTOR} * (q3 - q1) or "
     f"funding_total_usd > q3 + {C.OUTLIER_IQR_FACTOR} * (q3 - q1)) as bigint) as funding_outliers, "

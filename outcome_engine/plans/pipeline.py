@@ -8,12 +8,15 @@ model).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Settings
+from .. import config as C
+from ..config import DEFAULT, Roles, Settings
 from ..operators import clean as CL
 from ..operators import features as FE
 from ..operators import insights as INS
@@ -65,21 +68,48 @@ class Scorer:
                                *[F.col(f"_show_{c}").alias(c) for c in shown])
         return SC.prediction_table(scored)
 
+    def save(self, root: str) -> None:
+        """Everything that scoring needs, below ``<root>/models``: a later session can ``load`` it."""
+        base = sinks.layout(root)["models"]
+        sinks.save_models(self.models, root)
+        self.feature_model.save(f"{base}/feature_statistics")
+        sinks.write_table(self.scaler, f"{base}/scaler", partitions=1)
+        sinks.write_table(self.cap, f"{base}/funding_cap", partitions=1)
+        members = {n: len(m) if isinstance(m, list) else 0 for n, m in self.models.items()}
+        settings = {k: v for k, v in asdict(self.settings).items() if k != "roles"}
+        meta = {"features": list(self.features), "best": self.best, "models": members, "settings": settings, "roles": asdict(self.settings.roles)}
+        spark = self.scaler.sparkSession
+        sinks.write_table(spark.createDataFrame([(json.dumps(meta),)], "meta string"), f"{base}/scorer", partitions=1)
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str) -> Scorer:
+        """A scorer that ``save`` wrote."""
+        base = sinks.layout(root)["models"]
+        meta = json.loads(spark.read.parquet(f"{base}/scorer").first()["meta"])
+        kept = meta["settings"] | {"date_formats": tuple(meta["settings"]["date_formats"]), "roles": Roles(**meta["roles"])}
+        settings = Settings(**kept)
+        load = lambda name, suffix="": PipelineModel.load(f"{base}/{sinks.model_key(name)}{suffix}")
+        models = {n: [load(n, f"_member{i}") for i in range(k)] if k else load(n) for n, k in meta["models"].items()}
+        return cls(spark.read.parquet(f"{base}/funding_cap"), FE.FeatureModel.load(spark, f"{base}/feature_statistics", settings),
+                   meta["features"], spark.read.parquet(f"{base}/scaler"), models, meta["best"], settings)
+
 
 def run(spark: SparkSession, raw: DataFrame, output_root: str | None = None, settings: Settings = DEFAULT,
-        grid: str = "single", model_names: list[str] | None = None, models: dict | None = None) -> tuple[RunResult, Scorer]:
+        grid: str = "single", model_names: list[str] | None = None, models: dict | None = None,
+        extra_features: dict[str, str] | None = None) -> tuple[RunResult, Scorer]:
     """End-to-end analysis of a raw venture table.
 
-    ``models``: families of the caller's own, as for ``train_models``.
+    ``models``: families of the caller's own, as for ``train_models``;
+    ``extra_features``: features of the caller's own, as for ``fit_features``.
     """
     kept = CL.drop_incomplete(CL.typed(raw, settings))
     cap = CL.funding_stats(kept, settings)
     v = cut_lineage(CL.clean(raw, settings))                       # 1: cleaned table, stored once
     panels = {name: fn(v, settings) for name, fn in P.PANELS.items()}  # 2: dashboards
     train = FE.with_target(v)                                      # 3: features
-    fmodel = FE.fit_features(train, settings)
+    fmodel = FE.fit_features(train, settings, extra_features)
     feat = fmodel.transform(train)
-    sel = SEL.select_features(feat, settings)                      # 3b: selection
+    sel = SEL.select_features(feat, settings, candidates=[*C.CANDIDATE_FEATURES, *(extra_features or {})])  # 3b: selection
     chosen = sel["selected"]
     scaler = PR.fit_robust_scaler(feat, chosen, settings)
     scaled = PR.robust_scale(feat, scaler, chosen, keep=["venture_id", "target"])
@@ -105,9 +135,9 @@ def run(spark: SparkSession, raw: DataFrame, output_root: str | None = None, set
         sinks.write_table(res.metrics, f"{out['data']}/model_results", partitions=1)
         sinks.write_table(predictions, f"{out['data']}/predictions")
         sinks.write_table(report, f"{out['data']}/report", partitions=1)
-        sinks.save_models(res.models, output_root)
-        fmodel.save(f"{out['models']}/feature_statistics")
-        sinks.write_table(scaler, f"{out['models']}/scaler", partitions=1)
+        sinks.write_table(res.chosen, f"{out['data']}/model_settings", partitions=1)
+        sinks.write_table(res.errors, f"{out['data']}/model_errors", partitions=1)
+        scorer.save(output_root)
     return result, scorer
 
 

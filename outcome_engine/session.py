@@ -85,10 +85,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Delete every table that ``cut_lineage`` wrote in this process; call when no result is read any more."""
-    n = len(_STORED)
-    while _STORED:
+def stored_tables() -> int:
+    """How many tables ``cut_lineage`` wrote in this process and still keeps."""
+    return len(_STORED)
+
+
+def drop_stored(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that ``cut_lineage`` wrote after the first ``since``; call when no result reads them any more."""
+    n = len(_STORED) - since
+    while len(_STORED) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
@@ -111,3 +116,12 @@ def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[Da
             width = width + F.coalesce(F.max(F.octet_length(f.name)), F.lit(0)).cast("long")
     size = df.agg((F.count(F.lit(1)) * width).alias("b")).first()["b"] or 0
     return (F.broadcast(df), True) if size <= max_bytes else (df, False)
+
+
+def per_group(df: DataFrame) -> DataFrame:
+    """Store a table of one row per group and broadcast it if its size allows.
+
+    For joining statistics of a few groups back to detail rows: a shuffle join on
+    such a key would send all rows to as many tasks as there are groups.
+    """
+    return sized_broadcast(cut_lineage(df))[0]

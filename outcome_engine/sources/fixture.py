@@ -37,7 +37,7 @@ FIXTURE_COLUMNS: tuple[tuple[str, str], ...] = (
      f"when 3 then {_url('.net')} when 4 then {_url('.io', upper=True)} when 5 then {_url('.co')} "
      f"else {_url('.de')} end"),
     ("category_list",
-     f"case when c_custkey%19=0 then null else concat(' ',split_part('{_CATEGORY_WORDS}',',',cast(c_custkey%16+1 as int)),"
+     f"case when c_custkey%19=0 then null when c_custkey%37=0 then 'null' else concat(' ',split_part('{_CATEGORY_WORDS}',',',cast(c_custkey%16+1 as int)),"
      f"case when c_custkey%3>0 then concat('|',split_part('{_CATEGORY_WORDS}',',',cast((c_custkey*7+5)%16+1 as int))) else '' end,"
      "case when c_custkey%7=3 then '||analytics ' else '' end) end"),
     ("funding_total_usd",
@@ -45,17 +45,18 @@ FIXTURE_COLUMNS: tuple[tuple[str, str], ...] = (
      "*cast(case cast(floor(c_custkey/7) as int)%5 when 0 then 0.01 when 1 then 0.1 when 2 then 1 when 3 then 10 "
      "else 50 end as decimal(4,2)) as decimal(18,4)) as string) end"),
     ("status",
-     "case (c_custkey*37)%10 when 0 then 'acquired' when 1 then 'acquired' when 2 then "
-     "(case when c_nationkey<12 then 'ipo' else 'closed' end) when 3 then 'closed' when 4 then "
-     "(case when cast(floor(c_custkey/7) as int)%5<3 then 'Closed' else 'acquired' end) else 'operating' end"),
+     "case when c_custkey%101=0 then 'NA' else case (c_custkey*37)%10 when 0 then 'acquired' when 1 then 'acquired' when 2 then "
+     "(case when c_nationkey<12 then 'ipo' else 'closed' end) when 3 then "
+     "(case when cast(floor(c_custkey/7) as int)%5=4 then 'acquired' else 'closed' end) when 4 then "
+     "(case when cast(floor(c_custkey/7) as int)%5<3 then 'Closed' else 'acquired' end) else 'operating' end end"),
     ("country_code",
-     f"case when c_nationkey=24 then null else lower(split_part('{_COUNTRY_CODES}',',',cast(c_nationkey%12+1 as int))) end"),
+     f"case when c_nationkey=24 then null when c_custkey%31=0 then 'N/A' else lower(split_part('{_COUNTRY_CODES}',',',cast(c_nationkey%12+1 as int))) end"),
     ("state_code", "case when c_custkey%4=0 then null else concat('s',cast(c_custkey%9 as string)) end"),
     ("city", "case when c_custkey%6=0 then null else concat('City ',cast(c_custkey%40 as string)) end"),
     ("funding_rounds", "case when c_custkey%23=0 then null else n end"),
     ("founded_at",
      "case when c_custkey%13=0 then null else cast(d0+cast((c_custkey%21)*365-c_custkey%900+"
-     "(case when c_custkey%50=7 then 1000 else 0 end) as int) as string) end"),
+     "(case when c_custkey%50=7 then 1000 else 0 end) as int) as string) || (case when c_custkey%17=0 then 'T08:30:00' else '' end) end"),
     ("first_funding_at", "cast(d0+cast((c_custkey%21)*365 as int) as string)"),
     ("last_funding_at",
      "case when c_custkey%29=0 then 'n/a-date' else cast(d1+cast((c_custkey%21)*365 as int) as string) end"),

@@ -14,17 +14,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_ventures_csv(spark: SparkSession, path: str, roles: Roles | None = None) -> DataFrame:
+#: The same for files and streams, so one file parses alike in both.
+CSV_OPTIONS = {"header": "true", "escape": '"', "mode": "PERMISSIVE"}
+
+
+def read_ventures_csv(spark: SparkSession, path: str, roles: Roles | None = None, multi_line: bool = False) -> DataFrame:
     """Headered CSV, every column as text (the cleaner does the typing).
 
     Without ``inferSchema`` Spark reads all columns as strings named by the
-    header, so there is no inference pass over the input; quoted multi-line
-    fields are accepted.  ``roles`` renames the input's columns onto the
+    header, so there is no inference pass over the input.  ``multi_line`` accepts
+    line breaks inside quoted fields, at the cost of one task per file.  ``roles`` renames the input's columns onto the
     engine's names; columns the engine does not use are kept as they are.
     """
     roles = roles or Roles()
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("mode", "PERMISSIVE").csv(path))
+    df = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).csv(path)
     for src, dst in roles.rename_map().items():
         if src in df.columns:
             df = df.withColumnRenamed(src, dst)

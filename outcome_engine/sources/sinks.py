@@ -6,6 +6,7 @@ any Hadoop-compatible URI; Spark's writers create the folders.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -34,12 +35,16 @@ def write_panels(panels: Mapping[str, DataFrame], root: str) -> list[str]:
     return done
 
 
+def model_key(name: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
+
+
 def save_models(models: Mapping[str, object], root: str) -> list[str]:
     """Spark ML persistence of every fitted model (an ensemble is saved member by member)."""
     saved = []
     base = layout(root)["models"]
     for name, m in models.items():
-        key = name.lower().replace(" ", "_")
+        key = model_key(name)
         members = m if isinstance(m, list) else [m]
         for i, mm in enumerate(members):
             suffix = f"_member{i}" if isinstance(m, list) else ""

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..plans.pipeline import Scorer
-from ..sources.readers import RAW_COLUMNS
+from ..sources.readers import CSV_OPTIONS, RAW_COLUMNS
 
 
-def read_stream(spark: SparkSession, folder: str, columns=RAW_COLUMNS) -> DataFrame:
+def read_stream(spark: SparkSession, folder: str, columns=RAW_COLUMNS, multi_line: bool = False) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    return spark.readStream.schema(schema).option("header", True).csv(folder)
+    return spark.readStream.schema(schema).options(**CSV_OPTIONS).option("multiLine", multi_line).csv(folder)
 
 
 def score_stream(spark: SparkSession, scorer: Scorer, folder: str) -> DataFrame:
