@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import DEFAULT, Settings
 from ..functions import exprs as X
+from ..session import cut_lineage
 from . import cohorts as K
 from .quantiles import bounded_quantile_row, quantile_row
 
@@ -25,34 +26,62 @@ def _won():
     return F.col("status").isin(*C.SUCCESS_STATUSES)
 
 
+def _conc():
+    return F.col("status").isin(*C.CONCLUDED_STATUSES)
+
+
+def _key_stats() -> list:
+    return [F.count(F.lit(1)).alias("n_total"), F.count_if(_conc()).alias("n_concluded"),
+            X.pct(F.count_if(_conc() & _won()), F.count_if(_conc())).alias("success_rate"),
+            F.count_distinct("country_code").alias("n_countries"), F.count_distinct("primary_category").alias("n_categories")]
+
+
+def _risk_factors() -> list:
+    failed = F.col("status") == "closed"
+    share = lambda c: X.pct(F.count_if(failed & c), F.count_if(failed))
+    return [F.count_if(failed).alias("n_failed"), share(F.col("has_funding") == 0).alias("pct_no_funding"),
+            share(F.col("has_location") == 0).alias("pct_no_location"), share(F.col("category_count") == 1).alias("pct_single_category"),
+            share(F.col("has_homepage") == 0).alias("pct_no_website"),
+            F.round(F.avg(F.when(failed, F.col("company_age_years"))), 4).alias("mean_age_at_failure")]
+
+
+def _funding() -> list:
+    f, conc, won = F.col("funding_total_usd"), _conc(), _won()
+    rate = lambda c: X.pct(F.count_if(conc & c & won), F.count_if(conc & c))
+    with_rate, without_rate = rate(F.col("has_funding") == 1), rate(F.col("has_funding") == 0)
+    return [F.round(F.avg(F.when(conc & won, f)), 2).alias("mean_funding_success"),
+            F.round(F.avg(F.when(F.col("status") == "closed", f)), 2).alias("mean_funding_failed"),
+            with_rate.alias("rate_with_funding"), without_rate.alias("rate_without_funding"),
+            F.round(with_rate - without_rate, 6).alias("funded_lift_pp")]
+
+
+def _timing() -> list:
+    won, age = _conc() & _won(), F.col("company_age_years")
+    return [X.pct(F.count_if(won & (age < 2)), F.count_if(won)).alias("pct_early_exit"),
+            X.pct(F.count_if(won & (age > 10)), F.count_if(won)).alias("pct_late_exit")]
+
+
+def _tech() -> list:
+    conc, t = _conc(), F.col("is_tech_startup") == 1
+    tech_rate = X.pct(F.count_if(conc & t & _won()), F.count_if(conc & t))
+    return [F.count_if(conc & t).alias("n_tech_concluded"), tech_rate.alias("tech_success_rate"),
+            F.round(tech_rate - X.pct(F.count_if(conc & _won()), F.count_if(conc)), 6).alias("tech_vs_overall_pp")]
+
+
 def key_stats(v: DataFrame) -> DataFrame:
-    conc = F.col("status").isin(*C.CONCLUDED_STATUSES)
-    return v.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(conc).alias("n_concluded"),
-                 X.pct(F.count_if(conc & _won()), F.count_if(conc)).alias("success_rate"),
-                 F.count_distinct("country_code").alias("n_countries"),
-                 F.count_distinct("primary_category").alias("n_categories"))
+    return v.agg(*_key_stats())
 
 
 def risk_factors(v: DataFrame) -> DataFrame:
     """Shares of failed ventures without funding / location / second category / website; mean age at failure."""
-    failed = v.where(F.col("status") == "closed")
-    n = F.count(F.lit(1))
-    return failed.agg(n.alias("n_failed"),
-                      X.pct(F.count_if(F.col("has_funding") == 0), n).alias("pct_no_funding"),
-                      X.pct(F.count_if(F.col("has_location") == 0), n).alias("pct_no_location"),
-                      X.pct(F.count_if(F.col("category_count") == 1), n).alias("pct_single_category"),
-                      X.pct(F.count_if(F.col("has_homepage") == 0), n).alias("pct_no_website"),
-                      F.round(F.avg("company_age_years"), 4).alias("mean_age_at_failure"))
+    return v.agg(*_risk_factors())
 
 
 def opportunity(v: DataFrame) -> DataFrame:
-    """Top 20 primary categories by size with more than 30 concluded: success rate vs competition."""
-    top = K.value_counts(v, "primary_category", top=20).select("primary_category", F.col("n").alias("competition"),
-                                                                "rank")
-    rates = (_concluded(v).join(F.broadcast(top.select("primary_category")), "primary_category")
-             .groupBy("primary_category").agg(F.count(F.lit(1)).alias("n_concluded"),
-                                               F.count_if(_won()).alias("n_success")))
-    out = top.join(rates, "primary_category").where(F.col("n_concluded") > C.MIN_OPPORTUNITY_CONCLUDED)
+    """Top 20 primary categories by size with more than 30 concluded: success rate vs competition.  One pass."""
+    sizes = v.where(F.col("primary_category").isNotNull()).groupBy("primary_category").agg(F.count(F.lit(1)).alias("competition"), F.count_if(_conc()).alias("n_concluded"),
+                                              F.count_if(_conc() & _won()).alias("n_success"))
+    out = K.top_k(sizes, "competition", "primary_category", 20).where(F.col("n_concluded") > C.MIN_OPPORTUNITY_CONCLUDED)
     return out.select("primary_category", "rank", "competition", "n_concluded",
                       X.pct(F.col("n_success"), F.col("n_concluded")).alias("success_rate"))
 
@@ -65,6 +94,7 @@ def quadrants(opp: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 def high_opportunity(opp: DataFrame, settings: Settings = DEFAULT, k: int = 5) -> DataFrame:
     """Categories above the median rate and below the median competition, best k by rate."""
+    opp = cut_lineage(opp)  # at most 20 rows, read for the medians and for the choice
     j = opp.crossJoin(F.broadcast(quadrants(opp, settings)))
     sel = j.where((F.col("success_rate") > F.col("median_success_rate"))
                   & (F.col("competition") < F.col("median_competition")))
@@ -89,35 +119,18 @@ def geography(v: DataFrame, k: int = 5, gate: str = "after") -> DataFrame:
 
 
 def funding(v: DataFrame) -> DataFrame:
-    c = _concluded(v)
-    f = F.col("funding_total_usd")
-    funded = F.col("has_funding") == 1
-    unfunded = F.col("has_funding") == 0
-    with_rate = X.pct(F.count_if(funded & _won()), F.count_if(funded))
-    without_rate = X.pct(F.count_if(unfunded & _won()), F.count_if(unfunded))
-    return c.agg(F.round(F.avg(F.when(_won(), f)), 2).alias("mean_funding_success"),
-                 F.round(F.avg(F.when(F.col("status") == "closed", f)), 2).alias("mean_funding_failed"),
-                 with_rate.alias("rate_with_funding"), without_rate.alias("rate_without_funding"),
-                 F.round(with_rate - without_rate, 6).alias("funded_lift_pp"))
+    return v.agg(*_funding())
 
 
 def timing(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     won = _concluded(v).where(_won())
     age = F.col("company_age_years")
     med = quantile_row(won, {"a": age}, [0.5], ["med"], settings=settings)
-    n = F.count(F.lit(1))
-    shares = won.agg(X.pct(F.count_if(age < 2), n).alias("pct_early_exit"),
-                     X.pct(F.count_if(age > 10), n).alias("pct_late_exit"))
-    return med.select(F.col("a__med").alias("median_age_at_success")).crossJoin(shares)
+    return med.select(F.col("a__med").alias("median_age_at_success")).crossJoin(v.agg(*_timing()))
 
 
 def tech(v: DataFrame) -> DataFrame:
-    c = _concluded(v)
-    t = F.col("is_tech_startup") == 1
-    overall = X.pct(F.count_if(_won()), F.count(F.lit(1)))
-    tech_rate = X.pct(F.count_if(t & _won()), F.count_if(t))
-    return c.agg(F.count_if(t).alias("n_tech_concluded"), tech_rate.alias("tech_success_rate"),
-                 F.round(tech_rate - overall, 6).alias("tech_vs_overall_pp"))
+    return v.agg(*_tech())
 
 
 def _lines(df: DataFrame, section: str, metrics: list[str]) -> DataFrame:
@@ -128,14 +141,19 @@ def _lines(df: DataFrame, section: str, metrics: list[str]) -> DataFrame:
 
 def report(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """The numeric report as one long table (section, metric, value)."""
+    # all plain aggregates come from one pass over the table
+    won = _concluded(v).where(_won())
+    median = quantile_row(won, {"a": F.col("company_age_years")}, [0.5], ["med"], settings=settings)
+    one = cut_lineage(v.agg(*_key_stats(), *_risk_factors(), *_funding(), *_timing(), *_tech())
+                      .crossJoin(median.select(F.col("a__med").alias("median_age_at_success"))))
     parts = [
-        _lines(key_stats(v), "key_statistics", ["n_total", "n_concluded", "success_rate", "n_countries", "n_categories"]),
-        _lines(risk_factors(v), "risk_factors", ["pct_no_funding", "pct_no_location", "pct_single_category",
-                                                 "pct_no_website", "mean_age_at_failure"]),
-        _lines(funding(v), "funding", ["mean_funding_success", "mean_funding_failed", "rate_with_funding",
-                                       "rate_without_funding", "funded_lift_pp"]),
-        _lines(timing(v, settings), "timing", ["median_age_at_success", "pct_early_exit", "pct_late_exit"]),
-        _lines(tech(v), "technology", ["n_tech_concluded", "tech_success_rate", "tech_vs_overall_pp"]),
+        _lines(one, "key_statistics", ["n_total", "n_concluded", "success_rate", "n_countries", "n_categories"]),
+        _lines(one, "risk_factors", ["pct_no_funding", "pct_no_location", "pct_single_category", "pct_no_website",
+                                     "mean_age_at_failure"]),
+        _lines(one, "funding", ["mean_funding_success", "mean_funding_failed", "rate_with_funding", "rate_without_funding",
+                                "funded_lift_pp"]),
+        _lines(one, "timing", ["median_age_at_success", "pct_early_exit", "pct_late_exit"]),
+        _lines(one, "technology", ["n_tech_concluded", "tech_success_rate", "tech_vs_overall_pp"]),
         geography(v).select(F.lit("geography").alias("section"), F.col("country_code").alias("metric"),
                             F.col("success_rate").alias("value")),
         high_opportunity(opportunity(v), settings).select(F.lit("high_opportunity").alias("section"),
