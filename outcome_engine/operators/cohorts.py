@@ -33,11 +33,18 @@ def concluded(df: DataFrame) -> DataFrame:
     return df.where(is_concluded())
 
 
-def value_counts(df: DataFrame, key: str | Column, name: str | None = None, top: int | None = None) -> DataFrame:
-    """Counts per non-null key, with a dense rank (count desc, key asc); ``top`` keeps the first k."""
+def value_counts(df: DataFrame, key: str | Column, name: str | None = None, top: int | None = None, order: str | None = None) -> DataFrame:
+    """Counts per non-null key; ``top`` keeps the k largest, with their rank (count desc, key asc).
+
+    ``order`` adds the row's ``position``, by ``count`` (desc, then key) or by ``key``:
+    for keys of a few values only, as one task ranks them.
+    """
     k = F.col(key) if isinstance(key, str) else key
     name = name or (key if isinstance(key, str) else "key")
     counts = df.where(k.isNotNull()).groupBy(k.alias(name)).agg(F.count(F.lit(1)).alias("n"))
+    if order:
+        by = [F.col("n").desc(), F.col(name)] if order == "count" else [F.col(name)]
+        return counts.withColumn("position", F.row_number().over(Window.orderBy(*by)))
     return top_k(counts, "n", name, top) if top else counts
 
 

@@ -324,9 +324,9 @@ PANEL_SQL: dict[str, str] = {
         f"cast(sum(has_funding) as bigint) as n_funded, {pct('sum(has_funding)', 'count(*)')} as pct_funded, "
         f"cast(sum(has_location) as bigint) as n_located, {pct('sum(has_location)', 'count(*)')} as pct_located, "
         "round(avg(funding_rounds), 4) as mean_rounds from ventures"),
-    "d2_status_counts": with_base("select status, count(*) as n from ventures where status is not null group by status"),
+    "d2_status_counts": with_base("select status, count(*) as n, cast(row_number() over (order by count(*) desc, status) as integer) as position from ventures where status is not null group by status"),
     "d2_success_split": with_base(
-        f"select success_category, count(*) as n from ventures where {CONCLUDED} group by success_category"),
+        f"select success_category, count(*) as n, cast(row_number() over (order by count(*) desc, success_category) as integer) as position from ventures where {CONCLUDED} group by success_category"),
     "d2_rate_by_age": rate_by_bucket_sql(f"{CONCLUDED} and {AGE} is not null", AGE, C.AGE_GROUPS, "age_group"),
     "d2_outcome_age_hist": _hist_query(AGE, 20, f"{CONCLUDED} and {AGE} > 0 and {AGE} < 30",
                                        by=["success_category"], shared=True),
@@ -388,7 +388,7 @@ PANEL_SQL: dict[str, str] = {
         f"(select {YEAR} as year, count(distinct category) as n_categories from ({EXPLODED}) "
         "where year(founded_at) between 2000 and 2020 group by 1) c on s.year = c.year"),
     "d5_category_count_dist": with_base(
-        "select category_count, count(*) as n from ventures where category_count <= 10 group by category_count"),
+        "select category_count, count(*) as n, cast(row_number() over (order by category_count) as integer) as position from ventures where category_count <= 10 group by category_count"),
     "d5_category_insights": with_base(
         "select c.n_categories, p.category as most_popular, p.n as most_popular_n, m.mean_category_count, "
         "b.category as best_rate_category, b.success_rate as best_rate, "
@@ -398,7 +398,7 @@ PANEL_SQL: dict[str, str] = {
         "cross join (select round(avg(category_count), 4) as mean_category_count from ventures) m "
         f"left join ({top_k_sql(f'(select category, rank, {pct(f"count_if({SUCCESS})", "count(*)")} as success_rate from {CAT_MATCH} where {CONCLUDED} group by category, rank having count(*) > {C.MIN_CATEGORY_CONCLUDED})', 'success_rate', 'rank', 1, '_k')}) b on true "
         f"left join ({top_k_sql(CAT_FUNDING, 'mean_funding', 'category', 1)}) f on true"),
-    "d6_year_counts": with_base(f"select {YEAR} as year, count(*) as n from ventures where {TEMPORAL} group by 1"),
+    "d6_year_counts": with_base(f"select year, n, cast(row_number() over (order by year) as integer) as position from (select {YEAR} as year, count(*) as n from ventures where {TEMPORAL} group by 1)"),
     "d6_rate_by_year": with_base(
         f"select {YEAR} as year, {rate_cols()} from ventures where {TEMPORAL} and {CONCLUDED} "
         f"and year(founded_at) between 1995 and 2019 group by 1 having count(*) > {C.MIN_YEAR_CONCLUDED}"),

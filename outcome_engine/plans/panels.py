@@ -77,11 +77,11 @@ def d1_overview_stats(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 # ---------------------------------------------------------------- d2 outcomes
 def d2_status_counts(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    return K.value_counts(v, "status")
+    return K.value_counts(v, "status", order="count")
 
 
 def d2_success_split(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    return K.value_counts(K.concluded(v), "success_category")
+    return K.value_counts(K.concluded(v), "success_category", order="count")
 
 
 def d2_rate_by_age(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -241,7 +241,7 @@ def d5_diversity_by_year(v: DataFrame, settings: Settings = DEFAULT) -> DataFram
 
 
 def d5_category_count_dist(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    return K.value_counts(v.where(F.col("category_count") <= 10), "category_count")
+    return K.value_counts(v.where(F.col("category_count") <= 10), "category_count", order="key")
 
 
 def d5_category_insights(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -266,7 +266,7 @@ def _temporal(v: DataFrame) -> DataFrame:
 
 
 def d6_year_counts(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    return K.value_counts(_temporal(v), _C.year.alias("year"), name="year")
+    return K.value_counts(_temporal(v), _C.year.alias("year"), name="year", order="key")
 
 
 def d6_rate_by_year(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
