@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .. import config as C
-from ..operators.features import WINSORIZED
+from . import oracle_values as C
 from .oracle_sql import _any_substring, _q, bucket_sql, labels_values, pct, ratio, top_k_sql, with_base, pearson_sql
 
-CUR_YEAR = C.DEFAULT.current_year
+CUR_YEAR = C.CURRENT_YEAR
+WINSORIZED = C.WINSORIZED
 INT_FEATURES = ("has_funding", "has_location", "has_homepage", "is_tech_startup", "tier1_country", "emerging_market",
                 "founded_in_recession", "market_density", "high_risk_profile", "low_risk_profile")
 CANDS = list(C.CANDIDATE_FEATURES)
@@ -148,7 +148,7 @@ def _split_sql() -> str:
         f"select venture_id, target, cast(rk <= {k} as integer) as is_test, "
         f"case when rk > {k} then cast((rk - {k} - 1) % 5 as integer) end as fold from "
         "(select venture_id, target, row_number() over (partition by target order by "
-        f"md5(concat('{C.DEFAULT.seed}', '-', cast(venture_id as varchar)))) as rk, "
+        f"md5(concat('{C.SEED}', '-', cast(venture_id as varchar)))) as rk, "
         "count(*) over (partition by target) as n from t_feat)", *TRAIN_FEAT)
 
 

@@ -7,11 +7,11 @@ query then adds its own SELECT.  Nothing here is executed by the engine.
 
 from __future__ import annotations
 
-from .. import config as C
 from ..sources.fixture import VENTURES_RAW_SQL
+from . import oracle_values as C
 
 WS = r"'^\s+|\s+$'"
-AS_OF = C.DEFAULT.as_of
+AS_OF = C.AS_OF
 
 
 def _q(s: str) -> str:
