@@ -24,21 +24,19 @@ import numpy as np
 
 #: Unicode White_Space, which is what \s means in the tokenizers' patterns (fixed values).
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-START = "\ud800"  # in no valid text
+START, END = "\ud800", "\ud801"  # in no valid text
 #: Distinct atoms that a worker remembers; beyond it the cache starts anew (bounded memory).
-MAX_ATOMS = 1_000_000
+MAX_ATOMS = 2_000_000
 
 _run = re.compile(f"[^{WS}]+")
 _byte_atom = re.compile(f"( ?)([^{WS}]+)|[{WS}]+(?![^{WS}])|[{WS}]")
 #: Punctuation behind a letter starts a pre-token in both kinds; an apostrophe may not.
 TAIL = ".,;:!?*#$%&|"
-#: Texts whose lower case or white space Python and the tokenizer may see differently.
-_odd_word = re.compile("[\\x00-\\x08\\x0e-\\x1fİ]|[^\\x00-ɏ]")
-_odd_byte = re.compile("\\A[ \\n]|[ \\n]\\Z|[ \\n][ \\n]|[\\x00-\\x09\\x0b-\\x1f\\x85\\xa0]|[^\\x00-ɏ]")
 
 
 def word_atoms(text: str) -> list[str]:
-    if _odd_word.search(text):
+    # printable characters hold no white space but the blank; these two letters have a lower case of their own kind
+    if not text.replace("\n", "").isprintable() or "Σ" in text or "İ" in text:
         return _run.findall(text)
     return text.lower().split()
 
@@ -46,9 +44,11 @@ def word_atoms(text: str) -> list[str]:
 def byte_atoms(text: str) -> list[str]:
     if not text:
         return []
-    if _odd_byte.search(text):
+    atoms = (START + text.replace("\n", f" {START}\n {START}")).split(" ")
+    # single blanks and line ends between words leave no empty atom behind
+    if "" in atoms or START in atoms or not text.replace("\n", "").isprintable():
         return [(m[2] if m[1] else START + m[2]) if m[2] else START + m[0] for m in _byte_atom.finditer(text)]
-    return (START + text.replace("\n", f" {START}\n {START}")).split(" ")
+    return atoms
 
 
 class AtomEncoder:
@@ -117,10 +117,16 @@ class AtomEncoder:
         ``end`` is an id to put behind each text.  A null text counts as empty.
         """
         per_text = [self.atoms(t) if t else [] for t in texts]
-        counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
-        keys = list(chain.from_iterable(per_text))
         if len(self.place) > self.max_atoms:
             self._forget()
+        if end is not None:  # an atom of its own behind each text
+            stop = f"{END}{end}"
+            if stop not in self.place:
+                self._add([stop], np.array([end], np.uint32), np.ones(1, np.int64))
+            for atoms in per_text:
+                atoms.append(stop)
+        counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
+        keys = list(chain.from_iterable(per_text))
         at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
         if (unknown := np.flatnonzero(at < 0)).size:
             new = [keys[i] for i in unknown]
@@ -128,11 +134,7 @@ class AtomEncoder:
             at[unknown] = [self.place[k] for k in new]
         out, ends = self._gather(at)
         doc_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
-        lengths = np.diff(doc_ends, prepend=0)
-        if end is not None:
-            out = np.insert(out, doc_ends, np.uint32(end))
-            lengths = lengths + 1
-        return out, lengths
+        return out, np.diff(doc_ends, prepend=0)
 
 
 _ENCODERS: dict[tuple[str, str], AtomEncoder] = {}
