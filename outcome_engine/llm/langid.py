@@ -20,9 +20,11 @@ lines of more than ``chain`` words are labelled in stretches of that length.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,7 @@ class CrfRules:
     rate: float = 0.5
     ridge: float = 1e-3
     chain: int = 1024
-    cached_words: int = 400_000
+    cached_words: int = 200_000
 
 
 def word_features(word: str, lexicon: frozenset[str], buckets: int) -> list[int]:
@@ -59,6 +61,16 @@ def word_features(word: str, lexicon: frozenset[str], buckets: int) -> list[int]
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % buckets for x in names]
 
 
+class _Known:
+    """The words that a worker remembers, of one field at a time: a field that is used no more leaves nothing behind."""
+    key: str | None = None
+    place: dict[str, int] = {}
+    scores: np.ndarray = np.zeros((0, 0))
+
+
+_KNOWN = _Known()
+
+
 @dataclass
 class LanguageField:
     languages: list[str]
@@ -67,28 +79,25 @@ class LanguageField:
     transitions: np.ndarray
     first: np.ndarray
     rules: CrfRules = CrfRules()
-    cache: dict[str, int] = field(default_factory=dict, repr=False)
-    scores: np.ndarray | None = field(default=None, repr=False)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "scores": None}
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)  # of the words that a worker remembers
 
     def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each word's scores (words x languages), and whether it holds a letter."""
-        if self.scores is None or len(self.cache) > self.rules.cached_words:
-            self.cache, self.scores = {}, np.zeros((0, len(self.languages) + 1))
-        at = np.fromiter((self.cache.get(w, -1) for w in words), np.int64, len(words))
+        known = _KNOWN
+        if known.key != self.key or len(known.place) > self.rules.cached_words:
+            known.key, known.place, known.scores = self.key, {}, np.zeros((0, len(self.languages) + 1), np.float32)
+        at = np.fromiter(map(known.place.get, words, repeat(-1)), np.int64, len(words))
         if (unknown := np.flatnonzero(at < 0)).size:
             new = list(dict.fromkeys(words[i] for i in unknown))
             found = [word_features(w, self.lexicon, self.rules.buckets) for w in new]
             starts = np.cumsum([0, *map(len, found)])[:-1]
             rows = np.add.reduceat(self.weights[np.concatenate(found).astype(np.int64)], starts, axis=0)
             letter = np.array([[any(c.isalpha() for c in w)] for w in new], float)
-            self.cache.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
-            self.scores = np.concatenate([self.scores, np.concatenate([rows, letter], axis=1)])
-            at[unknown] = [self.cache[words[i]] for i in unknown]
-        rows = self.scores[at]
-        return rows[:, :-1], rows[:, -1] > 0
+            known.place.update(zip(new, range(len(known.scores), len(known.scores) + len(new))))
+            known.scores = np.concatenate([known.scores, np.concatenate([rows, letter], axis=1).astype(np.float32)])
+            at[unknown] = [known.place[words[i]] for i in unknown]
+        rows = known.scores[at]
+        return rows[:, :-1].astype(float), rows[:, -1] > 0
 
     def marginals(self, emissions: np.ndarray, lengths: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, float]:
         """Forward-backward over chains that lie one after the other: every word's probabilities and the log partition sums.

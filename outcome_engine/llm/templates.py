@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import keep_rows, slices
+from .tables import keep_rows, slices, spread
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ NAME_SLOT, NUMBER_SLOT, UNIT_SLOT = (np.uint64(xxhash.xxh3_64_intdigest(x)) for
 class _Vocabulary:
     """Each distinct token's kind and hash, remembered by a worker."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
         self.clear()
 
@@ -257,6 +257,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     by_doc = find_leaks(docs, benchmark, id_col, text_col, **names).groupBy("doc_id").agg(
         F.sort_array(F.collect_set("item_id")).alias("item_ids"),  # at most the benchmark's items
         F.max("coverage").alias("coverage"), F.max("other_values").alias("other_values"))
+    by_doc = spread(by_doc)
     rows = docs.select(docs[id_col].cast("long").alias("id"))
     found = F.col("item_ids").isNotNull()
     return rows.join(by_doc, rows["id"].eqNullSafe(by_doc["doc_id"]), "left").select(
