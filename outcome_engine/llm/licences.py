@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import slices, stored
+from .tables import slices, spread, stored
 
 # Notices and opening clauses of public licences (fixed values).
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -184,7 +184,7 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", path_col: str = "path",
         F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("ancestor"))
     nearest = ancestors.distinct().join(licensed, "ancestor").groupBy("directory").agg(
         F.max_by(F.struct("inherited", "ancestor"), F.length("ancestor")).alias("near"))
-    out = files.join(nearest, "directory", "left")
+    out = files.join(spread(nearest), "directory", "left")
     inherits = F.col("own_licence").isNull() & F.col("near").isNotNull()
     return out.select(F.col("id").alias("doc_id"), "path", "own_licence", "own_score",
                       F.coalesce("own_licence", "near.inherited").alias("licence"), F.when(inherits, F.col("near.ancestor")).alias("inherited_from"))

@@ -23,11 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import discard, raw_texts, slices, stored
+from .tables import discard, raw_texts, slices, spread, stored
 
 SEGMENT_BITS = 1 << 19
 BITS_PER_LINE = 16
@@ -145,8 +146,8 @@ def _filters(hashes: DataFrame) -> DataFrame:
     return hashes.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "segment long, bits binary")
 
 
-def suspected_lines(docs: DataFrame, min_chars: int, max_filter_bytes: int) -> DataFrame:
-    """(key, digest, doc_id) of every line whose hash the twice-filter holds; each key once per document."""
+def suspected_lines(docs: DataFrame, min_chars: int, max_filter_bytes: int) -> tuple[DataFrame, Broadcast]:
+    """(key, digest, doc_id) of every line whose hash the twice-filter holds, each key once per document; and that filter."""
     spark = docs.sparkSession
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     segments = max(1, min(max_filter_bytes * 8, lines * BITS_PER_LINE) // SEGMENT_BITS)
@@ -176,7 +177,7 @@ def suspected_lines(docs: DataFrame, min_chars: int, max_filter_bytes: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i].decode() for i in at]), pa.array([digests[i] for i in at], pa.binary()),
                                                   pa.array([docs_of[i] for i in at], pa.int64())], ["key", "digest", "doc_id"])
 
-    return docs.mapInArrow(run, "key string, digest binary, doc_id long")
+    return docs.mapInArrow(run, "key string, digest binary, doc_id long"), bits
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
@@ -186,9 +187,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     Columns of the input with the names in ``counts`` are replaced.
     """
     docs = _plain(df, id_col, text_col)
-    suspects = stored(suspected_lines(docs, min_chars, max_filter_bytes), "suspects")
+    suspects, bits = suspected_lines(docs, min_chars, max_filter_bytes)
+    suspects = stored(suspects, "suspects")
+    bits.unpersist()
     first = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    drops = suspects.join(first.drop("last"), "key").filter("doc_id > first").groupBy("doc_id") \
+    drops = suspects.join(spread(first.drop("last")), "key").filter("doc_id > first").groupBy("doc_id") \
         .agg(F.collect_set("digest").alias("__drops"))  # at most the lines of one document
     drops = stored(drops.select(F.col("doc_id").alias("__id"), "__drops"), "line-drops")
     discard(suspects)

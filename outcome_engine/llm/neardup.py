@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .tables import discard, raw_texts, slices, stored
+from .tables import discard, raw_texts, slices, spread, stored
 
 NO_ID = (1 << 63) - 1
 
@@ -219,7 +219,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, rules: NearRules) -> Data
 
     members = classes.select("id", F.explode("keys").alias("key"))
     heads = members.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").drop("last")
-    near = members.join(heads, "key").filter("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
+    near = members.join(spread(heads), "key").filter("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
     clusters = stored(components(near, "candidates").join(classes.select(F.col("id").alias("node"), "n"), "node"), "clusters")
 
     weight = stored(clusters.groupBy("component").agg(F.ceil(F.sum("n") / rules.block_shingles).cast("long").alias("slots")), "cluster-sizes")

@@ -38,6 +38,16 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The result of an aggregate, dealt out anew before it is joined back to detail rows.
+
+    A join right on top of the aggregate would share its shuffle, and adaptive
+    execution then cannot split a hot key's detail rows over several tasks; with a
+    shuffle of its own on each side it can.  The aggregate is the small side.
+    """
+    return df.hint("rebalance")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with at most ``max_bytes`` of text, or one row."""
     for batch in batches:
