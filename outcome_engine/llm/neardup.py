@@ -5,16 +5,17 @@
    over the circle; coordinate k of the signature is the least table value ``k``
    steps behind the shingles' places, so two permutations give all coordinates,
    and those of one shingle lie side by side in the table.
-2. Documents with equal sets form one class; only its smallest id goes on.
+2. Documents with equal sets form one class.  It gets a number of its own, and one
+   text that stands for it: an id says nothing about its rows' texts.
 3. Bands of coordinates are bucket keys.  A class that shares a bucket belongs
-   with the bucket's smallest id to one cluster of candidates (one link per
+   with the bucket's smallest number to one cluster of candidates (one link per
    member and bucket, never a pair of members).
 4. Clusters are packed into blocks of bounded size.  In a block, and between
    blocks of one cluster, an inverted index of shingles counts the
    intersections, and each pair is linked or not by its whole sets.  Of a
    cluster in many blocks, all blocks meet the first; then only the classes
    outside the cluster's largest component, packed anew, meet all blocks.
-5. Components of the links, and back to the documents by class.
+5. Components of the links, their smallest document ids, and back to the documents by class.
 
 With 32 bands of 4 coordinates a pair at the threshold 0.75 shares no bucket with
 probability (1 - 0.75**4)**32 = 5e-6.
@@ -213,24 +214,31 @@ def _judged(df: DataFrame, id_col: str, text_col: str, rules: NearRules) -> Data
     """(doc_id, row, n_shingles, component_id, kept) of every row; ``row`` is a hash of the text."""
     docs = df.select(F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), df[text_col].cast("string").alias("text"))
     signed = stored(signatures(docs.withColumn("row", F.xxhash64("text")), rules), "signatures")
+    # a class is a node of its own, numbered as the table is written; one of its rows stands for it
     classes = signed.filter("class IS NOT NULL").groupBy("class") \
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        .agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")) \
+        .select("class", "least.doc_id", "least.row", "n", "keys", F.monotonically_increasing_id().alias("id"))
     classes = stored(classes, "classes")
 
     members = classes.select("id", F.explode("keys").alias("key"))
     heads = members.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").drop("last")
     near = members.join(spread(heads), "key").filter("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
-    clusters = stored(components(near, "candidates").join(classes.select(F.col("id").alias("node"), "n"), "node"), "clusters")
+    clusters = components(near, "candidates").withColumnRenamed("node", "id").join(classes.select("id", "doc_id", "row", "n"), "id")
+    clusters = stored(clusters.withColumnRenamed("component", "cluster"), "clusters")
 
-    weight = stored(clusters.groupBy("component").agg(F.ceil(F.sum("n") / rules.block_shingles).cast("long").alias("slots")), "cluster-sizes")
-    placed = clusters.join(weight, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "slots")
-    # one text for each class: its smallest id may stand in several rows, and each of them is tested
-    texts = docs.join(placed, "doc_id").select("cluster", "slots", F.col("doc_id").alias("id"), "text")
-    members = _shingled(texts, rules.words, "cluster long, slots long, id long")
-    blocks = stored(_packed(members, "slots"), "blocks")
+    weight = stored(clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / rules.block_shingles).cast("long").alias("slots")), "cluster-sizes")
+    placed = clusters.join(spread(weight), "cluster").select("id", "doc_id", "row", "cluster", "slots")
+
+    def packed(chosen: DataFrame) -> DataFrame:
+        """Blocks of the chosen rows of ``placed``; rows that repeat an id and text give one set."""
+        texts = docs.withColumn("row", F.xxhash64("text")).join(spread(chosen), ["doc_id", "row"]).select("cluster", "slots", "id", "text")
+        sets = _shingled(texts, rules.words, "cluster long, slots long, id long")
+        return _packed(sets.groupBy("cluster", "slots", "id").agg(F.first("shingles").alias("shingles")), "slots")
+
+    blocks = stored(packed(placed), "blocks")
 
     links = stored(_links(_block(blocks, "a").drop("cluster"), rules.percent), "links")
-    large = weight.filter("slots > 1").select(F.col("component").alias("cluster"))
+    large = weight.filter("slots > 1").select("cluster")
     if not large.isEmpty():
         wide = blocks.join(large, "cluster")
         first = wide.filter("slot = 0")
@@ -238,21 +246,19 @@ def _judged(df: DataFrame, id_col: str, text_col: str, rules: NearRules) -> Data
         links = stored(links.union(more), "links")
         # those outside the largest component of their cluster meet all blocks
         own = components(links, "links").withColumnRenamed("component", "own")
-        state = clusters.select("node", F.col("component").alias("cluster")).join(large, "cluster").join(own, "node", "left") \
-            .withColumn("own", F.coalesce("own", "node"))
+        state = placed.join(large, "cluster").join(own.withColumnRenamed("node", "id"), "id", "left").withColumn("own", F.coalesce("own", "id"))
         state = stored(state, "states")
         sizes = state.groupBy("cluster", "own").count()
         largest = sizes.groupBy("cluster").agg(F.max_by("own", F.struct("count", "own")).alias("largest"))
-        rest = state.join(largest, "cluster").filter("own <> largest").select("cluster", F.col("node").alias("id"))
-        rest = stored(rest.join(placed.select(F.col("doc_id").alias("id"), "slots"), "id"), "rest")
-        again = _shingled(docs.join(rest, docs["doc_id"] == rest["id"]).select("cluster", "slots", "id", "text"), rules.words,
-                          "cluster long, slots long, id long")
-        more = _links(_block(_packed(again, "slots"), "a").join(_block(wide, "b"), "cluster").drop("cluster"), rules.percent)
+        rest = stored(state.join(largest, "cluster").filter("own <> largest").select("id", "doc_id", "row", "cluster", "slots"), "rest")
+        more = _links(_block(packed(rest), "a").join(_block(wide, "b"), "cluster").drop("cluster"), rules.percent)
         links = stored(links.union(more), "links")
-    found = components(links, "links")
+    found = stored(components(links, "links").withColumnRenamed("node", "id").join(classes.select("id", "doc_id"), "id"), "found")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
 
-    by_class = classes.select("class", "id").join(found.withColumnRenamed("node", "id"), "id", "left") \
-        .select("class", F.coalesce("component", "id").alias("component"))
+    mapped = found.join(spread(least), "component").select("id", "least")
+    by_class = classes.select("class", "id", "doc_id").join(mapped, "id", "left") \
+        .select("class", F.coalesce("least", "doc_id").alias("component"))
     out = signed.drop("keys").join(by_class, "class", "left")
     mine = F.coalesce("component", "doc_id")
     real = lambda c: F.when(c != F.lit(NO_ID), c)

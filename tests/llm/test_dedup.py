@@ -139,6 +139,20 @@ def test_near_copies_of_odd_rows(odd_docs, clashing, no_docs, odd_rows):
     assert without_near_copies(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("rules", [NearRules(), NearRules(block_shingles=60)])
+def test_different_texts_of_one_id_are_different_nodes(spark, rules):
+    a, b, c, d = (words(k, 60) for k in (7001, 7002, 7003, 7004))
+    rows = [(3, a), (5, a + " more"), (5, b), (None, a + " other"), (None, c), (None, d), (9, d + " end"), (2, b + " end"), (5, c + " x")]
+    rows += [(5, a + " more")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert as_near(near_components(df, rules=rules)) == brute_near(rows)
+    kept = Counter(tuple(r) for r in without_near_copies(df, rules=rules).collect())
+    assert kept == Counter([(3, a), (9, d + " end"), (2, b + " end"), (5, c + " x")])
+    clean = [(3, a), (5, a + " more"), (5, b), (None, a + " other"), (None, c)]
+    kept = without_near_copies(spark.createDataFrame(clean, "doc_id long, text string"), rules=rules).collect()
+    assert Counter(map(tuple, kept)) == Counter([(3, a), (5, b), (None, c)])
+
+
 def test_a_shingle_set_is_the_same_in_any_batch():
     texts = [words(i, 30).encode() for i in range(20)] + [b"", b"a b", b"A  B"]
     alone = [shingle_sets([t], 5)[0].tolist() for t in texts]
