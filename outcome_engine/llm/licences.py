@@ -43,8 +43,16 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License",
                      "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
                      "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
-    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License", "CC BY 4.0", "Licensed under CC BY 4.0"),
+    "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0",
+                     "Licensed under CC BY-NC 4.0"),
+    "CC-BY-NC-ND-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+                        "CC BY-NC-ND 4.0", "Licensed under CC BY-NC-ND 4.0"),
+    "CC-BY-NC-SA-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+                        "CC BY-NC-SA 4.0", "Licensed under CC BY-NC-SA 4.0"),
+    "CC-BY-ND-4.0": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0",
+                     "Licensed under CC BY-ND 4.0"),
+    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "Licensed under CC BY-SA 4.0"),
     "CC0-1.0": ("dedicated to the public domain under the Creative Commons Zero CC0 1.0 Universal dedication",),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2",
                 "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2"),

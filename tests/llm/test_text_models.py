@@ -181,3 +181,24 @@ def test_licence_query_finds_every_notice(spark):
                "Creative Commons Attribution 4.0": "CC-BY-4.0"}
     for i, text in texts.items():
         assert got[i] == next((name for notice, name in notices.items() if notice in text), got[i] if "icens" in text else None)
+
+
+@pytest.mark.parametrize("kind", ["", "-SA", "-NC", "-ND", "-NC-SA", "-NC-ND"])
+def test_creative_commons_terms_are_told_apart(kind):
+    full = kind.replace("NC", "NonCommercial").replace("ND", "NoDerivatives").replace("SA", "ShareAlike")
+    for text in (f"Licensed under CC BY{kind} 4.0.", f"CC BY{kind} 4.0",
+                 f"This work is licensed under a Creative Commons Attribution{full} 4.0 International License."):
+        for n in (100, 1_000_000):
+            assert matcher(n).best([text])[0][0] == f"CC-BY{kind}-4.0"
+
+
+def test_every_notice_of_the_table_has_its_label(spark):
+    """Whole lists: no text that holds a licence word is left out."""
+    sf = "/root/testdata/sf0.01"
+    notices = {"All rights reserved": "proprietary", "Released under the MIT License": "MIT", "Licensed under the Apache License, Version 2.0": "Apache-2.0",
+               "GNU General Public License, version 3": "GPL-3.0", "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0"}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["own_licence"] for r in Q.op5_licences(spark, sf).collect()}
+    want = {i: {name for notice, name in notices.items() if notice in text} for i, text in texts.items()}
+    assert all(got[i] in names if names else got[i] is None for i, names in want.items())
+    assert set().union(*want.values()) == set(notices.values())
