@@ -1,13 +1,15 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance along paths.
 
-1. Document frequencies of the templates' terms are counted over all texts; a
-   term's weight is its frequency in a segment times ``log((1 + N) / (1 + df)) + 1``.
+1. Document frequencies of all words are counted over all texts, as a table; a
+   word's weight is its frequency in a segment times ``log((1 + N) / (1 + df)) + 1``.
 2. A text's segments are its lines, its paragraphs, and the whole text if it is
    not much longer than the longest template.  Vectors are sparse: only template
-   terms meet the templates; every other word just lengthens the segment's vector,
-   as a term of its own.  The best cosine of at least ``threshold`` is the text's
-   own licence.
-3. A file called LICENSE, LICENCE, COPYING or NOTICE (any suffix) speaks for its
+   terms meet the templates, and only their frequencies are collected.
+3. A segment is a candidate if it reached ``threshold`` were its other words in
+   every text (the least weight).  Only the candidates' other words are joined
+   with the table, so that each has its true weight.  The best cosine of at
+   least ``threshold`` is the text's own licence.
+4. A file called LICENSE, LICENCE, COPYING or NOTICE (any suffix) speaks for its
    directory.  Distinct directories join with their ancestors, the nearest one
    with a licence wins, and files without an own licence inherit it.
 
@@ -81,22 +83,28 @@ def template_terms() -> list[str]:
     return sorted({t for texts in TEMPLATES.values() for text in texts for t in _terms(text.lower())})
 
 
-def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
-    """The number of texts and, for each template term, the number of texts that hold it."""
-    terms = template_terms()
-    known = frozenset(terms)
-
+def word_frequencies(docs: DataFrame, most: int = 200_000) -> DataFrame:
+    """(word, n): the number of texts that hold each word; the empty word stands for the number of texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
-                total.update(known.intersection(_terms((text or "").lower())))
+                total.update(set(_terms((text or "").lower())))
             total[""] += batch.num_rows
+            if len(total) > most:
+                yield pa.RecordBatch.from_pydict({"word": list(total), "n": pa.array(total.values(), pa.int64())})
+                total.clear()
         if total:
-            yield pa.RecordBatch.from_pydict({"term": list(total), "n": pa.array(total.values(), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"word": list(total), "n": pa.array(total.values(), pa.int64())})
+
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    rows = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one per term
-    found = {r["term"]: r["n"] for r in rows}
+def document_frequencies(docs: DataFrame, counts: DataFrame | None = None) -> tuple[int, dict[str, int]]:
+    """The number of texts and, for each template term, the number of texts that hold it."""
+    terms = template_terms()
+    counts = word_frequencies(docs) if counts is None else counts
+    found = {r["word"]: r["n"] for r in counts.filter(F.col("word").isin("", *terms)).collect()}  # one per term
     return found.pop("", 0), {t: found.get(t, 0) for t in terms}
 
 
@@ -138,8 +146,16 @@ class Matcher:
             segments += own
             of += [i] * len(own)
         out: list[tuple[str | None, float]] = [(None, 0.0)] * len(texts)
+        for s, k, dot, square in self._scored(segments, self.idf[-1]):
+            score = dot / square**0.5
+            if score > out[of[s]][1]:
+                out[of[s]] = (self.names[k] if score >= self.rules.threshold else None, score)
+        return out
+
+    def _scored(self, segments: list[list[str]], other_idf: float) -> Iterator[tuple[int, int, float, float]]:
+        """(segment, best template, dot product, squared length) of the segments that can reach the threshold."""
         if not segments:
-            return out
+            return
         other, sizes = len(self.place), np.array(list(map(len, segments)))
         term = np.fromiter((self.place.get(t, other) for s in segments for t in s), np.int64, sizes.sum())
         segment = np.repeat(np.arange(len(segments)), sizes)
@@ -147,32 +163,65 @@ class Matcher:
         key, tf = np.unique(segment[known] * other + term[known], return_counts=True)
         seg, term_of = key // other, key % other
         weight = tf * self.idf[term_of]
-        square = np.bincount(seg, weight**2, len(segments)) + np.bincount(segment[~known], minlength=len(segments)) * self.idf[other] ** 2
+        own = np.bincount(seg, weight**2, len(segments))
+        square = own + np.bincount(segment[~known], minlength=len(segments)) * other_idf**2
         # a segment cannot reach the threshold unless its template terms carry enough of its vector
-        hopeful = np.bincount(seg, weight**2, len(segments)) >= self.rules.threshold**2 * square
+        hopeful = own >= self.rules.threshold**2 * square
+        hopeful &= own > 0
+        row = np.cumsum(hopeful) - 1
         use = hopeful[seg]
-        dots = np.zeros((len(segments), self.matrix.shape[1]))
-        np.add.at(dots, seg[use], weight[use, None] * self.matrix[term_of[use]])
-        cosine = dots / np.sqrt(np.maximum(square, 1e-12))[:, None]
+        dots = np.zeros((int(hopeful.sum()), self.matrix.shape[1]))
+        np.add.at(dots, row[seg[use]], weight[use, None] * self.matrix[term_of[use]])
         for s in np.flatnonzero(hopeful).tolist():
-            k = int(cosine[s].argmax())
-            score = float(cosine[s, k])
-            if score > out[of[s]][1]:
-                out[of[s]] = (self.names[k] if score >= self.rules.threshold else None, score)
-        return out
+            k = int(dots[row[s]].argmax())
+            yield s, k, float(dots[row[s], k]), float(square[s])
+
+    def candidates(self, text: str | None) -> list[dict]:
+        """The text's segments that reach the threshold if their other words weigh least, with these words."""
+        segments, best, out = self.segments(text) if text else [], 0.0, {}
+        for s, k, dot, square in self._scored(segments, 1.0):
+            others = Counter(t for t in segments[s] if t not in self.place)
+            known = square - others.total()
+            bound = dot / (known + sum(n * n for n in others.values())) ** 0.5
+            if bound < self.rules.threshold:
+                continue
+            if not others:
+                best = max(best, bound)
+            key = (k, dot, known, *sorted(others.items()))
+            out[key] = bound, {"name": self.names[k], "dot": dot, "square": known, "others": [{"word": w, "tf": n} for w, n in others.items()]}
+        return [c for bound, c in out.values() if bound > best or not c["others"]]
+
+
+CANDIDATES = pa.list_(pa.struct([("name", pa.string()), ("dot", pa.float64()), ("square", pa.float64()),
+                                 ("others", pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))]))
 
 
 def own_licences(docs: DataFrame, rules: LicenceRules = LicenceRules()) -> DataFrame:
     """The rows (id, path, text) with their own licence and score in place of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(Matcher(*document_frequencies(docs), rules))  # bounded by the templates
+    counts = stored(word_frequencies(docs), "word-frequencies")
+    n, frequencies = document_frequencies(docs, counts)
+    shared = docs.sparkSession.sparkContext.broadcast(Matcher(n, frequencies, rules))  # bounded by the templates
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            names, scores = zip(*shared.value.best(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                             ["id", "path", "own_licence", "own_score"])
-
-    return docs.select("id", "path", "text").mapInArrow(judge, "id long, path string, own_licence string, own_score double")
+            found = pa.array(map(shared.value.candidates, batch.column("text").to_pylist()), CANDIDATES)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), found], ["id", "path", "found"])
+
+    found = docs.select("id", "path", "text").mapInArrow(
+        judge, "id long, path string, found array<struct<name: string, dot: double, square: double, others: array<struct<word: string, tf: long>>>>")
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "licence-candidates")
+    segments = found.select("row", F.posexplode("found").alias("segment", "c"))
+    words = segments.select("row", "segment", "c.name", "c.dot", "c.square", F.explode_outer("c.others").alias("o")) \
+        .select("row", "segment", "name", "dot", "square", F.col("o.word").alias("word"), F.col("o.tf").alias("tf"))
+    weight = F.coalesce(F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.coalesce("n", F.lit(0)))) + 1), F.lit(0.0))
+    rest = words.filter("word IS NOT NULL").join(spread(counts), "word", "left")  # a hot word is split by the skew join
+    rest = rest.unionByName(words.filter("word IS NULL").withColumn("n", F.lit(None).cast("long")))
+    scores = rest.groupBy("row", "segment", "name", "dot", "square").agg(F.sum(weight * weight).alias("more")) \
+        .select("row", "name", F.round(F.col("dot") / F.sqrt(F.col("square") + F.col("more")), 12).alias("score"))  # sums come in any order
+    best = scores.groupBy("row").agg(F.min(F.struct(-F.col("score"), "name")).alias("best")).select(
+        "row", F.when(-F.col("best.col1") >= rules.threshold, F.col("best.name")).alias("own_licence"), (-F.col("best.col1")).alias("own_score"))
+    return found.select("row", "id", "path").join(spread(best), "row", "left").select(
+        "id", "path", "own_licence", F.coalesce("own_score", F.lit(0.0)).alias("own_score"))
 
 
 def _directory(path: Column) -> Column:

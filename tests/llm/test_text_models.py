@@ -202,3 +202,20 @@ def test_every_notice_of_the_table_has_its_label(spark):
     want = {i: {name for notice, name in notices.items() if notice in text} for i, text in texts.items()}
     assert all(got[i] in names if names else got[i] is None for i, names in want.items())
     assert set().union(*want.values()) == set(notices.values())
+
+
+def test_a_cosine_does_not_drift_with_the_number_of_documents(spark):
+    header = "This project is released under the MIT License."
+    rows = [header, "this project is new", "the licence of that project is released", f"under {words(1, 6)}"] + [f"{words(2 + k, 5)} is the" for k in range(6)]
+    scores = []
+    for times in (1, 300):
+        df = spark.createDataFrame([(i, "x", t) for i, t in enumerate(rows * times)], "doc_id long, path string, text string")
+        got = {(r["own_licence"], r["own_score"]) for r in scan_licences(df).filter(F.col("doc_id") % len(rows) == 0).collect()}
+        assert len(got) == 1
+        scores.append(got.pop())
+    assert scores[0][0] == scores[1][0] == "MIT" and abs(scores[0][1] - scores[1][1]) < 0.02
+    # the weights of all words, by hand
+    n, df = len(rows), {w: sum(w in t.lower().rstrip(".").split() for t in rows) for t in [header] for w in t.lower().rstrip(".").split()}
+    idf = {w: np.log((1 + n) / (1 + c)) + 1 for w, c in df.items()}
+    template = "released under the mit license".split()
+    assert np.isclose(scores[0][1], sum(idf[w] ** 2 for w in template) ** 0.5 / sum(x * x for x in idf.values()) ** 0.5)
