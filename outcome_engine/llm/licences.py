@@ -4,7 +4,9 @@
    word's weight is its frequency in a segment times ``log((1 + N) / (1 + df)) + 1``.
 2. A text's segments are its lines, its paragraphs, and the whole text if it is
    not much longer than the longest template.  Vectors are sparse: only template
-   terms meet the templates, and only their frequencies are collected.
+   terms meet the templates, and only their frequencies are collected.  Inside
+   longer text, stretches of a template's length around its rarest term are
+   segments too, if they hold that template's ``held`` share of words.
 3. A segment is a candidate if it reached ``threshold`` were its other words in
    every text (the least weight).  Only the candidates' other words are joined
    with the table, so that each has its true weight.  The best cosine of at
@@ -77,6 +79,8 @@ _terms = re.compile(r"[^\W_]+").findall
 class LicenceRules:
     threshold: float = 0.6
     whole_factor: int = 4
+    held: float = 0.75       # share of a template's words in a stretch of its length
+    stretches: bool = True
 
 
 def template_terms() -> list[str]:
@@ -122,10 +126,15 @@ class Matcher:
         for k, text in enumerate(texts):
             for term in _terms(text.lower()):
                 self.matrix[self.place[term], k] += 1
+        self.stretches: dict[str, list[tuple[int, int]]] = {}  # a template's rarest term: template, its place there
+        self.template_words = [_terms(t.lower()) for t in texts]
+        for k, words in enumerate(self.template_words):
+            rarest = max(words, key=lambda t: (self.idf[self.place[t]], t))
+            self.stretches.setdefault(rarest, []).extend((k, j) for j, t in enumerate(words) if t == rarest)
         self.matrix *= self.idf[:, None]
         self.matrix /= np.linalg.norm(self.matrix, axis=0)
 
-    def segments(self, text: str) -> list[list[str]]:
+    def segments(self, text: str, stretches: bool = False) -> list[list[str]]:
         lines = [_terms(line) for line in text.lower().split("\n")]
         out, block = [line for line in lines if line], []
         for line in [*lines, []]:
@@ -136,8 +145,21 @@ class Matcher:
                     out.append([t for x in block for t in x])
                 block = []
         words = [t for line in lines for t in line]
+        if stretches and not self.stretches.keys().isdisjoint(words):
+            out += self._stretches(words)
         return [*out, words] if 0 < len(words) <= self.rules.whole_factor * self.longest else out
 
+    def _stretches(self, words: list[str]) -> list[list[str]]:
+        """Stretches of a template's length with its rarest term in place and most of its words."""
+        found = {}
+        for at, word in enumerate(words):
+            for k, place in self.stretches.get(word, ()):
+                template, start = self.template_words[k], at - place
+                stretch = words[max(start, 0):start + len(template)]
+                if (Counter(template) & Counter(stretch)).total() >= self.rules.held * len(template):
+                    found[tuple(stretch)] = None
+        return list(map(list, found))
+
     def best(self, texts: list[str | None]) -> list[tuple[str | None, float]]:
         """Each text's licence (None below the threshold) and its best cosine."""
         segments, of = [], []
@@ -178,7 +200,7 @@ class Matcher:
 
     def candidates(self, text: str | None) -> list[dict]:
         """The text's segments that reach the threshold if their other words weigh least, with these words."""
-        segments, best, out = self.segments(text) if text else [], 0.0, {}
+        segments, best, out = self.segments(text, self.rules.stretches) if text else [], 0.0, {}
         for s, k, dot, square in self._scored(segments, 1.0):
             others = Counter(t for t in segments[s] if t not in self.place)
             known = square - others.total()
