@@ -2,9 +2,11 @@
 
 Text becomes a sequence of canonical tokens: numbers, names (capitalised words
 inside a sentence) and units behind a number turn into typed placeholders, other
-words into lower case.  Windows of ``window`` canonical tokens are hashed and
-joined with those of the benchmark.  Hits of a document and an item on one
-diagonal, or close to it, make an alignment; the item counts as leaked if
+words into lower case.  Windows of ``window`` tokens are hashed in three forms and
+joined with those of the benchmark: as they are, in lower case (so a verbatim copy
+in any case hits whatever its placeholders); with placeholders; and with
+capitalised words that open a sentence as names, too.  Hits of a document and an
+item on one diagonal, or close to it, make an alignment; the item counts as leaked if
 
 * the windows that hit cover at least ``coverage`` of its tokens, and
 * its slots are filled consistently: at least ``consistent`` of the aligned
@@ -14,8 +16,9 @@ The hash join is one against broadcast slices of the benchmark: ``slice_chars``
 bounds a slice, and a larger benchmark is searched slice by slice.  The
 documents are not shuffled; what leaves a task is one row per leaked item.
 
-Items of fewer than ``least_tokens`` tokens are no evidence and are not searched;
-those shorter than a window count as one window.  Null texts have no tokens.
+Items of fewer than ``least_tokens`` tokens, and windows of fewer than
+``least_literals`` literals, count only with equal values, whatever their length;
+items shorter than a window count as one window.  Null texts have no tokens.
 Rows that share an id share their verdict; null ids count as one document.
 """
 
@@ -57,6 +60,11 @@ LITERAL, CAPITAL, NUMBER, UNIT, END = range(5)
 NAME_SLOT, NUMBER_SLOT, UNIT_SLOT = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"<name>", b"<number>", b"<unit>"))
 
 
+def _value(token: str) -> str:
+    """A token in lower case; a number without the stop behind it."""
+    return token.lower().rstrip(".,:/") if token[-1] in ".,:/" else token.lower()
+
+
 class _Vocabulary:
     """Each distinct token's kind and hash, remembered by a worker."""
 
@@ -84,7 +92,7 @@ class _Vocabulary:
     @staticmethod
     def _classify(token: str) -> tuple[int, int]:
         low = token.lower()
-        digest = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
+        digest = xxhash.xxh3_64_intdigest(_value(token).encode("utf-8", "surrogatepass"))
         if token in ".!?\n":
             return END, 0
         if low in NUMBER_WORDS or any(c.isdigit() for c in token):
@@ -103,21 +111,34 @@ class Canonical:
     doc: np.ndarray       # the text of each token
     code: np.ndarray      # hash of the literal or of the placeholder
     slot: np.ndarray      # whether it is a placeholder
+    opening: np.ndarray   # whether it is a capitalised word that opens a sentence: perhaps a name
+    exact: np.ndarray     # hash of the value
     value: list[str]      # the token as written
 
-    def windows(self, size: int, least_literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the windows of a size that hold enough literals and lie in one text."""
-        n = len(self.code) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    def _hashes(self, code: np.ndarray, size: int) -> np.ndarray:
+        n = len(code) - size + 1
         power, base, out = np.ones(1, np.uint64), np.uint64(0x9E3779B97F4A7C15), np.full(n, size, np.uint64)
         for j in range(size):
             power = power * base
-            out += self.code[j:n + j] * power
-        literals = np.concatenate([[0], np.cumsum(~self.slot)])
-        at = np.flatnonzero((self.doc[:n] == self.doc[size - 1:]) & (literals[size:] - literals[:n] >= least_literals))
-        out = out[at]
-        return at, out ^ (out >> np.uint64(29))
+            out += code[j:n + j] * power
+        return out ^ (out >> np.uint64(29))
+
+    def windows(self, size: int, least_literals: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows of a size that lie in one text: of values, or,
+        if enough literals are left, with placeholders and with opening words as names."""
+        n = len(self.code) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        inside = self.doc[:n] == self.doc[size - 1:]
+        if least_literals is None:
+            at = np.flatnonzero(inside)
+            return at, self._hashes(self.exact, size)[at]
+        count = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[size:] - c[:-size]
+        slots, openings = count(self.slot), count(self.opening)
+        a = np.flatnonzero(inside & (slots > 0) & (size - slots >= least_literals))  # without slots the values are the window
+        b = np.flatnonzero(inside & (openings > 0) & (size - slots - openings >= least_literals))
+        named = np.where(self.opening, NAME_SLOT, self.code)
+        return np.concatenate([a, b]), np.concatenate([self._hashes(self.code, size)[a], self._hashes(named, size)[b]])
 
 
 def canonical(texts: list[str | None]) -> Canonical:
@@ -126,12 +147,14 @@ def canonical(texts: list[str | None]) -> Canonical:
     at = _VOCABULARY.look_up(tokens)
     doc = np.repeat(np.arange(len(texts)), list(map(len, found)))
     kind, code = _VOCABULARY.kind[at], _VOCABULARY.hash[at].copy()
+    exact = code.copy()
     opens = np.concatenate([[True], (kind[:-1] == END) | (doc[1:] != doc[:-1])])[:len(kind)]
     after_number = np.concatenate([[False], (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])])[:len(kind)]
     name, unit, number = (kind == CAPITAL) & ~opens, (kind == UNIT) & after_number, kind == NUMBER
     code[name], code[unit], code[number] = NAME_SLOT, UNIT_SLOT, NUMBER_SLOT
     keep = np.flatnonzero(kind != END)
-    return Canonical(doc[keep], code[keep], (name | unit | number)[keep], [tokens[i] for i in keep.tolist()])
+    return Canonical(doc[keep], code[keep], (name | unit | number)[keep], ((kind == CAPITAL) & opens)[keep], exact[keep],
+                     [tokens[i] for i in keep.tolist()])
 
 
 @dataclass
@@ -139,13 +162,13 @@ class Index:
     """A slice of the benchmark: sorted window hashes with item and place, and the items' slots."""
     items: list[list[int]]              # ids of equal items
     sizes: np.ndarray                   # tokens per item
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by size: hash, item, place
+    windows: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]  # by size, exact or not: hash, item, place
     slots: list[dict[int, str]]
-    bits: dict[int, np.ndarray]
+    bits: dict[tuple[int, bool], np.ndarray]
 
-    def look_up(self, size: int, hashes: np.ndarray) -> np.ndarray:
+    def look_up(self, key: tuple[int, bool], hashes: np.ndarray) -> np.ndarray:
         """Which hashes occur: a bitmap first, then the sorted hashes."""
-        bits, (own, _, _) = self.bits[size], self.windows[size]
+        bits, (own, _, _) = self.bits[key], self.windows[key]
         maybe = np.flatnonzero(bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)])
         left = np.searchsorted(own, hashes[maybe])
         return maybe[own[np.minimum(left, len(own) - 1)] == hashes[maybe]]
@@ -160,19 +183,22 @@ def build_index(rows: list[tuple[int, str | None]], rules: LeakRules) -> Index:
     sizes = np.bincount(c.doc, minlength=len(texts))
     first = np.cumsum(sizes) - sizes
     windows, bits = {}, {}
-    for size in sorted({min(rules.window, int(n)) for n in sizes if n >= rules.least_tokens}):
-        at, hashes = c.windows(size, rules.least_literals)
-        item = c.doc[at]
-        fits = (np.minimum(sizes, rules.window) == size)[item]
-        at, hashes, item = at[fits], hashes[fits], item[fits]
-        order = np.argsort(hashes, kind="stable")
-        if order.size:
-            windows[size] = hashes[order], item[order], (at - first[item])[order]
-            bits[size] = np.zeros(1 << max(16, int(64 * len(order)).bit_length()), bool)
-            bits[size][(hashes & np.uint64(len(bits[size]) - 1)).astype(np.int64)] = True
+    for size in sorted({min(rules.window, int(n)) for n in sizes if n}):
+        for exact in (True, False):
+            if not exact and size < rules.least_tokens:
+                continue
+            at, hashes = c.windows(size, None if exact else rules.least_literals)
+            item = c.doc[at]
+            fits = (np.minimum(sizes, rules.window) == size)[item]
+            at, hashes, item = at[fits], hashes[fits], item[fits]
+            order = np.argsort(hashes, kind="stable")
+            if order.size:
+                windows[size, exact] = hashes[order], item[order], (at - first[item])[order]
+                bits[size, exact] = np.zeros(1 << max(16, int(64 * len(order)).bit_length()), bool)
+                bits[size, exact][(hashes & np.uint64(len(bits[size, exact]) - 1)).astype(np.int64)] = True
     slots: list[dict[int, str]] = [{} for _ in texts]
-    for i in np.flatnonzero(c.slot).tolist():
-        slots[c.doc[i]][i - int(first[c.doc[i]])] = c.value[i].lower()
+    for i in np.flatnonzero(c.slot | c.opening).tolist():
+        slots[c.doc[i]][i - int(first[c.doc[i]])] = _value(c.value[i])
     return Index(list(same.values()), sizes, windows, slots, bits)
 
 
@@ -180,9 +206,9 @@ def leaks(texts: list[str | None], index: Index, rules: LeakRules) -> list[tuple
     """(text, item, coverage, consistency, other values) of every leaked item; items by their place in the index."""
     c = canonical(texts)
     hits: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for size, (own, items, places) in index.windows.items():
-        at, hashes = c.windows(size, rules.least_literals)
-        for i in index.look_up(size, hashes).tolist():
+    for (size, exact), (own, items, places) in index.windows.items():
+        at, hashes = c.windows(size, None if exact else rules.least_literals)
+        for i in index.look_up((size, exact), hashes).tolist():
             lo, hi = np.searchsorted(own, hashes[i], "left"), np.searchsorted(own, hashes[i], "right")
             for item, place in zip(items[lo:hi].tolist(), places[lo:hi].tolist()):
                 hits[int(c.doc[at[i]]), item].append((int(at[i]) - place, place, size))
@@ -197,7 +223,7 @@ def leaks(texts: list[str | None], index: Index, rules: LeakRules) -> list[tuple
         values: dict[str, Counter] = defaultdict(Counter)
         for q, p in pairs:
             if (own := index.slots[item].get(q)) is not None:
-                values[own][c.value[p].lower()] += 1
+                values[own][_value(c.value[p])] += 1
         total = sum(sum(v.values()) for v in values.values())
         agree = sum(max(v.values()) for v in values.values()) / total if total else 1.0
         if agree >= rules.consistent:

@@ -102,6 +102,22 @@ def test_inconsistent_slots_are_no_copy():
     assert flagged(other, [(1, many)]) == []
 
 
+SHORT = ("Compute 12 + 30 - 7.", "Did Marie Curie marry Pierre Curie?", "What is the capital of France?", "Oslo 12, Rome 15, Paris 18, Kyiv 21, Bern 24")
+
+
+@pytest.mark.parametrize("item", SHORT)
+def test_short_items_and_those_of_few_literals_are_found_verbatim(item):
+    for text in (item, item.lower(), item.upper(), f"Question: {item} Answer", f"{words(4, 30)} {item} {words(5, 30)}"):
+        assert flagged(text, [(1, item)]) == [(0, False)]
+    assert flagged(f"Compute 12 + 30 - 8. {words(4, 30)}", [(1, SHORT[0])]) == []
+    assert flagged("Did Anna Bell marry Carl Bell?", [(1, SHORT[1])]) == []
+
+
+def test_a_question_may_stand_behind_a_label():
+    assert flagged("Question: What is the capital of Norway?", [(1, SHORT[2])]) == [(0, True)]
+    assert flagged("He said: Chidi has 3 red apples in a bag", [(1, "Maria has 5 red apples in a bag")]) == [(0, True)]
+
+
 def test_every_planted_passage_is_found_and_nothing_else(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
