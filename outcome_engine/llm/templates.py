@@ -5,8 +5,9 @@ inside a sentence) and units behind a number turn into typed placeholders, other
 words into lower case.  Windows of ``window`` tokens are hashed in three forms and
 joined with those of the benchmark: as they are, in lower case (so a verbatim copy
 in any case hits whatever its placeholders); with placeholders; and with
-capitalised words that open a sentence as names, too.  Hits of a document and an
-item on one diagonal, or close to it, make an alignment; the item counts as leaked if
+capitalised words that open a sentence as names, too.  Each token of an item is
+aligned to one token of the document, best diagonal first, others in order and
+within ``stretch`` tokens of it; the item counts as leaked if
 
 * the windows that hit cover at least ``coverage`` of its tokens, and
 * its slots are filled consistently: at least ``consistent`` of the aligned
@@ -25,6 +26,7 @@ Rows that share an id share their verdict; null ids count as one document.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,7 +48,7 @@ class LeakRules:
     least_literals: int = 3   # words that are no placeholder, in a window
     coverage: float = 0.5
     consistent: float = 0.8
-    drift: int = 3            # how far hits may lie off the best diagonal
+    stretch: int = 256        # how far hits may lie off the best diagonal
     slice_chars: int = 16 << 20
 
 
@@ -202,32 +204,54 @@ def build_index(rows: list[tuple[int, str | None]], rules: LeakRules) -> Index:
     return Index(list(same.values()), sizes, windows, slots, bits)
 
 
+def _align(best: int, near: list[int], tokens: dict[int, set[int]]) -> dict[int, int]:
+    """Item tokens to document tokens: those of the best diagonal, then of others where order is kept."""
+    out = {q: best + q for q in tokens[best]}
+    taken = sorted(out)
+    for d in sorted(near, key=lambda d: (-len(tokens[d]), abs(d - best), d)):
+        if d == best:
+            continue
+        for q in sorted(tokens[d] - out.keys()):
+            i = bisect_left(taken, q)
+            if (i == 0 or out[taken[i - 1]] < d + q) and (i == len(taken) or d + q < out[taken[i]]):
+                taken.insert(i, q)
+                out[q] = d + q
+    return out
+
+
 def leaks(texts: list[str | None], index: Index, rules: LeakRules) -> list[tuple[int, int, float, float, bool]]:
     """(text, item, coverage, consistency, other values) of every leaked item; items by their place in the index."""
     c = canonical(texts)
-    hits: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    hits: dict[tuple[int, int], tuple[dict[int, set[int]], Counter]] = defaultdict(lambda: (defaultdict(set), Counter()))
     for (size, exact), (own, items, places) in index.windows.items():
         at, hashes = c.windows(size, None if exact else rules.least_literals)
         for i in index.look_up((size, exact), hashes).tolist():
             lo, hi = np.searchsorted(own, hashes[i], "left"), np.searchsorted(own, hashes[i], "right")
             for item, place in zip(items[lo:hi].tolist(), places[lo:hi].tolist()):
-                hits[int(c.doc[at[i]]), item].append((int(at[i]) - place, place, size))
+                tokens, equal = hits[int(c.doc[at[i]]), item]
+                tokens[int(at[i]) - place].update(range(place, place + size))
+                equal[int(at[i]) - place] += exact
     out = []
-    for (doc, item), found in hits.items():
-        diagonals = Counter(d for d, _, _ in found)
-        best = min(diagonals, key=lambda d: (-diagonals[d], d))
-        pairs = {(place + j, d + place + j) for d, place, size in found if abs(d - best) <= rules.drift for j in range(size)}
-        coverage = len({q for q, _ in pairs}) / int(index.sizes[item])
-        if coverage < rules.coverage:
-            continue
-        values: dict[str, Counter] = defaultdict(Counter)
-        for q, p in pairs:
-            if (own := index.slots[item].get(q)) is not None:
-                values[own][_value(c.value[p])] += 1
-        total = sum(sum(v.values()) for v in values.values())
-        agree = sum(max(v.values()) for v in values.values()) / total if total else 1.0
-        if agree >= rules.consistent:
-            out.append((doc, item, coverage, agree, any(v.most_common(1)[0][0] != own for own, v in values.items())))
+    for (doc, item), (tokens, equal) in hits.items():
+        diagonals = sorted(tokens)
+        # another copy in the text may hold where the best one does not
+        for best in sorted(tokens, key=lambda d: (-len(tokens[d]), -equal[d], d)):
+            near = diagonals[bisect_left(diagonals, best - rules.stretch):bisect_right(diagonals, best + rules.stretch)]
+            if sum(len(tokens[d]) for d in near) < rules.coverage * int(index.sizes[item]):
+                continue
+            pairs = _align(best, near, tokens)
+            coverage = len(pairs) / int(index.sizes[item])
+            if coverage < rules.coverage:
+                continue
+            values: dict[str, Counter] = defaultdict(Counter)
+            for q, p in pairs.items():
+                if (own := index.slots[item].get(q)) is not None:
+                    values[own][_value(c.value[p])] += 1
+            total = sum(sum(v.values()) for v in values.values())
+            agree = sum(max(v.values()) for v in values.values()) / total if total else 1.0
+            if agree >= rules.consistent:
+                out.append((doc, item, coverage, agree, any(v.most_common(1)[0][0] != own for own, v in values.items())))
+                break
     return out
 
 

@@ -118,6 +118,17 @@ def test_a_question_may_stand_behind_a_label():
     assert flagged("He said: Chidi has 3 red apples in a bag", [(1, "Maria has 5 red apples in a bag")]) == [(0, True)]
 
 
+def test_repeating_templates_and_broken_copies_are_found():
+    item = "Add 3 then add 4 then add 5 then add 6 then add 7."
+    assert flagged(f"{words(4, 30)}. {item}", [(1, item)]) == [(0, False)]
+    tokens = words(8, 42).split()
+    parts = [" ".join(tokens[i:i + 14]) for i in (0, 14, 28)]
+    broken = f"{parts[0]} {words(21, 6)} {parts[1]} {words(22, 40)} {parts[2]}"
+    assert flagged(broken, [(1, " ".join(tokens))]) == [(0, False)]
+    assert flagged(f"{parts[2]} {words(21, 9)} {parts[0]}", [(1, " ".join(tokens))]) == []
+    assert flagged(f"{parts[0]} {words(23, 400)} {parts[1]} {words(24, 400)} {parts[2]}", [(1, " ".join(tokens))]) == []
+
+
 def test_every_planted_passage_is_found_and_nothing_else(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
