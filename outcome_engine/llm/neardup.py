@@ -227,11 +227,11 @@ def _judged(df: DataFrame, id_col: str, text_col: str, rules: NearRules) -> Data
     clusters = stored(clusters.withColumnRenamed("component", "cluster"), "clusters")
 
     weight = stored(clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / rules.block_shingles).cast("long").alias("slots")), "cluster-sizes")
-    placed = clusters.join(spread(weight), "cluster").select("id", "doc_id", "row", "cluster", "slots")
+    placed = clusters.join(weight, "cluster").select("id", "doc_id", "row", "cluster", "slots")
 
     def packed(chosen: DataFrame) -> DataFrame:
         """Blocks of the chosen rows of ``placed``; rows that repeat an id and text give one set."""
-        texts = docs.withColumn("row", F.xxhash64("text")).join(spread(chosen), ["doc_id", "row"]).select("cluster", "slots", "id", "text")
+        texts = docs.withColumn("row", F.xxhash64("text")).join(chosen, ["doc_id", "row"]).select("cluster", "slots", "id", "text")
         sets = _shingled(texts, rules.words, "cluster long, slots long, id long")
         return _packed(sets.groupBy("cluster", "slots", "id").agg(F.first("shingles").alias("shingles")), "slots")
 
