@@ -13,6 +13,7 @@ from .lines import dedup_lines
 from .neardup import near_components
 from .packing import pack_documents
 from .repetition import repetition_quality
+from .runs import periodic_runs
 from .secrets import scan_secrets
 from .tables import read, scratch
 from .templates import decontaminate
@@ -95,7 +96,27 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_quality(read(spark, sf_dir, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document by hash repeats a stretch of its own words up to its end."""
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    docs = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string"))).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    docs = docs.withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (F.lit(1) + F.expr("(n - a) div (3 + g % 8)")).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    planted = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n"))
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periodic_runs(with_planted_runs(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))
+    return runs.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+                       F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+                       F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_packing, op2_secrets, op3_decontamination, op4_lines, op5_licences, op6_token_ids, op7_minhash, op8_language, op9_urls,
-        op10_repetition)}
+        op10_repetition, op11_periodic_runs)}
