@@ -12,6 +12,7 @@ from .licences import scan_licences
 from .lines import dedup_lines
 from .neardup import near_components
 from .packing import pack_documents
+from .phrases import collocations
 from .repetition import repetition_quality
 from .runs import periodic_runs
 from .secrets import scan_secrets
@@ -116,7 +117,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_packing, op2_secrets, op3_decontamination, op4_lines, op5_licences, op6_token_ids, op7_minhash, op8_language, op9_urls,
-        op10_repetition, op11_periodic_runs)}
+        op10_repetition, op11_periodic_runs, op12_phrases)}

@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
 from outcome_engine.llm import queries as Q
+from outcome_engine.llm.phrases import PhraseRules, collocations
 from outcome_engine.llm.runs import RunRules, SuffixTree, find_runs, periodic_runs, repeating_words, runs_of
 
 from .conftest import rows, words
@@ -116,3 +118,86 @@ def test_op11_against_brute_force(spark, sf_dir=SF):
         want[k] = (n, s, size, q, e, sha("".join(f"{a},{b},{c}\n" for a, b, c in runs)), sha(collapsed))
     assert {k: got[k] for k in want} == want
     assert sum(v[0] for v in got.values()) > 0
+
+
+# --- phrases -----------------------------------------------------------------------------------------------
+
+def brute_phrases(docs, rules):
+    """Counts by hand; Python's integers are exact."""
+    n, f = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, *w[i:i + k]) for k in range(1, rules.max_words + 1) for i in range(len(w) - k + 1))
+    found = {p: a for p, a in f.items() if len(p) > 2 and a >= rules.min_count}
+    out = {}
+    for (lang, *w), a in found.items():
+        inside = any(len(q) > len(w) + 1 and q[0] == lang and 100 * b >= rules.swallow_percent * a
+                     and any(list(q[1 + i:1 + i + len(w)]) == w for i in range(len(q) - len(w))) for q, b in found.items())
+        if not inside:
+            cuts = [(1000 * a * n[lang] // (f[(lang, *w[:k])] * f[(lang, *w[k:])]), k, f[(lang, *w[:k])], f[(lang, *w[k:])]) for k in range(1, len(w))]
+            score, _, left, right = min(cuts)
+            out.setdefault(lang, []).append((" ".join(w), a, left, right, n[lang], score))
+    ranked = {lang: sorted(rs, key=lambda r: (-r[5], -r[1], r[0].encode())) for lang, rs in out.items()}
+    return sorted((lang, i, *r) for lang, rs in ranked.items() for i, r in enumerate(rs[:rules.top], 1))
+
+
+def phrase_docs(seed, n=60):
+    rng = random.Random(seed)
+    vocabulary = ["the", "of", "new", "york", "Zug", "é", "in", "big city"] + [words(100 + i, 1) for i in range(30)]
+    marks = [" "] * 12 + [", ", ".\n", "\t", " - ", "  ", "!", "\x0b", " "]
+    text = lambda: "".join(rng.choice(vocabulary[:rng.choice([4, 8, 38])]) + rng.choice(marks) for _ in range(rng.randint(0, 120)))
+    docs = [(rng.choice(["en", "en", "de", None, "und"]), text()) for _ in range(n)]
+    return docs + [("en", None), (None, ""), ("en", " \n "), docs[0], docs[0], ("de", "the new york of the new york " * 40)]
+
+
+@pytest.mark.parametrize("seed,budget,rules", [(1, 1, PhraseRules(min_count=4)), (2, 40, PhraseRules(min_count=4, top=25)), (3, 300, PhraseRules(min_count=7)),
+                                               (4, None, PhraseRules(min_count=3, max_words=3)), (5, 25, PhraseRules(min_count=5, swallow_percent=80))])
+def test_collocations_are_those_of_brute_force(spark, seed, budget, rules):
+    docs = phrase_docs(seed)
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(5)
+    assert sorted(tuple(r) for r in collocations(df, rules=rules, budget=budget).collect()) == brute_phrases(docs, rules)
+
+
+def test_collocations_on_odd_rows(odd_docs, odd_rows, clashing, no_docs):
+    rules = PhraseRules(min_count=2)
+    want = brute_phrases([(r[2], r[1]) for r in odd_rows], rules)
+    assert sorted(tuple(r) for r in collocations(odd_docs, rules=rules).collect()) == want and want
+    assert sorted(tuple(r) for r in collocations(clashing, rules=rules).collect()) == want
+    assert collocations(no_docs, rules=rules).collect() == []
+
+
+def test_collocation_scores_pass_64_bits(spark, monkeypatch):
+    """Products beyond 64 bits: the same expression on made-up counts of a very large corpus."""
+    from outcome_engine.llm import phrases
+
+    n, a, left, right = 9 * 10**13, 8 * 10**12, 9 * 10**12, 81 * 10**11 + 7
+    counts = spark.createDataFrame([("en", "x y", a), ("en", "x", left), ("en", "y", right)], "lang string, phrase string, n long")
+    totals = spark.createDataFrame([("en", n)], "lang string, total long")
+    monkeypatch.setattr(phrases, "phrase_counts", lambda *_: (counts, totals))
+    got = collocations(counts).collect()
+    assert [tuple(r) for r in got] == [("en", 1, "x y", a, left, right, n, 1000 * a * n // (left * right))]
+
+
+def test_extended_prefixes_fit_the_budget(spark):
+    """No group holds more suffixes than twice the budget, however common its first words are."""
+    from outcome_engine.llm import phrases
+
+    held = []
+    plain = phrases._subtrees
+
+    def spy(blocks, rules):
+        sizes = blocks.selectExpr("group", "length(counts) div 4 AS n").groupBy("group").sum("n").collect()
+        held.extend(r[1] for r in sizes)
+        return plain(blocks, rules)
+
+    docs = phrase_docs(9, 200)
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(4)
+    phrases._subtrees = spy
+    try:
+        collocations(df, rules=PhraseRules(min_count=4), budget=100).collect()
+    finally:
+        phrases._subtrees = plain
+    assert len(held) > 10 and max(held) <= 200
