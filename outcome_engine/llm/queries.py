@@ -12,6 +12,7 @@ from .licences import scan_licences
 from .lines import dedup_lines
 from .neardup import near_components
 from .packing import pack_documents
+from .passages import remove_repeats
 from .phrases import collocations
 from .repetition import repetition_quality
 from .runs import periodic_runs
@@ -121,7 +122,12 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_packing, op2_secrets, op3_decontamination, op4_lines, op5_licences, op6_token_ids, op7_minhash, op8_language, op9_urls,
-        op10_repetition, op11_periodic_runs, op12_phrases)}
+        op10_repetition, op11_periodic_runs, op12_phrases, op13_passages)}

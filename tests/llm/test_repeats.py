@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 
 from outcome_engine.llm import queries as Q
+from outcome_engine.llm.passages import common_prefixes, merge_runs, remove_repeats, suffix_array
 from outcome_engine.llm.phrases import PhraseRules, collocations
 from outcome_engine.llm.runs import RunRules, SuffixTree, find_runs, periodic_runs, repeating_words, runs_of
 
@@ -201,3 +202,103 @@ def test_extended_prefixes_fit_the_budget(spark):
     finally:
         phrases._subtrees = plain
     assert len(held) > 10 and max(held) <= 200
+
+
+# --- repeated passages -------------------------------------------------------------------------------------
+
+def brute_passages(docs, length=400):
+    """(doc_id, n_bytes, spans, kept) of every row, by counting all windows."""
+    data = [(k, (t or "").encode()) for k, t in docs]
+    n = Counter(b[i:i + length] for _, b in data for i in range(len(b) - length + 1))
+    out = []
+    for k, b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if n[b[i:i + length]] > 1:
+                gone[i:i + length] = b"\x01" * length
+        spans = [(m.start(), m.end()) for m in re.finditer(b"\x01+", bytes(gone))]
+        out.append((k, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g)))
+    return out
+
+
+def passage_rows(df):
+    return [(r.doc_id, r.n_bytes, r.n_removed, [tuple(s) for s in r.spans], bytes(r.kept)) for r in df.collect()]
+
+
+def passage_docs(seed, length):
+    """Texts with copies of many kinds: whole, shifted, overlapping, within a text, of runs of one character."""
+    rng = random.Random(seed)
+    pool = [words(50 + i, 40) for i in range(4)] + ["ab" * 60, "a" * 150, "é€ " * 40]
+    out = []
+    for i in range(70):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            if rng.random() < 0.5:
+                t = rng.choice(pool)
+                a = rng.randint(0, len(t) - 1)
+                parts.append(t[a:a + rng.randint(1, 3 * length)])
+            else:
+                parts.append(words(rng.randint(1000, 9999), rng.randint(1, 30)))
+        out.append((i, " ".join(parts)))
+    return out + [(3, out[3][1]), (200, out[3][1]), (None, out[5][1]), (None, None), (201, ""), (202, out[5][1] + out[6][1]), (203, "\x00" * 90 + out[7][1])]
+
+
+@pytest.mark.parametrize("seed,length,core,shard", [(1, 24, 16, 400), (2, 24, 5, 120), (3, 60, 40, 1000), (4, 24, 24, 2_000_000), (5, 9, 4, 60)])
+def test_passages_are_those_of_brute_force(spark, seed, length, core, shard):
+    docs = passage_docs(seed, length)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    want = sorted(brute_passages(docs, length), key=str)
+    assert sorted(passage_rows(remove_repeats(df, length=length, core=core, shard_bytes=shard)), key=str) == want
+    assert sum(r[2] for r in want) > 0 and sum(r[1] - r[2] for r in want) > 0
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    from outcome_engine.llm import passages
+
+    plain = passages.hash_filter
+    monkeypatch.setattr(passages, "hash_filter", lambda keys: plain(keys, max_bytes=1))
+    monkeypatch.setattr(plain.__module__ and __import__(plain.__module__, fromlist=["HashFilter"]).HashFilter, "holds",
+                        lambda self, h: __import__("numpy").ones(len(h), bool))
+    docs = passage_docs(6, 24)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert sorted(passage_rows(remove_repeats(df, length=24, core=10, shard_bytes=200)), key=str) == sorted(brute_passages(docs, 24), key=str)
+
+
+def test_passages_on_odd_rows(odd_docs, odd_rows, clashing, no_docs):
+    want = sorted(brute_passages([(r[0], r[1]) for r in odd_rows]), key=str)
+    assert sorted(passage_rows(remove_repeats(odd_docs)), key=str) == want
+    assert sorted(passage_rows(remove_repeats(clashing)), key=str) == want
+    assert remove_repeats(no_docs).collect() == []
+
+
+def test_suffix_order_and_common_prefixes():
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(150):
+        d = bytes(rng.choice(b"ab\x00\xffc"[:rng.choice([1, 2, 3, 5])]) for _ in range(rng.randint(1, 200)))
+        d = d + d[:rng.randint(0, len(d))] + d if rng.random() < 0.5 else d
+        data = np.frombuffer(d, np.uint8)
+        order = suffix_array(data)
+        assert order.tolist() == sorted(range(len(d)), key=lambda i: d[i:])
+        got = common_prefixes(data, order, 40, rng.choice([1, 7, 128]))
+        for a, b in zip(order[:-1].tolist(), order[1:].tolist()):
+            same = next((k for k in range(40) if max(a, b) + k >= len(d) or d[a + k] != d[b + k]), 40)
+            assert got[b] == same
+
+
+def test_merged_runs():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(50):
+        runs = [np.unique(np.array([rng.randint(0, 60) for _ in range(rng.randint(0, 30))], np.uint64)) for _ in range(rng.randint(0, 9))]
+        n = Counter(x for r in runs for x in r.tolist())
+        assert merge_runs(runs).tolist() == sorted(x for x, c in n.items() if c > 1)
+
+
+def test_op13_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    want = [(k, n, m, len(s), hashlib.sha256(b).hexdigest()) for k, n, m, s, b in brute_passages(docs)]
+    got = [tuple(r) for r in Q.op13_passages(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and sum(r[2] for r in got) > 0
