@@ -6,9 +6,7 @@ rows get folds by rank.  md5 digests are uniform, so their hex prefix is a
 balanced monotone block id for the distributed running count (no single task
 per class).  The same definition runs in SQL, so the split is checked exactly.
 
-KNN imputation is not built: in the original flow every null is already filled
-by the median pass before the imputer runs, so it never changes a value, and an
-exact all-pairs neighbour search is not something to run at scale.
+Nearest-neighbour imputation is in ``impute``.
 """
 
 from __future__ import annotations

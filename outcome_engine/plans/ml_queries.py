@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..config import DEFAULT, Settings
 from ..operators import features as FE
+from ..operators import impute as IM
 from ..operators import insights as INS
 from ..operators import metrics as M
 from ..operators import prep as PR
@@ -103,6 +104,18 @@ def _scaler(spark, sf_dir):
     return _round_doubles(PR.scaler_table(s, list(C.CANDIDATE_FEATURES)))
 
 
+# Columns of the cleaned table that still have nulls before the features fill them with medians.
+IMPUTED = ("funding_total_usd", "funding_rounds", "funding_per_round", "company_age_years", "days_to_first_funding",
+           "funding_duration_days", "category_count")
+
+
+def _knn(spark, sf_dir):
+    """All ventures with their nulls filled from the five nearest concluded ones, open ventures too (as in scoring)."""
+    v = ventures(spark, sf_dir)
+    model = IM.fit_knn(FE.with_target(v), IMPUTED)
+    return _round_doubles(model.transform(v.select("venture_id", *IMPUTED)))
+
+
 def _baseline_predictions(spark, sf_dir):
     _, _, feat = training_frame(spark, sf_dir)
     s = SC.baseline_score(feat)
@@ -334,6 +347,7 @@ def queries() -> dict:
         "sel_variance": _sel_variance,
         "prp_split": _split,
         "prp_scaler": _scaler,
+        "prp_knn": _knn,
         "met_auc": _met_auc,
         "met_roc_curve": _met_roc,
         "met_pr_curve": _met_pr,

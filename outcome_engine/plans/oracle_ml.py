@@ -267,6 +267,30 @@ _TEST_ROWS = ("(select target as label, count(*) as n from (select target, row_n
 INVARIANTS = ("ensemble is the mean of its members", "best model has the largest AUC", "AUC equals the share of ordered pairs",
               "seven families and the ensemble")
 
+IMPUTED = ("funding_total_usd", "funding_rounds", "funding_per_round", "company_age_years", "days_to_first_funding",
+           "funding_duration_days", "category_count")
+
+
+def _knn_sql() -> str:
+    """All pairs of a row with nulls and a concluded one; the nearest five per column, ties to the smaller id."""
+    n = len(IMPUTED)
+    cells = ", ".join(f"{c}::double as {c}" for c in IMPUTED)
+    both = " + ".join(f"cast(r.{c} is not null and d.{c} is not null as integer)" for c in IMPUTED)
+    squares = " + ".join(f"coalesce((r.{c} - d.{c}) * (r.{c} - d.{c}), 0.0::double)" for c in IMPUTED)
+    near = [f"n_{c} as (select rid, avg(v) as v from (select rid, d_{c} as v, row_number() over (partition by rid order by dist, did) as k "
+            f"from pairs where r_{c} is null and d_{c} is not null) where k <= 5 group by rid)" for c in IMPUTED]
+    filled = ", ".join(f"round(coalesce(a.{c}, n_{c}.v, m.{c}), 6) as {c}" for c in IMPUTED)
+    joins = " ".join(f"left join n_{c} on n_{c}.rid = a.venture_id" for c in IMPUTED)
+    return with_base(
+        f"select a.venture_id, {filled} from everyone a cross join means m {joins}",
+        f"everyone as (select venture_id, {cells} from ventures)",
+        f"donors as (select venture_id, {cells} from ventures where {CONC})",
+        f"means as (select {', '.join(f'avg({c}) as {c}' for c in IMPUTED)} from donors)",
+        f"pairs as (select r.venture_id as rid, d.venture_id as did, {', '.join(f'r.{c} as r_{c}, d.{c} as d_{c}' for c in IMPUTED)}, "
+        f"({squares}) * {n}.0::double / ({both}) as dist from everyone r join donors d on ({both}) > 0 "
+        f"where {' or '.join(f'r.{c} is null' for c in IMPUTED)})", *near)
+
+
 ML_SQL: dict[str, str] = {
     "mdl_confusion_totals": with_base(
         f"select m.model, t.label, cast(t.n as bigint) as n from (values {', '.join(f"('{n}')" for n in MODEL_NAMES)}) m(model), {_TEST_ROWS} t",
@@ -280,6 +304,7 @@ ML_SQL: dict[str, str] = {
     "sel_variance": _variance_sql(),
     "prp_split": _split_sql(),
     "prp_scaler": _scaler_sql(),
+    "prp_knn": _knn_sql(),
     "met_auc": with_base(AUC_SELECT, *PRED),
     "met_roc_curve": with_base("select model, score as threshold, P - pos_before as tps, N - neg_before as fps, "
                                f"{ratio('N - neg_before', 'N')} as fpr, {ratio('P - pos_before', 'P')} as tpr from cum",

@@ -11,7 +11,7 @@ from oracle_check import compare, duck
 FAST = ["ventures_clean", "clean_report", "d1_missing_pct", "d2_rate_by_age", "d3_rate_by_bracket",
         "d3_efficiency_box", "d4_geo_summary", "d5_category_success", "d5_category_insights", "d6_rate_by_era",
         "d6_temporal_summary", "d7_corr_matrix", "d7_corr_ranked", "ins_report", "ins_exit_timing"]
-ML = ["fea_features", "fea_extra", "sel_correlation", "prp_split", "prp_scaler", "met_auc", "met_roc_curve", "met_summary", "sco_category_rollup",
+ML = ["fea_features", "fea_extra", "sel_correlation", "prp_split", "prp_scaler", "prp_knn", "met_auc", "met_roc_curve", "met_summary", "sco_category_rollup",
       "sco_predictions"]
 
 
