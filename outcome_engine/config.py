@@ -165,13 +165,15 @@ class Settings:
 
     ``as_of`` replaces the wall clock of the original analysis so results are
     reproducible.  ``quantile_mode='exact'`` runs a distributed exact quantile
-    (value-count pre-aggregation + block ranks), ``'approx'`` uses
+    (``quantile_blocks`` cut points a round until a segment has at most
+    ``select_rows`` values, which one task ranks), ``'approx'`` uses
     ``percentile_approx`` with ``approx_accuracy``.
     """
 
     as_of: str = "2025-01-01"
     quantile_mode: str = "exact"
     quantile_blocks: int = 64
+    select_rows: int = 1_000_000
     approx_accuracy: int = 10000
     # date formats tried in order when coercing text to dates
     date_formats: tuple[str, ...] = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",

@@ -2,16 +2,22 @@
 
 Spark's exact ``percentile`` merges a value->count map of the whole group on one
 task, which does not hold for a column with billions of distinct values.  The
-exact mode here instead:
-
-1. pre-aggregates ``(group, value) -> count`` (map-side combine; a hot value
-   collapses to one row, so skew cannot pile up),
-2. cuts every group's distinct values into ``blocks`` ranges with a
-   ``percentile_approx`` sketch (bounded memory, mergeable),
-3. ranks values with a running count inside each block (one task per block)
-   plus the block's offset (a running sum over at most ``blocks`` rows),
-4. picks the two values around rank ``p*(n-1)`` and interpolates linearly,
-   the definition used by pandas/numpy and DuckDB's ``quantile_cont``.
+exact mode here is a distributed multi-select.  Every wanted rank lies in a
+segment of the values, at first the whole group:
+
+1. a ``percentile_approx`` sketch (bounded memory, mergeable) gives cut points of
+   each segment,
+2. one aggregation counts the values between the cut points, and those equal to
+   one.  A rank that falls on a cut point is settled: a hot value never has to be
+   sorted.  A rank between two of them has a segment that is smaller by about the
+   number of cut points,
+3. segments of at most ``Settings.select_rows`` rows are ranked, one task each; for
+   the others the two steps are repeated on their rows alone.
+
+So the rows that any task sorts are bounded by a number and not by a share of the
+table, and all other values are only counted.  The two values around rank
+``p*(n-1)`` are interpolated linearly, the definition used by pandas/numpy and
+DuckDB's ``quantile_cont``.
 
 The approximate mode is ``percentile_approx`` with a configurable accuracy.
 Several columns are handled in one pass by unpivoting them into
@@ -70,11 +76,13 @@ def quantile_table(df: DataFrame, values: Mapping[str, Column | str], probs: Seq
     """One row per (group..., measure) with one column per probability.
 
     Columns: ``*by, measure, n, <names...>``.  Nulls and NaN are ignored; a group
-    with no values produces no row.
+    with no values and a null group produce no row.
     """
     by = list(by)
     keys = by + ["_m"]
     long = _long(df, values, by)
+    for c in by:
+        long = long.where(F.col(c).isNotNull())
     if settings.quantile_mode == "approx":
         acc = settings.approx_accuracy
         out = long.groupBy(*keys).agg(
@@ -82,34 +90,15 @@ def quantile_table(df: DataFrame, values: Mapping[str, Column | str], probs: Seq
             *[F.percentile_approx("_v", float(p), acc).cast("double").alias(nm) for p, nm in zip(probs, names)])
         return out.withColumnRenamed("_m", "measure")
 
-    nb = max(int(settings.quantile_blocks), 1)
-    vc = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    fracs = [i / nb for i in range(1, nb)]
-    cuts = vc.groupBy(*keys).agg(
-        F.sum("_c").alias("_n"),
-        (F.percentile_approx("_v", fracs, settings.approx_accuracy) if fracs
-         else F.array().cast("array<double>")).alias("_cuts"))
-    # one row per measured column and group: never a shuffle of all values on a key of a few groups
-    cuts = per_group(cuts) if by else F.broadcast(cuts)
-    vb = (vc.join(cuts, keys)
-          .withColumn("_b", block_of(F.col("_cuts"), F.col("_v"), len(fracs)))
-          .drop("_cuts"))
-    block_counts = vb.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = block_counts.select(*keys, "_b", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_off"))
-    if not by:
-        offsets = F.broadcast(offsets)
-    within = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (vb.join(offsets, keys + ["_b"])
-              .withColumn("_hi", F.col("_off") + F.sum("_c").over(within))
-              .withColumn("_lo", F.col("_hi") - F.col("_c")))
-    aggs = []
-    for k, p in enumerate(probs):
-        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        i, j = F.floor(pos), F.ceil(pos)
-        aggs.append(F.max(F.when((F.col("_lo") <= i) & (i < F.col("_hi")), F.col("_v"))).alias(f"_a{k}"))
-        aggs.append(F.max(F.when((F.col("_lo") <= j) & (j < F.col("_hi")), F.col("_v"))).alias(f"_b{k}"))
-    picked = ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *aggs)
+    # the rows of the table bound those of any group, and counting them reads no column
+    if df.count() * len(values) <= settings.select_rows:
+        found = _rank_all(long, keys, probs)
+    else:
+        sizes = per_group(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+        found = multi_select(long, keys, sizes, probs, settings)
+    picked = found.groupBy(*keys).agg(F.max("_n").alias("n"), *[
+        F.max(F.when(F.array_contains("_at", k), F.col("_v"))).alias(f"_{side}{i}")
+        for i in range(len(probs)) for side, k in (("a", 2 * i), ("b", 2 * i + 1))])
     outs = []
     for k, (p, nm) in enumerate(zip(probs, names)):
         pos = (F.col("n") - 1).cast("double") * F.lit(float(p))
@@ -117,6 +106,85 @@ def quantile_table(df: DataFrame, values: Mapping[str, Column | str], probs: Seq
     return picked.select(*by, F.col("_m").alias("measure"), "n", *outs)
 
 
+def _wanted(n: Column, probs: Sequence[float]) -> Column:
+    """The ranks (from 0) around every probability, two for each: floor and ceiling of ``p * (n - 1)``."""
+    pos = [(n - 1).cast("double") * F.lit(float(p)) for p in probs]
+    return F.array(*[f(x).cast("long") for x in pos for f in (F.floor, F.ceil)])
+
+
+def _places(ranks: Column, low: Column, high: Column) -> Column:
+    """Which of the wanted ranks lie in [low, high): their places in the list."""
+    at = F.transform(ranks, lambda r, i: F.when((r >= low) & (r < high), i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
+def _ranked(counts: DataFrame, keys: Sequence[str], n: Column, ranks: Column, before: Column) -> DataFrame:
+    """(keys, _n, _v, _at) of the values that hold wanted ranks; sorts each key's distinct values in one task."""
+    running = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up_to = counts.withColumn("_hi", before + F.sum("_c").over(running)).withColumn("_n", n)
+    return up_to.withColumn("_at", _places(ranks, F.col("_hi") - F.col("_c"), F.col("_hi"))).where(F.size("_at") > 0)
+
+
+def _rank_all(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """For tables of at most ``select_rows`` values: all are ranked at once."""
+    counts = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    n = F.sum("_c").over(Window.partitionBy(*keys))
+    return _ranked(counts, keys, n, _wanted(F.col("_n"), probs), F.lit(0)).select(*keys, "_n", "_v", "_at")
+
+
+def _inside(long: DataFrame, segments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The values that lie in a segment (both ends open, null is none), beside its columns."""
+    v = F.col("_v")
+    hit = (F.col("_lo").isNull() | (v > F.col("_lo"))) & (F.col("_hi").isNull() | (v < F.col("_hi")))
+    return long.join(per_group(segments), list(keys)).where(hit)
+
+
+def multi_select(long: DataFrame, keys: Sequence[str], sizes: DataFrame, probs: Sequence[float], settings: Settings) -> DataFrame:
+    """(keys, _n, _v, _at): the values at the wanted ranks, each with the places it has among them.
+
+    ``long`` has the keys and ``_v``, ``sizes`` the rows of each key.
+    """
+    keys = list(keys)
+    cuts_wanted = [i / max(2, settings.quantile_blocks) for i in range(1, max(2, settings.quantile_blocks))]
+    none = F.lit(None).cast("double")
+    open_ = cut_lineage(sizes.select(*keys, "_n", F.lit(0).alias("_s"), none.alias("_lo"), none.alias("_hi"), F.lit(0).cast("long").alias("_before"),
+                                     F.col("_n").alias("_rows"), _wanted(F.col("_n"), probs).alias("_ranks")))
+    found, small = [], []
+    while True:
+        small.append(open_.where(F.col("_rows") <= settings.select_rows))
+        open_ = open_.where(F.col("_rows") > settings.select_rows)
+        if open_.isEmpty():
+            break
+        part = [*keys, "_s"]
+        cuts = _inside(long, open_.select(*part, "_lo", "_hi"), keys).groupBy(*part).agg(
+            F.array_sort(F.array_distinct(F.percentile_approx("_v", cuts_wanted, settings.approx_accuracy))).alias("_cuts"))
+        open_ = cut_lineage(open_.join(cuts, part))
+        # an even block lies between two cut points, an odd one is the cut point itself
+        below = block_of(F.col("_cuts"), F.col("_v"), len(cuts_wanted))
+        on = F.coalesce(F.try_element_at("_cuts", F.col("_b") + 1) == F.col("_v"), F.lit(False)).cast("int")
+        counted = _inside(long, open_.select(*part, "_lo", "_hi", "_cuts"), keys).withColumn("_b", below) \
+            .groupBy(*part, (F.col("_b") * 2 + on).alias("_block")).agg(F.count(F.lit(1)).alias("_c"))
+        running = Window.partitionBy(*part).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        blocks = counted.join(open_, part).withColumn("_end", F.col("_before") + F.sum("_c").over(running))  # the blocks of a segment
+        blocks = blocks.withColumn("_at", _places(F.col("_ranks"), F.col("_end") - F.col("_c"), F.col("_end"))).where(F.size("_at") > 0)
+        blocks = cut_lineage(blocks)
+        left = F.expr("_block div 2").cast("int")
+        found.append(blocks.where("_block % 2 = 1").select(*keys, "_n", F.element_at("_cuts", left + 1).alias("_v"), "_at"))
+        edge = lambda i, old: F.coalesce(F.try_element_at("_cuts", F.when(i > 0, i)), F.col(old)).alias(old)
+        open_ = cut_lineage(blocks.where("_block % 2 = 0").select(
+            *keys, "_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_s", "_block")).alias("_s"), edge(left, "_lo"), edge(left + 1, "_hi"),
+            (F.col("_end") - F.col("_c")).alias("_before"), F.col("_c").alias("_rows"), "_ranks"))
+    part = [*keys, "_s"]
+    for segments in small:
+        values = _inside(long, segments.select(*part, "_lo", "_hi"), keys).groupBy(*part, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        counts = values.join(per_group(segments.select(*part, "_n", "_before", "_ranks")), part)
+        found.append(_ranked(counts, part, F.col("_n"), F.col("_ranks"), F.col("_before")).select(*keys, "_n", "_v", "_at"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def quantile_row(df: DataFrame, values: Mapping[str, Column | str], probs: Sequence[float],
                  names: Sequence[str], settings: Settings = DEFAULT) -> DataFrame:
     """A single row with columns ``<measure>__<name>``; all-null measures give null.

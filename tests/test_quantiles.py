@@ -25,6 +25,44 @@ def test_exact_matches_numpy_with_ties_and_nulls(spark, blocks):
         assert got[nm] == pytest.approx(w, rel=1e-12, abs=1e-9)
 
 
+@pytest.mark.parametrize("blocks,rows", [(2, 1), (4, 10), (64, 30), (64, 400)])
+def test_multi_select_over_several_rounds(spark, blocks, rows):
+    """Groups of very different sizes, a value that half the rows share, negative zero, infinities, groups without values."""
+    rng = np.random.default_rng(11)
+    data = [(1, float(v)) for v in rng.normal(0, 1, 700)] + [(1, 0.25)] * 700 + [(2, 5.0)] * 300 + [(3, -0.0), (3, 0.0), (3, 1.0)] \
+        + [(None, float(v)) for v in rng.integers(0, 9, 250)] + [(4, None), (5, float("inf")), (5, 2.0), (5, float("nan"))]
+    df = spark.createDataFrame(data, "g int, x double")
+    settings = DEFAULT.with_(quantile_blocks=blocks, select_rows=rows)
+    got = {r["g"]: r for r in quantile_table(df, {"x": "x"}, PROBS, NAMES, by=["g"], settings=settings).collect()}
+    plain = {r["g"]: r for r in quantile_table(df, {"x": "x"}, PROBS, NAMES, by=["g"]).collect()}
+    assert set(got) == set(plain) == {1, 2, 3, 5}
+    for g, r in got.items():
+        xs = np.array([v for k, v in data if k == g and v is not None and v == v])
+        assert r["n"] == len(xs) and tuple(r) == tuple(plain[g])
+        if np.isfinite(xs).all():
+            assert [r[n] for n in NAMES] == pytest.approx(list(np.quantile(xs, PROBS)), rel=1e-12)
+
+
+def test_only_small_segments_are_ranked(spark, monkeypatch):
+    """The rows that reach a window over values are bounded by select_rows a wanted rank, whatever the table's size."""
+    from outcome_engine.operators import quantiles as Q
+
+    ranked = []
+    plain = Q._ranked
+
+    def spy(counts, keys, *more):
+        ranked.append((counts.count(), counts.groupBy(*keys).count().agg(F.max("count")).first()[0]))
+        return plain(counts, keys, *more)
+
+    monkeypatch.setattr(Q, "_ranked", spy)
+    rng = np.random.default_rng(2)
+    xs, ys = rng.normal(0, 1, 20_000), rng.normal(0, 1, 20_000)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(xs, ys)], "x double, y double")
+    row = Q.quantile_row(df, {"x": "x", "y": "y"}, [0.5, 0.99], ["med", "high"], settings=DEFAULT.with_(select_rows=50))
+    assert [row.first()[c] for c in ("x__med", "y__high")] == pytest.approx([np.median(xs), np.quantile(ys, 0.99)])
+    assert ranked and max(most or 0 for _, most in ranked) <= 50 and sum(n for n, _ in ranked) <= 50 * 8
+
+
 def test_grouped_and_row_forms(spark):
     rng = np.random.default_rng(3)
     data = [(int(g), float(v)) for g, v in zip(rng.integers(0, 4, 400), rng.normal(0, 1, 400))]
