@@ -43,11 +43,16 @@ def value_counts(df: DataFrame, key: str | Column, name: str | None = None, top:
     name = name or (key if isinstance(key, str) else "key")
     counts = df.where(k.isNotNull()).groupBy(k.alias(name)).agg(F.count(F.lit(1)).alias("n"))
     if order:
-        by = [F.col("n").desc(), F.col(name)] if order == "count" else [F.col(name)]
-        return counts.withColumn("position", F.row_number().over(Window.orderBy(*by)))
+        return in_order(counts, name, order)
     return top_k(counts, "n", name, top) if top else counts
 
 
+def in_order(counts: DataFrame, name: str, order: str) -> DataFrame:
+    """Counts (name, n) with their ``position``, by ``count`` or by ``key``; for a few values, as one task ranks them."""
+    by = [F.col("n").desc(), F.col(name)] if order == "count" else [F.col(name)]
+    return counts.withColumn("position", F.row_number().over(Window.orderBy(*by)))
+
+
 def top_k(df: DataFrame, value: str, key: str, k: int, rank_name: str = "rank") -> DataFrame:
     """The k rows with the largest ``value`` (ties broken by ``key``), with their 1-based rank.
 
@@ -91,15 +96,18 @@ def rate_by_bucket(df: DataFrame, value: str | Column, bucket_def, name: str,
     b = df.select(X.bucketize(v, edges, labels, lowest).alias(name), success.alias("_s")).where(F.col(name).isNotNull())
     agg = b.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.count_if("_s").alias("n_success"))
     if keep_empty:
-        # all buckets kept; the aggregate (one row per bucket label at most) is the broadcast side
-        agg = bucket_labels(df, labels, name).join(F.broadcast(agg), name, "left")
-        agg = agg.select(name, "bucket_order", F.coalesce("n", F.lit(0)).alias("n"),
-                         F.coalesce("n_success", F.lit(0)).alias("n_success"))
-    else:
-        agg = agg.withColumn("bucket_order", X.bucket_order(name, labels))
+        return all_buckets(agg, labels, name)
+    agg = agg.withColumn("bucket_order", X.bucket_order(name, labels))
     return agg.withColumn("success_rate", X.pct(F.col("n_success"), F.col("n")))
 
 
+def all_buckets(agg: DataFrame, labels: Sequence[str], name: str) -> DataFrame:
+    """Rates of every bucket label from (name, n, n_success); at most one row per label is broadcast."""
+    out = bucket_labels(agg, labels, name).join(F.broadcast(agg), name, "left")
+    out = out.select(name, "bucket_order", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_success", F.lit(0)).alias("n_success"))
+    return out.withColumn("success_rate", X.pct(F.col("n_success"), F.col("n")))
+
+
 def shares(counts: DataFrame, n_col: str, total: Column) -> DataFrame:
     """Add ``share`` = n / total (total is a column of a broadcast one-row table)."""
     return counts.withColumn("share", X.ratio(F.col(n_col), total))
@@ -111,6 +119,22 @@ def explode_categories(df: DataFrame, cols: Sequence[str] = ()) -> DataFrame:
         *cols, F.explode(F.transform(F.split("category_list", r"\|"), lambda x: X.strip(x))).alias("category"))
 
 
+def category_lists(df: DataFrame, *keys: Column) -> DataFrame:
+    """Counts and sums of every distinct category list: what category panels need of the detail rows.
+
+    Columns: ``category_list, *keys, n, n_concluded, n_success, n_amounts, amount``.
+    """
+    amount = F.col("funding_total_usd")
+    return df.where(F.col("category_list").isNotNull()).groupBy("category_list", *keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(is_concluded()).alias("n_concluded"), F.count_if(is_success()).alias("n_success"),
+        F.count(amount).alias("n_amounts"), F.sum(amount).alias("amount"))
+
+
+def category_counts(lists: DataFrame) -> DataFrame:
+    """(category, n) from distinct lists: an item that a list repeats counts twice, as in the detail rows."""
+    return explode_categories(lists, ["n"]).groupBy("category").agg(F.sum("n").alias("n"))
+
+
 def match_categories(df: DataFrame, cats: DataFrame, mode: str = "substring", cat_col: str = "category") -> DataFrame:
     """Pair ventures with the categories they belong to.
 

@@ -72,9 +72,11 @@ def _lerp(a: Column, b: Column, t: Column) -> Column:
 
 
 def quantile_table(df: DataFrame, values: Mapping[str, Column | str], probs: Sequence[float],
-                   names: Sequence[str], by: Sequence[str] = (), settings: Settings = DEFAULT) -> DataFrame:
+                   names: Sequence[str], by: Sequence[str] = (), settings: Settings = DEFAULT, rows: int | None = None) -> DataFrame:
     """One row per (group..., measure) with one column per probability.
 
+    ``rows`` saves counting the table, if it is known to have at most so many rows.
+
     Columns: ``*by, measure, n, <names...>``.  Nulls and NaN are ignored; a group
     with no values and a null group produce no row.
     """
@@ -91,7 +93,7 @@ def quantile_table(df: DataFrame, values: Mapping[str, Column | str], probs: Seq
         return out.withColumnRenamed("_m", "measure")
 
     # the rows of the table bound those of any group, and counting them reads no column
-    if df.count() * len(values) <= settings.select_rows:
+    if (df.count() if rows is None else rows) * len(values) <= settings.select_rows:
         found = _rank_all(long, keys, probs)
     else:
         sizes = per_group(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))

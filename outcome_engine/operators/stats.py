@@ -48,9 +48,7 @@ def histogram(df: DataFrame, value: str | Column, bins: int, by: Sequence[str] =
     data = df.select(*by, v.cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     range_keys = [] if shared_range else by
     rng = data.groupBy(*range_keys).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-    rng = rng.select(*range_keys,
-                     F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
-                     F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
+    rng = rng.select(*range_keys, *bin_range(F.col("_mn"), F.col("_mx")))
     if range_keys:
         rng = per_group(rng)
     joined = data.join(rng, range_keys) if range_keys else data.crossJoin(F.broadcast(rng))
@@ -59,6 +57,18 @@ def histogram(df: DataFrame, value: str | Column, bins: int, by: Sequence[str] =
     frame = rng
     if by and shared_range:  # one shared range (1 row, broadcast) for every group present
         frame = data.select(*by).distinct().crossJoin(F.broadcast(rng))
+    return fill_bins(frame, counts, bins, by, density)
+
+
+def bin_range(low: Column, high: Column) -> tuple[Column, Column]:
+    """``_lo`` and ``_hi`` of a histogram: half a unit around a constant."""
+    same = low == high
+    return F.when(same, low - 0.5).otherwise(low).alias("_lo"), F.when(same, high + 0.5).otherwise(high).alias("_hi")
+
+
+def fill_bins(frame: DataFrame, counts: DataFrame, bins: int, by: Sequence[str] = (), density: bool = False) -> DataFrame:
+    """A histogram from its ranges (``*by, _lo, _hi``) and the counts of its filled bins (``*by, bin, n``)."""
+    by = list(by)
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     all_bins = frame.select(*by, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     all_bins = all_bins.select(*by, "bin",
@@ -91,13 +101,15 @@ def box_stats(df: DataFrame, value: str | Column, by: Sequence[str], settings: S
         F.max(F.when(x <= F.col("fence_hi"), x)).alias("_whi"),
         F.count_if((x < F.col("fence_lo")) | (x > F.col("fence_hi"))).alias("n_outliers"),
         F.min(x).alias("min"), F.max(x).alias("max"))
-    out = q.join(agg, by)
-    return out.select(*by, "n", "min", "q1", "median", "q3", "max", "iqr",
-                      F.when(F.col("_wlo").isNull() | (F.col("_wlo") > F.col("q1")), F.col("q1"))
-                      .otherwise(F.col("_wlo")).alias("whisker_lo"),
-                      F.when(F.col("_whi").isNull() | (F.col("_whi") < F.col("q3")), F.col("q3"))
-                      .otherwise(F.col("_whi")).alias("whisker_hi"),
-                      "n_outliers")
+    return q.join(agg, by).select(*by, "n", *box_columns())
+
+
+def box_columns() -> list[Column | str]:
+    """The box's columns from its quartiles and the most extreme values inside the fences (``_wlo``, ``_whi``)."""
+    return ["min", "q1", "median", "q3", "max", "iqr",
+            F.when(F.col("_wlo").isNull() | (F.col("_wlo") > F.col("q1")), F.col("q1")).otherwise(F.col("_wlo")).alias("whisker_lo"),
+            F.when(F.col("_whi").isNull() | (F.col("_whi") < F.col("q3")), F.col("q3")).otherwise(F.col("_whi")).alias("whisker_hi"),
+            "n_outliers"]
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -168,3 +180,14 @@ def schema_type_counts(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         counts[f.dataType.simpleString()] = counts.get(f.dataType.simpleString(), 0) + 1
     return df.sparkSession.createDataFrame(sorted(counts.items()), "data_type string, n_columns int")
+
+
+def schema_kinds(df: DataFrame) -> DataFrame:
+    """(kind, n_columns): how many columns hold numbers, text, dates or other values."""
+    kinds: dict[str, int] = {}
+    for f in df.schema.fields:
+        name = f.dataType.typeName()
+        number = name in ("byte", "short", "integer", "long", "float", "double", "decimal")
+        kind = "number" if number else "text" if name == "string" else "date" if name in ("date", "timestamp", "timestamp_ntz") else "other"
+        kinds[kind] = kinds.get(kind, 0) + 1
+    return df.sparkSession.createDataFrame(sorted(kinds.items()), "kind string, n_columns int")

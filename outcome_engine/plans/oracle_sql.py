@@ -324,6 +324,20 @@ PANEL_SQL: dict[str, str] = {
         f"cast(sum(has_funding) as bigint) as n_funded, {pct('sum(has_funding)', 'count(*)')} as pct_funded, "
         f"cast(sum(has_location) as bigint) as n_located, {pct('sum(has_location)', 'count(*)')} as pct_located, "
         "round(avg(funding_rounds), 4) as mean_rounds from ventures"),
+    "d1_dtype_counts": with_base(
+        "select kind, cast(count(*) as integer) as n_columns from (select case when t = 'VARCHAR' then 'text' when t in ('DATE', 'TIMESTAMP') then 'date' "
+        "when t in ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE') or t like 'DECIMAL%' then 'number' else 'other' end as kind "
+        f"from (select unnest([{', '.join(f'typeof({c})' for c in CLEAN_COLUMNS)}]) as t from (select * from ventures limit 1))) group by kind"),
+    "d1_funding_status": with_base("select cast(has_funding as integer) as has_funding, count(*) as n from ventures group by 1"),
+    "d1_location_status": with_base("select cast(has_location as integer) as has_location, count(*) as n from ventures group by 1"),
+    "d4_diversity": with_base(
+        "select m.measure, case m.measure when 'diversity' then 1.0::double - "
+        f"{ratio('sum(t.n * t.n)', 'max(g.total) * max(g.total)')} "
+        f"when 'top3_share' then {ratio('sum(case when t.rank <= 3 then t.n end)', 'max(g.total)')} "
+        f"when 'top5_share' then {ratio('sum(case when t.rank <= 5 then t.n end)', 'max(g.total)')} "
+        f"else {ratio('sum(case when t.rank <= 10 then t.n end)', 'max(g.total)')} end as value "
+        f"from (values ('diversity'), ('top3_share'), ('top5_share'), ('top10_share')) m(measure), ({top_k_sql(GEO_COUNTS, 'n', 'country_code', 15)}) t, "
+        "(select count(*) as total from ventures where country_code is not null) g group by m.measure"),
     "d2_status_counts": with_base("select status, count(*) as n, cast(row_number() over (order by count(*) desc, status) as integer) as position from ventures where status is not null group by status"),
     "d2_success_split": with_base(
         f"select success_category, count(*) as n, cast(row_number() over (order by count(*) desc, success_category) as integer) as position from ventures where {CONCLUDED} group by success_category"),

@@ -75,6 +75,23 @@ def d1_overview_stats(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     )
 
 
+def d1_dtype_counts(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Columns by kind, from the schema: no row is read."""
+    return S.schema_kinds(v)
+
+
+def _yes_no(v: DataFrame, flag: str) -> DataFrame:
+    return v.groupBy(F.col(flag).cast("int").alias(flag)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def d1_funding_status(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    return _yes_no(v, "has_funding")
+
+
+def d1_location_status(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    return _yes_no(v, "has_location")
+
+
 # ---------------------------------------------------------------- d2 outcomes
 def d2_status_counts(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return K.value_counts(v, "status", order="count")
@@ -183,19 +200,25 @@ def d4_concentration(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return top.crossJoin(total).withColumn("pct", X.pct(F.col("n"), F.col("_total"))).drop("_total")
 
 
-def d4_geo_summary(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    geo = _geo(v)
-    totals = geo.agg(F.count(F.lit(1)).alias("_total"), F.count_distinct("country_code").alias("n_countries"))
-    top = K.value_counts(geo, "country_code", top=15)
+def geo_summary(countries: DataFrame, top_n: int | None = 15) -> DataFrame:
+    """Concentration from the counts of the countries (country_code, n).
+
+    The original sums the squared shares of the 15 largest only; ``top_n=None``
+    takes all countries.
+    """
+    totals = countries.agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("n_countries"))
+    top = K.top_k(countries, "n", "country_code", max(top_n or 10, 10))
     r = F.col("rank")
     summary = top.agg(
         F.max_by("country_code", F.struct(F.col("n"), -r)).alias("top_country"),
         F.max("n").alias("top_count"),
-        F.sum(F.col("n") * F.col("n")).alias("_sq"),
+        F.sum(F.when(r <= (top_n or 0), F.col("n") * F.col("n"))).alias("_sq"),
         F.sum(F.when(r <= 3, F.col("n"))).alias("_t3"),
         F.sum(F.when(r <= 5, F.col("n"))).alias("_t5"),
         F.sum(F.when(r <= 10, F.col("n"))).alias("_t10"),
     )
+    if top_n is None:
+        summary = summary.drop("_sq").crossJoin(F.broadcast(countries.agg(F.sum(F.col("n") * F.col("n")).alias("_sq"))))
     tot = F.col("_total")
     hhi = X.ratio(F.col("_sq"), tot * tot)
     return summary.crossJoin(F.broadcast(totals)).select(
@@ -204,32 +227,51 @@ def d4_geo_summary(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         X.ratio(F.col("_t10"), tot).alias("top10_share"))
 
 
+def diversity_bars(summary: DataFrame) -> DataFrame:
+    """(measure, value): what the diversity chart shows of the summary."""
+    shown = ("diversity", "top3_share", "top5_share", "top10_share")
+    return summary.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in shown])))
+
+
+def d4_geo_summary(v: DataFrame, settings: Settings = DEFAULT, top_n: int | None = 15) -> DataFrame:
+    return geo_summary(K.value_counts(_geo(v), "country_code"), top_n)
+
+
+def d4_diversity(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    return diversity_bars(d4_geo_summary(v, settings))
+
+
 # ---------------------------------------------------------------- d5 categories
-def _category_counts(v: DataFrame) -> DataFrame:
-    return K.value_counts(K.explode_categories(v), "category")
+def top_categories(lists: DataFrame, k: int) -> DataFrame:
+    return K.top_k(K.category_counts(lists), "n", "category", k)
 
 
-def d5_top_categories(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    return K.top_k(_category_counts(v), "n", "category", 15)
+def matched_lists(lists: DataFrame, mode: str = "substring") -> DataFrame:
+    """The distinct category lists of each of the ten most frequent categories: the detail rows are not matched one by one."""
+    return K.match_categories(lists, top_categories(lists, 10).select("category", "rank"), mode=mode)
 
 
-def _top10_matches(v: DataFrame, mode: str = "substring") -> DataFrame:
-    top = K.top_k(_category_counts(v), "n", "category", 10).select("category", "rank")
-    return K.match_categories(v, top, mode=mode)
+def category_success(lists: DataFrame, mode: str = "substring") -> DataFrame:
+    out = matched_lists(lists, mode).groupBy("category", "rank").agg(F.sum("n_concluded").alias("n"), F.sum("n_success").alias("n_success"))
+    out = out.withColumn("success_rate", X.pct(F.col("n_success"), F.col("n")))
+    return out.where(F.col("n") > C.MIN_CATEGORY_CONCLUDED)
 
 
-def d5_category_success(v: DataFrame, settings: Settings = DEFAULT, mode: str = "substring") -> DataFrame:
-    rows = K.concluded(_top10_matches(v, mode))
-    return K.rate_by(rows, ["category", "rank"], min_n=C.MIN_CATEGORY_CONCLUDED)
+def category_funding(lists: DataFrame, mode: str = "substring") -> DataFrame:
+    mean = F.round(F.try_divide(F.sum("amount"), F.sum("n_amounts")), 2)
+    return matched_lists(lists, mode).groupBy("category").agg(mean.alias("mean_funding")).where(F.col("mean_funding").isNotNull())
 
 
-def _category_funding(v: DataFrame, mode: str = "substring") -> DataFrame:
-    return (_top10_matches(v, mode).groupBy("category").agg(_mean(_C.fund, 2).alias("mean_funding"))
-            .where(F.col("mean_funding").isNotNull()))
+def d5_top_categories(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    return top_categories(K.category_lists(v), 15)
+
+
+def d5_category_success(v: DataFrame, settings: Settings = DEFAULT, mode: str = "substring") -> DataFrame:
+    return category_success(K.category_lists(v), mode)
 
 
 def d5_category_funding(v: DataFrame, settings: Settings = DEFAULT, mode: str = "substring") -> DataFrame:
-    return K.top_k(_category_funding(v, mode), "mean_funding", "category", 8)
+    return K.top_k(category_funding(K.category_lists(v), mode), "mean_funding", "category", 8)
 
 
 def d5_diversity_by_year(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -244,22 +286,24 @@ def d5_category_count_dist(v: DataFrame, settings: Settings = DEFAULT) -> DataFr
     return K.value_counts(v.where(F.col("category_count") <= 10), "category_count", order="key")
 
 
-def d5_category_insights(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    counts = _category_counts(v)
+def category_insights(lists: DataFrame, mean_count: DataFrame) -> DataFrame:
+    counts = K.category_counts(lists)
     top1 = K.top_k(counts, "n", "category", 1).select(F.col("category").alias("most_popular"),
                                                       F.col("n").alias("most_popular_n"))
     n_cat = counts.agg(F.count(F.lit(1)).alias("n_categories"))
-    best = K.top_k(d5_category_success(v, settings).select("category", "success_rate", "rank"),
-                   "success_rate", "rank", 1, rank_name="_k")
+    best = K.top_k(category_success(lists).select("category", "success_rate", "rank"), "success_rate", "rank", 1, rank_name="_k")
     best = best.select(F.col("category").alias("best_rate_category"), F.col("success_rate").alias("best_rate"))
-    fund = K.top_k(_category_funding(v), "mean_funding", "category", 1).select(
+    fund = K.top_k(category_funding(lists), "mean_funding", "category", 1).select(
         F.col("category").alias("top_funded_category"), F.col("mean_funding").alias("top_funded_mean"))
-    mean_cnt = v.agg(_mean("category_count", 4).alias("mean_category_count"))
     # every side has at most one row: cross joins of bounded one-row tables
-    out = n_cat.crossJoin(top1).crossJoin(mean_cnt)
+    out = n_cat.crossJoin(top1).crossJoin(mean_count)
     return out.join(best, F.lit(True), "left").join(fund, F.lit(True), "left")
 
 
+def d5_category_insights(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    return category_insights(K.category_lists(v), v.agg(_mean("category_count", 4).alias("mean_category_count")))
+
+
 # ---------------------------------------------------------------- d6 time
 def _temporal(v: DataFrame) -> DataFrame:
     return v.where(F.col("founded_at").isNotNull() & _C.year.between(C.FIRST_YEAR, 2023))

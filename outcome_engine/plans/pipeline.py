@@ -27,7 +27,7 @@ from ..operators import selection as SEL
 from ..session import cut_lineage
 from ..sources import sinks
 from ..sources.readers import read_ventures_csv
-from . import panels as P
+from .dashboard import Dashboard
 
 
 @dataclass
@@ -105,7 +105,7 @@ def run(spark: SparkSession, raw: DataFrame, output_root: str | None = None, set
     kept = CL.drop_incomplete(CL.typed(raw, settings))
     cap = CL.funding_stats(kept, settings)
     v = cut_lineage(CL.clean(raw, settings))                       # 1: cleaned table, stored once
-    panels = {name: fn(v, settings) for name, fn in P.PANELS.items()}  # 2: dashboards
+    panels = Dashboard(v, settings).tables()                       # 2: dashboards, from three scans
     train = FE.with_target(v)                                      # 3: features
     fmodel = FE.fit_features(train, settings, extra_features)
     feat = fmodel.transform(train)

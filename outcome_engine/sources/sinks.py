@@ -11,6 +11,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
+from ..config import DEFAULT, Settings
+
 
 def layout(root: str) -> dict[str, str]:
     root = root.rstrip("/")
@@ -35,6 +37,13 @@ def write_panels(panels: Mapping[str, DataFrame], root: str) -> list[str]:
     return done
 
 
+def write_dashboard(ventures: DataFrame, root: str, settings: Settings = DEFAULT) -> list[str]:
+    """All panel tables of a venture table, from its three shared scans."""
+    from ..plans.dashboard import Dashboard
+
+    return write_panels(Dashboard(ventures, settings).tables(), root)
+
+
 def model_key(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
 
