@@ -1,20 +1,22 @@
 """Phrase collocations by vertical partitioning of the suffixes of all pieces.
 
-1. Words are counted, combined in the tasks first.  A suffix ends before the
-   first word that is too rare for any candidate.
-2. Prefixes that start more suffixes than the memory budget are extended by a
-   word and counted again, until each fits or has the full depth.  The prefixes
-   are then grouped, in the order of their hashes, up to the budget.
+1. Words are counted, then pairs of words that are frequent enough for a
+   candidate; both are combined in the tasks first.  A suffix ends before the first
+   pair that is too rare.
+2. Pairs are the first prefixes.  One that starts more suffixes than the memory
+   budget is extended by a word and counted again, until each fits or has the full
+   depth.  The prefixes are then grouped, in the order of their hashes, up to the
+   budget.
 3. Each group gets its suffixes of at most ``max_words`` words, equal ones of a
    run of documents combined, and builds its subtree independently of all others:
    sorted suffixes, the words each shares with the one before, and leaf totals
    summed at every inner node.  The counts of extended prefixes are known from 2.
 4. Cuts and containment are joins of candidates with the counts of their parts.
 
-What reaches the driver or all tasks is bounded: a filter of frequent words
-(fuller beyond its bound, never wrong), at most ``MAX_PREFIXES`` extended
+What reaches the driver or all tasks is bounded: filters of frequent words and
+pairs (fuller beyond their bound, never wrong), at most ``MAX_PREFIXES`` extended
 prefixes a level and as many cells of the hash order, as the budget grows with
-the number of words beyond that.
+the number of suffixes beyond that.
 
 Definitions for odd cases: null or empty text has no words; a null language
 counts as ``und``, with documents that bear that name; every row counts, repeated
@@ -43,7 +45,7 @@ BREAK = b"\xff"  # no UTF-8 text holds this byte
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
 UNIT_BYTES = 4 << 20
 MAX_PREFIXES = 1 << 22
-LEAST_BUDGET, MOST_BUDGET = 1 << 14, 1 << 21
+LEAST_BUDGET, MOST_BUDGET = 1 << 16, 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,15 +86,25 @@ class Unit:
         keep = np.flatnonzero(self.is_word & (n > 0))
         return keep, n[keep]
 
-    def suffixes(self, frequent, max_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places that start with two frequent words at least, and how many follow each other there, up to ``max_words``."""
+    def pairs(self, frequent) -> tuple[np.ndarray, np.ndarray]:
+        """Places of two frequent words in a row, and the hash of each such pair."""
         good = np.zeros(len(self.key), bool)
         good[self.is_word] = frequent.holds(self.key[self.is_word])
         token = good[self.at]
-        stop = np.flatnonzero(~token)
-        place = np.flatnonzero(token)
-        size = np.minimum(stop[np.searchsorted(stop, place)] - place, max_words)  # a break ends every document
-        return place[size >= 2], size[size >= 2]
+        place = np.flatnonzero(token[:-1] & token[1:])  # a break ends every document
+        return place, _mix(self.key[self.at[place]], self.key[self.at[place + 1]])
+
+    def suffixes(self, frequent, max_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes of three words at least whose pairs are all frequent: place, words (``max_words`` at most), hash of the first pair."""
+        words, pairs = frequent
+        place, key = self.pairs(words)
+        good = pairs.holds(key)
+        place, key = place[good], key[good]
+        last = np.ones(len(place), bool)
+        last[:-1] = place[1:] != place[:-1] + 1
+        stop = np.flatnonzero(last)
+        size = np.minimum(stop[np.searchsorted(stop, np.arange(len(place)))] - np.arange(len(place)) + 2, max_words)
+        return place[size >= 3], size[size >= 3], key[size >= 3]
 
 
 def _mix(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -107,11 +119,11 @@ def _known(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
 
 
-def _prefixes(unit: Unit, place: np.ndarray, size: np.ndarray, extended: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each suffix's prefix: walk down while it is extended.  Returns its hash, its depth, and whether the suffix goes on that far."""
-    key, depth = unit.key[unit.at[place]].copy(), np.ones(len(place), np.int64)
+def _prefixes(unit: Unit, place: np.ndarray, size: np.ndarray, pair: np.ndarray, extended: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each suffix's prefix: its first pair, longer while that is extended.  Returns its hash, its depth, and whether the suffix goes on that far."""
+    key, depth = pair.copy(), np.full(len(place), 2)
     alive, open_ = np.ones(len(place), bool), np.arange(len(place))
-    for level, hot in enumerate(extended, 1):
+    for level, hot in enumerate(extended, 2):
         open_ = open_[_known(hot, key[open_])]
         short = open_[size[open_] == level]
         alive[short] = False  # the suffix is an extended prefix itself, counted already
@@ -129,10 +141,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[Unit]:
         yield Unit(raw_texts(batch, "text"), batch.column("lang").to_pylist())
 
 
-def _counted(rows: list[tuple[str, bytes, int, int]]) -> pa.RecordBatch:
-    lang, phrase, h, n = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()),
-                                       pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int64())], ["lang", "phrase", "h", "n"])
+def _counted(lang: list[str], phrase: list[bytes], key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(key.view(np.int64)),
+                                       pa.array(n.astype(np.int64))], ["lang", "phrase", "h", "n"])
 
 
 def _summed(counts: DataFrame, label: str) -> DataFrame:
@@ -145,37 +156,47 @@ def count_words(docs: DataFrame) -> DataFrame:
         for unit in _units(batches):
             keep, n = unit.counts()
             if len(keep):
-                yield _counted([(unit.langs[x], unit.vocabulary[w], h, c) for x, w, h, c in
-                                zip(unit.lang[keep].tolist(), unit.word_of[keep].tolist(), unit.key[keep].tolist(), n.tolist())])
+                yield _counted([unit.langs[x] for x in unit.lang[keep]], [unit.vocabulary[w] for w in unit.word_of[keep]], unit.key[keep], n)
 
     return _summed(docs.mapInArrow(run, COUNTED), "words")
 
 
-def _phrase(unit: Unit, place: int, size: int) -> bytes:
-    return b" ".join(unit.vocabulary[w] for w in unit.word_of[unit.at[place:place + size]])
+def _distinct(unit: Unit, place: np.ndarray, key: np.ndarray, size: int) -> pa.RecordBatch:
+    """Counts of the phrases of ``size`` words at the places; equal ones are told by their words and not by their hash."""
+    columns = [unit.at[place + k] for k in range(size)]
+    order = np.lexsort(columns) if size > 2 else np.argsort(columns[0] * len(unit.key) + columns[1])
+    new = np.ones(len(place), bool)
+    new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+    first = np.flatnonzero(new)
+    n, one = np.diff(first, append=len(place)), order[first]
+    words = [[unit.vocabulary[w] for w in unit.word_of[c[one]]] for c in columns]
+    lang = [unit.langs[x] for x in unit.lang[columns[0][one]]]
+    return _counted(lang, list(map(b" ".join, zip(*words))), key[one], n)
+
+
+def count_pairs(docs: DataFrame, words) -> DataFrame:
+    """Counts of all pairs of frequent words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _units(batches):
+            place, key = unit.pairs(words.value)
+            if len(place):
+                yield _distinct(unit, place, key, 2)
+
+    return _summed(docs.mapInArrow(run, COUNTED), "pairs")
 
 
 def _extend(docs: DataFrame, frequent, extended: list[np.ndarray], max_words: int) -> DataFrame:
     """Counts of the prefixes one word longer than the last extended ones."""
-    spark, level = docs.sparkSession, len(extended)
-    hot = spark.sparkContext.broadcast(extended)
+    level = len(extended) + 1
+    hot = docs.sparkSession.sparkContext.broadcast(extended)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
-            place, size = unit.suffixes(frequent.value, max_words)
-            key, depth, alive = _prefixes(unit, place, size, hot.value)
+            place, size, pair = unit.suffixes([f.value for f in frequent], max_words)
+            key, depth, alive = _prefixes(unit, place, size, pair, hot.value)
             at = np.flatnonzero(alive & (depth == level + 1))
-            if not len(at):
-                continue
-            # equal prefixes of the unit, told apart by their words and not by their hash
-            columns = [unit.at[place[at] + k] for k in range(level + 1)]
-            order = np.lexsort(columns)
-            new = np.ones(len(at), bool)
-            new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
-            first = np.flatnonzero(new)
-            n, one = np.diff(first, append=len(at)), at[order[first]]
-            yield _counted([(unit.langs[unit.lang[unit.at[p]]], _phrase(unit, p, level + 1), int(h), int(c))
-                            for p, h, c in zip(place[one].tolist(), key[one].tolist(), n.tolist())])
+            if len(at):
+                yield _distinct(unit, place[at], key[at], level + 1)
 
     return _summed(docs.mapInArrow(run, COUNTED), f"prefixes-{level + 1}")
 
@@ -217,8 +238,8 @@ def _suffix_blocks(docs: DataFrame, frequent, extended: list[np.ndarray], cells:
         levels, cell_group = hot.value
         shift = np.uint64(64 - (len(cell_group).bit_length() - 1))
         for unit in _units(batches):
-            place, size = unit.suffixes(frequent.value, max_words)
-            key, depth, alive = _prefixes(unit, place, size, levels)
+            place, size, pair = unit.suffixes([f.value for f in frequent], max_words)
+            key, depth, alive = _prefixes(unit, place, size, pair, levels)
             place, size, depth = place[alive], size[alive], depth[alive]
             group = cell_group[(key[alive] >> shift).astype(np.int64)]
             order = np.argsort(group, kind="stable")
@@ -247,7 +268,7 @@ BLOCK = [("words", pa.list_(pa.binary())), ("langs", pa.list_(pa.string())), ("c
 
 
 def subtree_counts(columns: np.ndarray, depths: np.ndarray, counts: np.ndarray, min_count: int) -> list[tuple[int, int, int]]:
-    """(row, words, total) of each inner node or leaf with at least ``min_count``: the phrase is the first words of that row.
+    """(row, words, total) of each node below the pairs with at least ``min_count``: the phrase is the first words of that row.
 
     ``columns`` holds a suffix a column, 0 behind its end; the subtree is the sorted
     suffixes with the number of words that each shares with the one before.
@@ -258,7 +279,7 @@ def subtree_counts(columns: np.ndarray, depths: np.ndarray, counts: np.ndarray,
     differ[:, 1:] = columns[:, 1:] != columns[:, :-1]
     shared = np.where(differ.any(0), differ.argmax(0), len(columns))
     out = []
-    for size in range(2, len(columns) + 1):
+    for size in range(3, len(columns) + 1):
         first = np.flatnonzero(shared < size)
         total = np.add.reduceat(counts, first) if len(first) else counts[:0]
         good = (columns[size - 1, first] > 0) & (depths[first] <= size) & (total >= min_count)
@@ -294,24 +315,28 @@ def phrase_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     words = count_words(docs)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     common = words.filter(F.col("n") >= rules.min_count)
-    all_words = words.agg(F.sum("n").alias("n")).first()["n"] or 0
+    frequent_words = hash_filter(common)
+    pairs = count_pairs(docs, frequent_words).filter(F.col("n") >= rules.min_count)
+    known = [common.select("lang", "phrase", "n"), pairs.select("lang", "phrase", "n")]
+    size = pairs.agg(F.sum("n").alias("n")).first()["n"] or 0
     if budget is None:
-        wanted = all_words // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-        budget = max(LEAST_BUDGET, min(MOST_BUDGET, wanted))
-    budget = max(1, budget, all_words // MAX_PREFIXES)
-    frequent = hash_filter(common)
-    counts, extended, finals, known = common, [], [], [common.select("lang", "phrase", "n")]
+        budget = max(LEAST_BUDGET, min(MOST_BUDGET, size // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    budget = max(1, budget, size // MAX_PREFIXES)
+    if not size or rules.max_words < 3:
+        return stored(reduce(DataFrame.unionByName, known), "phrases"), stored(totals, "totals")
+    frequent = (frequent_words, hash_filter(pairs))
+    counts, extended, finals = pairs, [], []
     while True:
-        hot = _hot(counts, budget) if len(extended) < rules.max_words - 1 else np.zeros(0, np.uint64)
+        hot = _hot(counts, budget) if len(extended) < rules.max_words - 2 else np.zeros(0, np.uint64)
         marks = spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "h long") if len(hot) else None
         finals.append(counts.join(F.broadcast(marks), "h", "left_anti") if len(hot) else counts)
+        if extended and len(hot):
+            known.append(counts.join(F.broadcast(marks), "h", "left_semi").filter(F.col("n") >= rules.min_count).select("lang", "phrase", "n"))
         if not len(hot):
             break
-        if extended:
-            known.append(counts.join(F.broadcast(marks), "h", "left_semi").filter(F.col("n") >= rules.min_count).select("lang", "phrase", "n"))
         extended.append(hot)
         counts = _extend(docs, frequent, extended, rules.max_words)
-    cells = _cells(reduce(DataFrame.unionByName, [f.select("h", "n") for f in finals]), budget, max(1, all_words // budget))
+    cells = _cells(reduce(DataFrame.unionByName, [f.select("h", "n") for f in finals]), budget, size // budget + 1)
     blocks = _suffix_blocks(docs, frequent, extended, cells, rules.max_words)
     known.append(_subtrees(blocks, rules))
     return stored(reduce(DataFrame.unionByName, known), "phrases"), stored(totals, "totals")
