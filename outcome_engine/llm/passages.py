@@ -14,7 +14,7 @@ every byte that a repeated window covers goes.
    hash in them, which equal windows choose alike.  Neighbouring windows with the
    same core are a region.  Shards send their sorted core hashes, cut by binary
    search into ranges; a range merges the runs of all shards by binary search.
-   Cores of two shards go into a filter of bounded size.
+   Cores found twice go into a filter of bounded size.
 3. Regions whose core passes are compared whole, by a 128-bit digest of their
    bytes: if another shard has the region, all its windows are repeated.  Of the
    other regions (ends of passages) each window is compared by its own digest, with
@@ -22,7 +22,8 @@ every byte that a repeated window covers goes.
 4. The spans meet their documents by id and digest of the text.
 
 Regions and windows are only counted and joined by key, so a passage that a third
-of all documents hold is never gathered anywhere.
+of all documents hold is never gathered anywhere.  Windows, too, pass a filter of
+shared hashes first, and only texts that may be concerned are shuffled.
 
 Definitions for odd cases: null or empty text has no bytes and no spans; texts
 shorter than a window keep all; rows that repeat a text repeat all its windows,
@@ -34,10 +35,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -287,14 +291,19 @@ def merge_runs(runs: list[np.ndarray]) -> np.ndarray:
     return level[0][1] if level else np.zeros(0, np.uint64)
 
 
-def shared_cores(pieces: DataFrame, ranges: int) -> DataFrame:
-    """(h) of the cores that several runs of shards hold; each run is sorted, and cut into ranges of the hashes."""
+def shared_hashes(packed: DataFrame, step: int = 1) -> DataFrame:
+    """(h) of the hashes that occur twice or more: sorted runs of many rows, cut into ranges, are merged range by range.
+
+    ``packed`` has one binary column of 64-bit hashes, every ``step``-th of its numbers one.
+    """
+    size = packed.agg(F.sum(F.octet_length(packed.columns[0])).alias("b")).first()["b"] or 0
+    ranges = max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // step // (32 << 20))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = (np.arange(ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64)
         held, size = [], 0
 
         def close() -> pa.RecordBatch:
-            # a core that two documents of the run hold is marked, as its windows may be equal to others' one by one
             keys, count = np.unique(np.concatenate(held), return_counts=True)
             at = np.append(np.searchsorted(keys, bounds), len(keys))
             full = np.flatnonzero(np.diff(at))
@@ -305,7 +314,7 @@ def shared_cores(pieces: DataFrame, ranges: int) -> DataFrame:
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 if x:
-                    held.append(np.frombuffer(x, "<u8"))
+                    held.append(np.frombuffer(x, "<u8")[::step])
                     size += len(held[-1])
                     if size >= RUN_KEYS:
                         yield close()
@@ -318,7 +327,7 @@ def shared_cores(pieces: DataFrame, ranges: int) -> DataFrame:
         many = [np.frombuffer(x, "<u8") for x in table.column("many").to_pylist()]
         return pa.table([pa.array(np.unique(np.concatenate([merge_runs(runs), *many])).view(np.int64))], ["h"])
 
-    return pieces.select("cores").mapInArrow(cut, "range long, run binary, many binary").groupBy("range").applyInArrow(merge, "h long")
+    return packed.mapInArrow(cut, "range long, run binary, many binary").groupBy("range").applyInArrow(merge, "h long")
 
 
 def _suspects(pieces: DataFrame, cores) -> DataFrame:
@@ -344,21 +353,49 @@ def _suspects(pieces: DataFrame, cores) -> DataFrame:
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, digest, start, window) of every window of the regions that ``texts`` names."""
+    """(doc_id, digest, starts, windows): places and 128-bit digests of all windows of the regions that ``texts`` names, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            ids, digests, starts, windows = [], [], [], []
-            for doc, digest, regions, text in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(),
-                                                  batch.column("regions").to_pylist(), raw_texts(batch, "text")):
-                at = np.unique(np.concatenate([np.arange(r["start"], r["stop"] + 1) for r in regions])).tolist()
-                ids += [doc] * len(at)
-                digests += [digest] * len(at)
-                starts += at
-                windows += [_digest(text[p:p + length]) for p in at]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(starts, pa.int64()),
-                                              pa.array(windows, pa.binary())], ["doc_id", "digest", "start", "window"])
+            starts, windows = [], []
+            for regions, text in zip(batch.column("regions").to_pylist(), raw_texts(batch, "text")):
+                at = np.unique(np.concatenate([np.arange(r["start"], r["stop"] + 1) for r in regions]))
+                starts.append(at.astype("<i8").tobytes())
+                windows.append(b"".join(_digest(text[p:p + length]) for p in at.tolist()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(starts, pa.binary()), pa.array(windows, pa.binary())],
+                                             ["doc_id", "digest", "starts", "windows"])
+
+    return texts.mapInArrow(run, "doc_id long, digest binary, starts binary, windows binary")
+
+
+def _passing(windows: DataFrame, known: Broadcast) -> DataFrame:
+    """(doc_id, digest, start, window) of the windows whose hash passes the filter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 64):
+                part = batch.slice(begin, 64)
+                packed = part.column("windows").to_pylist()
+                whole = b"".join(packed)
+                hit = np.flatnonzero(known.value.holds(np.frombuffer(whole, "<u8")[::2]))
+                owner = pa.array(np.searchsorted(np.cumsum([len(x) // 16 for x in packed]), hit, "right"))
+                starts = np.frombuffer(b"".join(part.column("starts").to_pylist()), "<i8")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(owner), part.column("digest").take(owner), pa.array(starts[hit]),
+                                                  pa.array([whole[16 * i:16 * i + 16] for i in hit.tolist()], pa.binary())],
+                                                 ["doc_id", "digest", "start", "window"])
+
+    return windows.mapInArrow(run, "doc_id long, digest binary, start long, window binary")
+
+
+def _key():
+    return F.xxhash64("doc_id", "digest")
+
+
+def _may_hold(known: Broadcast):
+    """Does a filter of documents pass this one; only the hash leaves the JVM."""
+    @F.pandas_udf("boolean")
+    def run(h: pd.Series) -> pd.Series:
+        return pd.Series(known.value.holds(h.to_numpy().view(np.uint64)))
 
-    return texts.mapInArrow(run, "doc_id long, digest binary, start long, window binary")
+    return run(_key())
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -366,32 +403,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, shar
 
     ``docs`` has doc_id, text and the text's digest.
     """
-    spark = docs.sparkSession
     pieces = stored(_shards(docs, length, core, shard_bytes), "pieces")
-    keys = pieces.agg(F.sum(F.octet_length("cores")).alias("b")).first()["b"] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // (32 << 20))
-    cores = hash_filter(shared_cores(pieces, ranges))
-    suspects = stored(_suspects(pieces, cores), "regions")
+    suspects = _suspects(pieces, hash_filter(shared_hashes(pieces.select("cores"))))
     again = suspects.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region", F.lit(True).alias("again"))
-    marked = stored(suspects.join(spread(again), "region", "left").select(*suspects.columns, "again"), "marked-regions")
-    cores.unpersist()
+    marked = stored(suspects.join(spread(again), "region", "left").select(*suspects.columns, "again"), "regions")
     # windows of the other regions may lie in a region that is settled as a whole: one of each such kind is compared with them
     other = marked.filter("again IS NULL")
     settled = marked.filter("again").groupBy("region").agg(F.min(F.struct("doc_id", "digest", "start", "stop")).alias("one"), F.min("core").alias("core"))
     settled = settled.join(spread(other.select("core").distinct()), "core", "left_semi").select("one.*")
-    open_ = other.select("doc_id", "digest", "start", "stop").unionByName(settled).groupBy("doc_id", "digest") \
-        .agg(F.collect_set(F.struct("start", "stop")).alias("regions"))
-    windows = stored(_windows(docs.join(spread(open_), ["doc_id", "digest"]), length), "windows")
-    twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
+    open_ = stored(other.select("doc_id", "digest", "start", "stop").unionByName(settled).groupBy("doc_id", "digest")
+                   .agg(F.collect_set(F.struct("start", "stop")).alias("regions")), "open-regions")
+    # only the texts that may hold such regions are shuffled
+    texts = docs.filter(_may_hold(hash_filter(open_.select(_key().alias("h")))))
+    windows = stored(_windows(texts.join(spread(open_), ["doc_id", "digest"]), length), "windows")
+    likely = stored(_passing(windows, hash_filter(shared_hashes(windows.select("windows"), 2))), "likely-windows")
+    twice = likely.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
     span = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("stop"))
-    parts = [pieces.filter(F.size("starts") > 0).select("doc_id", "digest", F.arrays_zip(F.col("starts").alias("start"), F.col("stops").alias("stop")).alias("spans")),
-             marked.filter("again").select("doc_id", "digest", F.array(span(F.col("start"), F.col("stop") + length)).alias("spans")),
-             windows.join(spread(twice), "window").select("doc_id", "digest", F.array(span(F.col("start"), F.col("start") + length)).alias("spans"))]
-    kind = "array<struct<start:long,stop:long>>"
-    union = parts[0].select("doc_id", "digest", F.col("spans").cast(kind)).unionByName(parts[1].select("doc_id", "digest", F.col("spans").cast(kind))) \
-        .unionByName(parts[2].select("doc_id", "digest", F.col("spans").cast(kind)))
-    found = stored(union.select("doc_id", "digest", F.explode("spans").alias("s")).groupBy("doc_id", "digest").agg(F.collect_set("s").alias("spans")), "spans")
-    for table in (pieces, suspects, marked, windows):
+    parts = [pieces.filter(F.size("starts") > 0).select("doc_id", "digest", F.explode(F.arrays_zip(F.col("starts").alias("start"), F.col("stops").alias("stop"))).alias("s")),
+             marked.filter("again").select("doc_id", "digest", span(F.col("start"), F.col("stop") + length).alias("s")),
+             likely.join(spread(twice), "window").select("doc_id", "digest", span(F.col("start"), F.col("start") + length).alias("s"))]
+    union = reduce(DataFrame.unionByName, [p.select("doc_id", "digest", F.col("s").cast("struct<start:long,stop:long>").alias("s")) for p in parts])
+    found = stored(union.groupBy("doc_id", "digest").agg(F.collect_set("s").alias("spans")), "spans")
+    for table in (pieces, marked, open_, windows, likely):
         discard(table)
     return found
 
@@ -425,7 +458,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # a null id and the largest long share a key only if their texts are equal, and then their spans are
     mine = df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"),
                      F.unhex(F.md5(text.cast("binary"))).alias("digest"))
-    joined = mine.join(found, ["doc_id", "digest"], "left").select("id", "text", "spans")
+    may = _may_hold(hash_filter(found.select(_key().alias("h"))))
+    plain = mine.filter(~may).select("id", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
+    joined = mine.filter(may).join(spread(found), ["doc_id", "digest"], "left").select("id", "text", "spans").unionByName(plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
