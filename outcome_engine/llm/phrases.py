@@ -1,8 +1,9 @@
 """Phrase collocations by vertical partitioning of the suffixes of all pieces.
 
 1. Words are counted, then pairs of words that are frequent enough for a
-   candidate; both are combined in the tasks first.  A suffix ends before the first
-   pair that is too rare.
+   candidate: by short hashes first, exactly where these reach the least count.  All
+   are combined in the tasks first.  A suffix ends before the first pair that is too
+   rare.
 2. Pairs are the first prefixes.  One that starts more suffixes than the memory
    budget is extended by a word and counted again, until each fits or has the full
    depth.  The prefixes are then grouped, in the order of their hashes, up to the
@@ -41,9 +42,11 @@ from ..session import sized_broadcast
 from .filters import hash_filter
 from .tables import raw_texts, slices, stored
 
+BLANK = b" "
 BREAK = b"\xff"  # no UTF-8 text holds this byte
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
 UNIT_BYTES = 4 << 20
+HELD_WORDS, HELD_PAIRS = 1 << 20, 1 << 21
 MAX_PREFIXES = 1 << 22
 LEAST_BUDGET, MOST_BUDGET = 1 << 16, 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -146,19 +149,94 @@ def _counted(lang: list[str], phrase: list[bytes], key: np.ndarray, n: np.ndarra
                                        pa.array(n.astype(np.int64))], ["lang", "phrase", "h", "n"])
 
 
-def _summed(counts: DataFrame, label: str) -> DataFrame:
-    return stored(counts.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n")), label)
+def _summed(counts: DataFrame, label: str, min_count: int) -> DataFrame:
+    return stored(counts.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count), label)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(lang, phrase, h, n) of every word; n is its number of occurrences."""
+def count_words(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, h, n) of the words found ``min_count`` times, and (lang, total) of all words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, bytes], list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = _counted([k[0] for k in held], [k[1] for k in held], np.array([h for h, _ in held.values()], np.uint64),
+                           np.array([n for _, n in held.values()], np.int64))
+            held.clear()
+            return out
+
         for unit in _units(batches):
             keep, n = unit.counts()
-            if len(keep):
-                yield _counted([unit.langs[x] for x in unit.lang[keep]], [unit.vocabulary[w] for w in unit.word_of[keep]], unit.key[keep], n)
+            for x, w, h, c in zip(unit.lang[keep].tolist(), unit.word_of[keep].tolist(), unit.key[keep].tolist(), n.tolist()):
+                lang = unit.langs[x]
+                if (old := held.get((lang, unit.vocabulary[w]))) is None:
+                    held[lang, unit.vocabulary[w]] = [h, c]
+                else:
+                    old[1] += c
+                if (total := held.get((lang, BLANK))) is None:
+                    held[lang, BLANK] = [0, c]
+                else:
+                    total[1] += c
+            if len(held) > HELD_WORDS:
+                yield flush()
+        if held:
+            yield flush()
+
+    # a blank is no word: its row is the sum of the language
+    counts = stored(docs.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
+                    .filter((F.col("n") >= min_count) | (F.col("phrase") == BLANK.decode())), "words")
+    return counts.filter(F.col("phrase") != BLANK.decode()), counts.filter(F.col("phrase") == BLANK.decode()).select("lang", F.col("n").alias("total"))
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """40 bits of a hash, mixed anew: what counts by hash tell apart."""
+    return (h >> np.uint64(24)) * MIX
+
+
+def frequent_pairs(docs: DataFrame, words, min_count: int, size: int):
+    """A filter of the pairs of frequent words found ``min_count`` times: counts by 40 bits of their hash.
+
+    Pairs that share these bits are counted together, so the filter passes some
+    more, which the exact counts drop.  A task combines what it counts, sorts it and
+    cuts it into ranges of the hashes; an entry of a range takes four bytes.
+    """
+    bits = min(24, max(12, (size >> 22).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def flush() -> pa.RecordBatch:
+            group = (keys >> np.uint64(40 - bits)).astype(np.int64)
+            entry = ((keys & np.uint64((1 << (40 - bits)) - 1)) << np.uint64(4)).astype(np.uint32) | np.minimum(counts, 15).astype(np.uint32)
+            cuts = np.flatnonzero(np.diff(group, prepend=-1))
+            many = counts >= 15
+            parts = list(zip(cuts, np.append(cuts[1:], len(keys))))
+            return pa.RecordBatch.from_arrays([
+                pa.array(group[cuts]), pa.array([entry[a:b].tobytes() for a, b in parts], pa.binary()),
+                pa.array([counts[a:b][many[a:b]].astype(np.uint32).tobytes() for a, b in parts], pa.binary())], ["range", "entries", "more"])
 
-    return _summed(docs.mapInArrow(run, COUNTED), "words")
+        for unit in _units(batches):
+            _, pair = unit.pairs(words.value)
+            own, n = np.unique(pair >> np.uint64(24), return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            if len(keys) > HELD_PAIRS:
+                yield flush()
+                keys, counts = keys[:0], counts[:0]
+        if len(keys):
+            yield flush()
+
+    def merge(table: pa.Table) -> pa.Table:
+        group = table.column("range")[0].as_py()
+        entry = np.frombuffer(b"".join(table.column("entries").to_pylist()), np.uint32)
+        counts = (entry & np.uint32(15)).astype(np.int64)
+        counts[counts == 15] = np.frombuffer(b"".join(table.column("more").to_pylist()), np.uint32)
+        own, at = np.unique(entry >> np.uint32(4), return_inverse=True)
+        total = np.bincount(at, counts, len(own))
+        keys = own[total >= min_count].astype(np.uint64) | np.uint64(group << (40 - bits))
+        return pa.table([pa.array(_short(keys << np.uint64(24)).view(np.int64))], ["h"])
+
+    ranges = docs.mapInArrow(run, "range long, entries binary, more binary")
+    return hash_filter(stored(ranges.groupBy("range").applyInArrow(merge, "h long"), "pair-hashes"))
 
 
 def _distinct(unit: Unit, place: np.ndarray, key: np.ndarray, size: int) -> pa.RecordBatch:
@@ -174,31 +252,34 @@ def _distinct(unit: Unit, place: np.ndarray, key: np.ndarray, size: int) -> pa.R
     return _counted(lang, list(map(b" ".join, zip(*words))), key[one], n)
 
 
-def count_pairs(docs: DataFrame, words) -> DataFrame:
-    """Counts of all pairs of frequent words."""
+def count_pairs(docs: DataFrame, frequent, min_count: int) -> DataFrame:
+    """(lang, phrase, h, n) of the pairs found ``min_count`` times."""
+    words, likely = frequent
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
             place, key = unit.pairs(words.value)
-            if len(place):
-                yield _distinct(unit, place, key, 2)
+            good = likely.value.holds(_short(key))
+            if good.any():
+                yield _distinct(unit, place[good], key[good], 2)
 
-    return _summed(docs.mapInArrow(run, COUNTED), "pairs")
+    return _summed(docs.mapInArrow(run, COUNTED), "pairs", min_count)
 
 
-def _extend(docs: DataFrame, frequent, extended: list[np.ndarray], max_words: int) -> DataFrame:
+def _extend(docs: DataFrame, frequent, extended: list[np.ndarray], rules: PhraseRules) -> DataFrame:
     """Counts of the prefixes one word longer than the last extended ones."""
     level = len(extended) + 1
     hot = docs.sparkSession.sparkContext.broadcast(extended)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
-            place, size, pair = unit.suffixes([f.value for f in frequent], max_words)
+            place, size, pair = unit.suffixes([f.value for f in frequent], rules.max_words)
             key, depth, alive = _prefixes(unit, place, size, pair, hot.value)
             at = np.flatnonzero(alive & (depth == level + 1))
             if len(at):
                 yield _distinct(unit, place[at], key[at], level + 1)
 
-    return _summed(docs.mapInArrow(run, COUNTED), f"prefixes-{level + 1}")
+    return _summed(docs.mapInArrow(run, COUNTED), f"prefixes-{level + 1}", rules.min_count)
 
 
 def _hot(counts: DataFrame, budget: int) -> np.ndarray:
@@ -312,11 +393,10 @@ def phrase_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     """(lang, phrase, n) of all phrases of one to ``max_words`` words found ``min_count`` times, and (lang, total) of all words."""
     spark = df.sparkSession
     docs = df.select(F.coalesce(df[lang_col].cast("string"), F.lit("und")).alias("lang"), df[text_col].cast("string").alias("text"))
-    words = count_words(docs)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    common = words.filter(F.col("n") >= rules.min_count)
-    frequent_words = hash_filter(common)
-    pairs = count_pairs(docs, frequent_words).filter(F.col("n") >= rules.min_count)
+    common, totals = count_words(docs, rules.min_count)
+    size = totals.agg(F.sum("total").alias("n")).first()["n"] or 0
+    words = hash_filter(common)
+    pairs = count_pairs(docs, (words, frequent_pairs(docs, words, rules.min_count, size)), rules.min_count)
     known = [common.select("lang", "phrase", "n"), pairs.select("lang", "phrase", "n")]
     size = pairs.agg(F.sum("n").alias("n")).first()["n"] or 0
     if budget is None:
@@ -324,18 +404,18 @@ def phrase_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     budget = max(1, budget, size // MAX_PREFIXES)
     if not size or rules.max_words < 3:
         return stored(reduce(DataFrame.unionByName, known), "phrases"), stored(totals, "totals")
-    frequent = (frequent_words, hash_filter(pairs))
+    frequent = (words, hash_filter(pairs))
     counts, extended, finals = pairs, [], []
     while True:
         hot = _hot(counts, budget) if len(extended) < rules.max_words - 2 else np.zeros(0, np.uint64)
         marks = spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "h long") if len(hot) else None
         finals.append(counts.join(F.broadcast(marks), "h", "left_anti") if len(hot) else counts)
         if extended and len(hot):
-            known.append(counts.join(F.broadcast(marks), "h", "left_semi").filter(F.col("n") >= rules.min_count).select("lang", "phrase", "n"))
+            known.append(counts.join(F.broadcast(marks), "h", "left_semi").select("lang", "phrase", "n"))
         if not len(hot):
             break
         extended.append(hot)
-        counts = _extend(docs, frequent, extended, rules.max_words)
+        counts = _extend(docs, frequent, extended, rules)
     cells = _cells(reduce(DataFrame.unionByName, [f.select("h", "n") for f in finals]), budget, size // budget + 1)
     blocks = _suffix_blocks(docs, frequent, extended, cells, rules.max_words)
     known.append(_subtrees(blocks, rules))
