@@ -174,6 +174,10 @@ class Settings:
     quantile_mode: str = "exact"
     quantile_blocks: int = 64
     select_rows: int = 1_000_000
+    # corrected forms of what surprises in the original analysis
+    whole_word: bool = False  # category fixes replace whole words only ("Ai" in "Air" stays)
+    recompute: bool = False   # durations and amount per round anew after the repairs
+    distinct_mode: str = "exact"  # or "approx": mergeable sketches
     approx_accuracy: int = 10000
     # date formats tried in order when coercing text to dates
     date_formats: tuple[str, ...] = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",

@@ -65,21 +65,22 @@ def title_case(c) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
 
 
-def replace_chain(c, pairs: Sequence[tuple[str, str]]) -> Column:
+def replace_chain(c, pairs: Sequence[tuple[str, str]], whole_word: bool = False) -> Column:
+    """Replacements one after the other; ``whole_word`` leaves matches inside longer words alone."""
     out = col(c)
     for old, new in pairs:
-        out = F.replace(out, F.lit(old), F.lit(new))
+        out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}])\Q{old}\E(?![\p{{L}}\p{{N}}])", new) if whole_word else F.replace(out, F.lit(old), F.lit(new))
     return out
 
 
-def clean_category(item: Column) -> Column:
+def clean_category(item: Column, whole_word: bool = False) -> Column:
     s = F.regexp_replace(strip(item), r"\s+", " ")
-    return replace_chain(title_case(s), C.CATEGORY_FIXES)
+    return replace_chain(title_case(s), C.CATEGORY_FIXES, whole_word)
 
 
-def clean_category_list(c) -> Column:
+def clean_category_list(c, whole_word: bool = False) -> Column:
     """Split on ``|``, clean every item, drop empty items, re-join; null if nothing is left."""
-    items = F.transform(F.split(col(c), r"\|"), clean_category)
+    items = F.transform(F.split(col(c), r"\|"), lambda x: clean_category(x, whole_word))
     kept = F.filter(items, lambda x: x != "")
     return F.when(col(c).isNull(), F.lit(None).cast("string")).otherwise(
         F.nullif(F.array_join(kept, "|"), F.lit("")))

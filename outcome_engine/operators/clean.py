@@ -32,7 +32,7 @@ def typed(raw: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         elif c in ("name", "homepage_url"):
             out.append(X.clean_text(c).alias(c))
         elif c == "category_list":
-            out.append(X.clean_category_list(X.clean_text(c)).alias(c))
+            out.append(X.clean_category_list(X.clean_text(c), settings.whole_word).alias(c))
         elif c in ("country_code", "state_code"):
             out.append(X.strip(F.upper(F.col(c).cast("string"))).alias(c))
         elif c == "funding_rounds":
@@ -98,18 +98,26 @@ def derive(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     )
 
 
-def repair(df: DataFrame) -> DataFrame:
+def repair(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Step 10: rounds of funded rows default to 1, first funding not before founding,
-    status normalised (unknown values -> null, the row stays), outcome label rebuilt."""
+    status normalised (unknown values -> null, the row stays), outcome label rebuilt.
+
+    ``settings.recompute`` brings what was derived from repaired columns up to date;
+    the original leaves it as it was."""
     f, rounds = F.col("funding_total_usd"), F.col("funding_rounds")
     first, founded = F.col("first_funding_at"), F.col("founded_at")
     status = F.lower(F.col("status"))
     status = F.when(status.isin(*C.KNOWN_STATUSES), status)
-    return (df
+    out = (df
             .withColumn("funding_rounds", F.when((f > 0) & rounds.isNull(), F.lit(1.0)).otherwise(rounds))
             .withColumn("first_funding_at", F.when(first < founded, founded).otherwise(first))
             .withColumn("status", status)
             .withColumn("success_category", X.outcome_of("status")))
+    if settings.recompute:
+        first, last = F.col("first_funding_at"), F.col("last_funding_at")
+        out = out.withColumns({"days_to_first_funding": F.datediff(first, F.col("founded_at")), "funding_duration_days": F.datediff(last, first),
+                               "funding_per_round": X.nan_to_null(F.try_divide("funding_total_usd", "funding_rounds"))})
+    return out
 
 
 def clean(raw: DataFrame, settings: Settings = DEFAULT, stats: DataFrame | None = None) -> DataFrame:
@@ -120,7 +128,7 @@ def clean(raw: DataFrame, settings: Settings = DEFAULT, stats: DataFrame | None
     df = drop_incomplete(typed(raw, settings))
     df = cap_funding(df, settings, stats)
     df = derive(df, settings)
-    return repair(df)
+    return repair(df, settings)
 
 
 def cleaning_report(raw: DataFrame, settings: Settings = DEFAULT, stats: DataFrame | None = None,

@@ -17,13 +17,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import DEFAULT, Settings
 from ..functions import exprs as X
-from ..session import cut_lineage, sized_broadcast
+from ..session import cut_lineage, per_group, sized_broadcast
 from .quantiles import quantile_row
 
 # Float-typed columns of the feature frame, winsorized to [q01, q99] then median-filled.
@@ -160,6 +160,37 @@ def _stage_b(df: DataFrame, m: FeatureModel) -> DataFrame:
     )
 
 
+def encoded_rates(df: DataFrame, key: str, target: str = "target", fold: str = "fold", prefix: str = "") -> DataFrame:
+    """Success rate of a row's key without the row's own influence: ``<prefix>oof`` and ``<prefix>loo``.
+
+    FEA-16/17 of the original encode a row by a mean that includes the row itself
+    and later test rows.  Here only rows with a fold count (the training rows):
+
+    - out of fold: the key's mean over the other folds; a row without a fold (test,
+      scoring) takes all training rows,
+    - leave one out: the key's mean over the other training rows.
+
+    Both subtract from the key's (sum, count), so the detail rows are aggregated once
+    per (key, fold) and read a small table back.  A key without other rows, and a
+    null key, get the default rate; results lie in [0, 1].
+    """
+    known = df.where(F.col(key).isNotNull() & F.col(fold).isNotNull())
+    parts = known.groupBy(key, fold).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    whole = Window.partitionBy(key)  # one row per fold
+    parts = parts.withColumns({"_all_s": F.sum("_s").over(whole), "_all_n": F.sum("_n").over(whole)})
+    every = parts.select(key, F.lit(None).cast(df.schema[fold].dataType).alias("_f"), F.lit(0).alias("_s"), F.lit(0).alias("_n"), "_all_s", "_all_n").distinct()
+    table = per_group(parts.select(key, F.col(fold).alias("_f"), "_s", "_n", "_all_s", "_all_n").unionByName(every).withColumnRenamed(key, "_k"))
+    joined = df.join(table, (F.col(key) == F.col("_k")) & F.col(fold).eqNullSafe(F.col("_f")), "left")
+    # a fold that the key does not have takes the key's whole sums, as a row without a fold does
+    fallback = per_group(every.select(F.col(key).alias("_k2"), F.col("_all_s").alias("_s2"), F.col("_all_n").alias("_n2")))
+    joined = joined.join(fallback, F.col(key) == F.col("_k2"), "left")
+    total, count = F.coalesce("_all_s", "_s2"), F.coalesce("_all_n", "_n2")
+    own, one = F.when(F.col(fold).isNotNull(), F.col(target)).otherwise(0), F.when(F.col(fold).isNotNull(), 1).otherwise(0)
+    rate = lambda t, n: X.clip(F.coalesce(F.when(n > 0, F.try_divide(t.cast("double"), n.cast("double"))), F.lit(C.DEFAULT_RATE)), 0, 1)
+    return joined.select(*df.columns, rate(total - F.coalesce("_s", F.lit(0)), count - F.coalesce("_n", F.lit(0))).alias(f"{prefix}oof"),
+                         rate(total - own, count - one).alias(f"{prefix}loo"))
+
+
 def _winsor_stats(df: DataFrame, settings: Settings) -> DataFrame:
     """One row: q01, median, q90 and q99 of every winsorized column (q90 of the filled amount is the risk cut)."""
     return quantile_row(df, {c: c for c in WINSORIZED}, [C.WINSOR_LOW, 0.5, 0.9, C.WINSOR_HIGH],

@@ -33,6 +33,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -304,8 +305,12 @@ class KnnImputer:
                                            F.struct(F.lit(i).alias("c"), F.col(c).alias("v"))) for i, c in enumerate(names)]), lambda o: o.isNotNull())
         cells = every.select("rid", "id", "d", F.explode(offers).alias("o")).select("rid", "id", "d", "o.c", "o.v")
         rank = F.row_number().over(Window.partitionBy("rid", "c").orderBy("d", "id", "v"))
-        means = cells.withColumn("_n", rank).where(F.col("_n") <= k)
-        return means.groupBy("rid").agg(*[F.avg(F.when(F.col("c") == i, F.col("v"))).alias(f"f{i}") for i in range(n)])
+        near = cells.withColumn("_n", rank).where(F.col("_n") <= k)
+        # summed in the order of their ranks, so that the last digits do not depend on the plan
+        ranked = near.groupBy("rid", "c").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("_n") == j, F.col("v"))).alias(f"v{j}") for j in range(1, k + 1)])
+        total = reduce(lambda a, b: a + b, [F.coalesce(f"v{j}", F.lit(0.0)) for j in range(1, k + 1)])
+        means = ranked.select("rid", "c", (total / F.col("n")).alias("v"))
+        return means.groupBy("rid").agg(*[F.max(F.when(F.col("c") == i, F.col("v"))).alias(f"f{i}") for i in range(n)])
 
 
 def _block(layout: Layout, space: int, rings: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -49,7 +49,7 @@ def _funding_stats(spark: SparkSession, sf_dir: str, settings: Settings) -> Data
 def _ventures(spark: SparkSession, sf_dir: str, settings: Settings, stored: bool) -> DataFrame:
     # cap, derived columns and repairs are row-level over the stored rows: no second write needed
     kept = _kept(spark, sf_dir, settings)
-    return repair(derive(cap_funding(kept, settings, _funding_stats(spark, sf_dir, settings)), settings))
+    return repair(derive(cap_funding(kept, settings, _funding_stats(spark, sf_dir, settings)), settings), settings)
 
 
 def _clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,8 @@ def queries() -> dict[str, Query]:
     out.update({name: _panel(fn) for name, fn in P.PANELS.items()})
     from . import ml_queries  # features, selection, metrics, models, scoring, insights
     out.update(ml_queries.queries())
+    from . import io_queries  # sinks and sources, written and read back
+    out.update(io_queries.queries())
     return out
 
 
@@ -83,4 +85,6 @@ def oracle() -> dict[str, str]:
     out = {"clean_report": O.CLEAN_REPORT_SQL, "ventures_clean": O.CLEAN_TABLE_SQL}
     out.update(O.PANEL_SQL)
     out.update(O.ml_sql())
+    from . import oracle_io
+    out.update(oracle_io.IO_SQL)
     return out

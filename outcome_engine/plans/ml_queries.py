@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +60,14 @@ def _features_extra(spark, sf_dir):
     return _round_doubles(model.transform(train).select("venture_id", *EXTRA_FEATURES))
 
 
+def _features_oof(spark, sf_dir):
+    """Success rates of category and country without the row's own fold, and without the row."""
+    _, _, feat = training_frame(spark, sf_dir)
+    rows = PR.stratified_split(feat.select("venture_id", "primary_category", "country_code", "target"))
+    out = FE.encoded_rates(FE.encoded_rates(rows, "primary_category", prefix="category_"), "country_code", prefix="country_")
+    return _round_doubles(out.select("venture_id", "fold", "category_oof", "category_loo", "country_oof", "country_loo"))
+
+
 def _features(spark, sf_dir):
     _, _, feat = training_frame(spark, sf_dir)
     cands = [c for c in C.CANDIDATE_FEATURES if c in feat.columns]
@@ -242,25 +251,22 @@ def _mdl_invariants(spark, sf_dir):
     """What must hold of any trained run: 1 where it does.
 
     The soft vote is its members' mean, the best model has the largest AUC, and
-    each AUC of the table equals the share of (positive, negative) pairs in order.
+    each AUC of the table equals the area that Spark's own evaluator finds.
     """
     res = trained(spark, sf_dir)["result"]
     pred, table = res.predictions, res.metrics
     mean = pred.where(F.col("model").isin(*res.members)).groupBy("row_id").agg(F.avg("score").alias("mean"))
     vote = pred.where("model = 'Ensemble'").join(mean, "row_id").agg(F.max(F.abs(F.col("score") - F.col("mean"))).alias("d"))
     top = table.agg(F.max_by("Model", F.struct("ROC-AUC", F.col("Model") == res.best_name)).alias("m"))
-    # pairs are counted per distinct score, not per pair of rows
-    by_score = pred.groupBy("model", "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    low = by_score.select("model", F.col("score").alias("low"), F.col("n").alias("below"))
-    ordered = by_score.where("p > 0").join(low, "model").where("low <= score") \
-        .groupBy("model").agg(F.sum(F.col("p") * F.col("below") * F.when(F.col("low") < F.col("score"), 1.0).otherwise(0.5)).alias("u"))
-    totals = by_score.groupBy("model").agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
-    auc = ordered.join(totals, "model").select(F.col("model").alias("Model"), (F.col("u") / (F.col("P") * F.col("N"))).alias("a")).join(table, "Model") \
+    # Spark's evaluator sorts the scores of a model; at most eight models
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC", numBins=0)
+    areas = [(n, float(evaluator.evaluate(pred.where(F.col("model") == n).select("score", F.col("label").cast("double"))))) for n in res.models]
+    auc = spark.createDataFrame(areas, "Model string, a double").join(table, "Model") \
         .agg(F.max(F.abs(F.col("a") - F.col("ROC-AUC"))).alias("d"), F.count(F.lit(1)).alias("n"))
     one = lambda df, name, ok: df.select(F.lit(name).alias("invariant"), ok.cast("int").alias("holds"))
     return one(vote, "ensemble is the mean of its members", F.col("d") < 1e-9) \
         .union(one(top, "best model has the largest AUC", F.col("m") == res.best_name)) \
-        .union(one(auc, "AUC equals the share of ordered pairs", F.col("d") < 1e-9)) \
+        .union(one(auc, "AUC equals the evaluator's area", F.col("d") < 1e-9)) \
         .union(one(table.agg(F.count(F.lit(1)).alias("n")), "seven families and the ensemble", F.col("n") == 8))
 
 
@@ -343,6 +349,7 @@ def queries() -> dict:
     return {
         "fea_features": _features,
         "fea_extra": _features_extra,
+        "fea_oof": _features_oof,
         "sel_correlation": _sel_correlation,
         "sel_variance": _sel_variance,
         "prp_split": _split,

@@ -264,7 +264,7 @@ MODEL_NAMES = ("Random Forest", "XGBoost (GBT preset)", "LightGBM (GBT preset)",
 _TEST_ROWS = ("(select target as label, count(*) as n from (select target, row_number() over (partition by target order by "
               "md5(concat('42-', cast(venture_id as varchar)))) as rk, count(*) over (partition by target) as size from t_feat) "
               "where rk <= floor(size * 0.2::double + 0.5::double) group by 1)")
-INVARIANTS = ("ensemble is the mean of its members", "best model has the largest AUC", "AUC equals the share of ordered pairs",
+INVARIANTS = ("ensemble is the mean of its members", "best model has the largest AUC", "AUC equals the evaluator's area",
               "seven families and the ensemble")
 
 IMPUTED = ("funding_total_usd", "funding_rounds", "funding_per_round", "company_age_years", "days_to_first_funding",
@@ -277,7 +277,8 @@ def _knn_sql() -> str:
     cells = ", ".join(f"{c}::double as {c}" for c in IMPUTED)
     both = " + ".join(f"cast(r.{c} is not null and d.{c} is not null as integer)" for c in IMPUTED)
     squares = " + ".join(f"coalesce((r.{c} - d.{c}) * (r.{c} - d.{c}), 0.0::double)" for c in IMPUTED)
-    near = [f"n_{c} as (select rid, avg(v) as v from (select rid, d_{c} as v, row_number() over (partition by rid order by dist, did) as k "
+    mean = "(" + " + ".join(f"coalesce(max(case when k = {j} then v end), 0.0::double)" for j in range(1, 6)) + ") / count(*)::double"
+    near = [f"n_{c} as (select rid, {mean} as v from (select rid, d_{c} as v, row_number() over (partition by rid order by dist, did) as k "
             f"from pairs where r_{c} is null and d_{c} is not null) where k <= 5 group by rid)" for c in IMPUTED]
     filled = ", ".join(f"round(coalesce(a.{c}, n_{c}.v, m.{c}), 6) as {c}" for c in IMPUTED)
     joins = " ".join(f"left join n_{c} on n_{c}.rid = a.venture_id" for c in IMPUTED)
@@ -291,13 +292,30 @@ def _knn_sql() -> str:
         f"where {' or '.join(f'r.{c} is null' for c in IMPUTED)})", *near)
 
 
+def _oof_sql() -> str:
+    """The definition: the mean over the other training rows of the key, by self-join on the key."""
+    def rate(key: str, other: str) -> str:
+        return (f"round({clip(f'coalesce((select avg(t.target::double) from rows t where t.fold is not null and t.{key} = r.{key} and {other}), 0.1)', '0.0', '1.0')}, 6)")
+
+    out_of_fold, but_one = "(r.fold is null or t.fold <> r.fold)", "t.venture_id <> r.venture_id"
+    k = "floor(n * 0.2::double + 0.5::double)"
+    return with_base(
+        f"select venture_id, fold, {rate('primary_category', out_of_fold)} as category_oof, {rate('primary_category', but_one)} as category_loo, "
+        f"{rate('country_code', out_of_fold)} as country_oof, {rate('country_code', but_one)} as country_loo from rows r",
+        *TRAIN_FEAT,
+        f"rows as (select venture_id, primary_category, country_code, target, case when rk > {k} then cast((rk - {k} - 1) % 5 as integer) end as fold from "
+        "(select *, row_number() over (partition by target order by "
+        f"md5(concat('{C.SEED}', '-', cast(venture_id as varchar)))) as rk, count(*) over (partition by target) as n from t_feat))")
+
+
 ML_SQL: dict[str, str] = {
     "mdl_confusion_totals": with_base(
         f"select m.model, t.label, cast(t.n as bigint) as n from (values {', '.join(f"('{n}')" for n in MODEL_NAMES)}) m(model), {_TEST_ROWS} t",
         *TRAIN_FEAT),
-    "mdl_invariants": "select invariant, 1 as holds from (values " + ", ".join(f"('{x}')" for x in INVARIANTS) + ") v(invariant)",
+    "mdl_invariants": "select invariant, 1 as holds from (values " + ", ".join(f"({_q(x)})" for x in INVARIANTS) + ") v(invariant)",
     "sco_model_rows": with_base("select venture_id, name, primary_category, country_code, funding_total_usd, company_age_years from o_feat", *OP_FEAT),
     "fea_features": with_base(_feat_select("t_feat"), *TRAIN_FEAT),
+    "fea_oof": _oof_sql(),
     "fea_extra": with_base("select venture_id, round(funding_total_usd_filled / (company_age_years + 1), 6) as funding_per_year, "
                            "has_homepage * has_location as web_and_place from t_feat", *TRAIN_FEAT),
     "sel_correlation": _corr_sql(),

@@ -16,6 +16,7 @@ from .. import config as C
 from ..config import DEFAULT, Settings
 from ..functions import exprs as X
 from ..operators import cohorts as K
+from ..operators import distinct as D
 from ..operators import stats as S
 from ..operators.quantiles import grouped_quantiles, quantile_row
 
@@ -276,6 +277,11 @@ def d5_category_funding(v: DataFrame, settings: Settings = DEFAULT, mode: str =
 
 def d5_diversity_by_year(v: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     y = v.where(_C.year.between(2000, 2020)).withColumn("year", _C.year)
+    if settings.distinct_mode == "approx":
+        lists = K.category_lists(y, F.col("year"))  # the sketch reads distinct lists, the row counts come from the rows
+        cats = D.roll_up(D.sketches(K.explode_categories(lists, ["year"]), ["year"], {"n_categories": "category"}), ["year"], ["n_categories"]).drop("n")
+        sizes = y.groupBy("year").agg(F.count(F.lit(1)).alias("n_ventures")).where(F.col("n_ventures") > C.MIN_YEAR_VENTURES)
+        return sizes.join(cats, "year", "left").select("year", "n_ventures", F.coalesce("n_categories", F.lit(0)).alias("n_categories"))
     sizes = y.groupBy("year").agg(F.count(F.lit(1)).alias("n_ventures")).where(F.col("n_ventures") > C.MIN_YEAR_VENTURES)
     cats = K.explode_categories(y, ["year"]).groupBy("year").agg(F.count_distinct("category").alias("n_categories"))
     return sizes.join(cats, "year", "left").select("year", "n_ventures",

@@ -57,7 +57,7 @@ class Scorer:
         """Raw venture rows (text columns) -> the 8-column prediction table."""
         t = CL.drop_incomplete(CL.typed(raw, self.settings))
         t = CL.cap_funding(t, self.settings, self.cap)  # the training cap, as a literal
-        v = CL.repair(CL.derive(t, self.settings))
+        v = CL.repair(CL.derive(t, self.settings), self.settings)
         feat = self.feature_model.transform(v)
         shown = ["name", "primary_category", "country_code", "funding_total_usd", "company_age_years"]
         feat = feat.select("*", *[F.col(c).alias(f"_show_{c}") for c in shown])

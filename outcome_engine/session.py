@@ -85,6 +85,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared checkpoint folder; ``drop_stored`` deletes what is written there."""
+    path = f"{ensure_checkpoint_dir(spark)}/oe-{label}-{uuid.uuid4().hex}"
+    _STORED.append(path)
+    return path
+
+
 def stored_tables() -> int:
     """How many tables ``cut_lineage`` wrote in this process and still keeps."""
     return len(_STORED)
