@@ -14,7 +14,8 @@ of its words.  Prediction needs no shuffle.
 
 Null text, or text without a letter, is ``und`` with score 0; so is everything
 if no labelled row is there to learn from.  Repeated rows are judged one by one;
-lines of more than ``chain`` words are labelled in stretches of that length.
+lines of more than ``chain`` words are labelled in stretches of that length, and
+runs of more than 64 letters count as several words: no character is left out.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .tables import by_text, keep_rows
 
 MAX_SAMPLE = 20_000
 CELLS = 1 << 16  # words in one step of forward-backward
-_words = re.compile(r"[^\W\d_]+").findall
+_words = re.compile(r"[^\W\d_]{1,64}").findall  # a longer run of letters is several words
 
 
 @dataclass(frozen=True)
@@ -51,14 +52,41 @@ class CrfRules:
     cached_words: int = 200_000
 
 
-def word_features(word: str, lexicon: frozenset[str], buckets: int) -> list[int]:
-    """Hashed features of a word: lexicon entry, affixes and n-grams of 1 to 3 characters."""
-    word = word.lower()[:64]
-    edged = f"<{word}>"
-    names = [f"w{word}"] if word in lexicon else []
-    names += [f"p{word[:n]}" for n in (1, 2, 3) if n < len(word)] + [f"s{word[-n:]}" for n in (1, 2, 3) if n < len(word)]
-    names += [f"n{edged[i:i + n]}" for n in (1, 2, 3) for i in range(n == 1, len(edged) - n + 1 - (n == 1))]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % buckets for x in names]
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def _buckets(kind: int, codes: list[np.ndarray], buckets: int) -> np.ndarray:
+    """The buckets of a kind of feature, given the code points that it is made of."""
+    h = np.full(len(codes[0]), kind, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for c, f in zip(codes, _FACTORS):
+        h += c * f
+    h ^= h >> np.uint64(31)
+    return (h * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(33)) % np.uint64(buckets)
+
+
+def word_features(words: list[str], lexicon: frozenset[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all words at once, as (word's place, feature): lexicon entry, affixes, n-grams of 1 to 3 characters."""
+    lower = [w.lower() for w in words]
+    codes = np.frombuffer(f"<{'><'.join(lower)}>".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, lower), np.int64, len(lower)) + 2
+    stop = np.cumsum(size)
+    start, owner = stop - size, np.repeat(np.arange(len(lower)), size)
+    inner = np.ones(len(codes), bool)
+    inner[start] = inner[stop - 1] = False
+    owners, found = [owner[inner]], [_buckets(1, [codes[inner]], buckets)]
+    for n in (2, 3):
+        at = np.flatnonzero(owner[n - 1:] == owner[:1 - n])
+        owners.append(owner[at])
+        found.append(_buckets(n, [codes[at + k] for k in range(n)], buckets))
+    for n in (1, 2, 3):
+        long = np.flatnonzero(size - 2 > n)
+        owners += [long, long]
+        found += [_buckets(3 + n, [codes[start[long] + 1 + k] for k in range(n)], buckets),
+                  _buckets(6 + n, [codes[stop[long] - 1 - n + k] for k in range(n)], buckets)]
+    known = [i for i, w in enumerate(lower) if w in lexicon]
+    owners.append(np.array(known, np.int64))
+    found.append(np.array([zlib.crc32(lower[i].encode("utf-8", "surrogatepass")) % buckets for i in known], np.uint64))
+    return np.concatenate(owners), np.concatenate(found).astype(np.int64)
 
 
 class _Known:
@@ -81,6 +109,10 @@ class LanguageField:
     rules: CrfRules = CrfRules()
     key: str = field(default_factory=lambda: uuid.uuid4().hex)  # of the words that a worker remembers
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        owner, feature = word_features(words, self.lexicon, self.rules.buckets)
+        return np.stack([np.bincount(owner, w[feature], len(words)) for w in self.weights.T], 1)
+
     def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each word's scores (words x languages), and whether it holds a letter."""
         known = _KNOWN
@@ -89,15 +121,13 @@ class LanguageField:
         at = np.fromiter(map(known.place.get, words, repeat(-1)), np.int64, len(words))
         if (unknown := np.flatnonzero(at < 0)).size:
             new = list(dict.fromkeys(words[i] for i in unknown))
-            found = [word_features(w, self.lexicon, self.rules.buckets) for w in new]
-            starts = np.cumsum([0, *map(len, found)])[:-1]
-            rows = np.add.reduceat(self.weights[np.concatenate(found).astype(np.int64)], starts, axis=0)
-            letter = np.array([[any(c.isalpha() for c in w)] for w in new], float)
+            rows = self.scores(new)
+            letter = np.array([[w.isalpha() or any(c.isalpha() for c in w)] for w in new], float)
             known.place.update(zip(new, range(len(known.scores), len(known.scores) + len(new))))
             known.scores = np.concatenate([known.scores, np.concatenate([rows, letter], axis=1).astype(np.float32)])
             at[unknown] = [known.place[words[i]] for i in unknown]
         rows = known.scores[at]
-        return rows[:, :-1].astype(float), rows[:, -1] > 0
+        return rows[:, :-1], rows[:, -1] > 0
 
     def marginals(self, emissions: np.ndarray, lengths: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, float]:
         """Forward-backward over chains that lie one after the other: every word's probabilities and the log partition sums.
@@ -118,32 +148,35 @@ class LanguageField:
             n, size = len(group), int(lengths[group].max(initial=0))
             if not size:
                 continue
-            at = begin[group, None] + np.arange(size)
-            real = np.arange(size) < lengths[group, None]
+            # places before chains: the chains still running at a place, sorted by length, are the last ones
+            at = begin[group] + np.arange(size)[:, None]
+            real = np.arange(size)[:, None] < lengths[group]
+            ended = np.searchsorted(lengths[group], np.arange(size), "right")
             e = np.where(real[..., None], emissions[np.where(real, at, 0)], 0.0)
-            top = e.max(axis=2, keepdims=True)
-            e = np.exp(e - top)
-            alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.ones((n, size))
-            a = np.exp(self.first)[None] * e[:, 0]
+            top = e.max(axis=2)
+            e = np.exp(e - top[..., None])
+            alpha, beta, scale = np.zeros_like(e), np.ones_like(e), np.ones((size, n))
             for t in range(size):
-                if t:
-                    a = np.where(real[:, t, None], np.einsum("ni,ij->nj", alpha[:, t - 1], move) * e[:, t], alpha[:, t - 1])
-                scale[:, t] = np.where(real[:, t] | (t == 0), a.sum(axis=1), 1.0)
-                alpha[:, t] = a / scale[:, t, None]
+                k = ended[t]
+                x = alpha[t - 1, k:] @ move * e[t, k:] if t else np.exp(self.first) * e[0, k:]
+                scale[t, k:] = x.sum(axis=1)
+                np.divide(x, scale[t, k:, None], out=alpha[t, k:])
+            e /= scale[..., None]
+            back = np.ascontiguousarray(move.T)
             for t in range(size - 2, -1, -1):
-                b = np.einsum("nj,ij->ni", beta[:, t + 1] * e[:, t + 1], move) / scale[:, t + 1, None]
-                beta[:, t] = np.where(real[:, t + 1, None], b, beta[:, t + 1])
-            p = alpha * beta
-            p /= p.sum(axis=2, keepdims=True)
-            out[at[real]] = p[real]
-            total += float(np.log(scale)[real].sum() + top[..., 0][real].sum())
+                k = ended[t + 1]
+                np.matmul(beta[t + 1, k:] * e[t + 1, k:], back, out=beta[t, k:])
+            p = alpha[real] * beta[real]
+            p /= p.sum(axis=1, keepdims=True)
+            out[at[real]] = p
+            total += float(np.log(scale)[real].sum() + top[real].sum())
             if pairs is not None and size > 1:
-                later = (beta[:, 1:] * e[:, 1:] / scale[:, 1:, None]) * real[:, 1:, None]
-                pairs += move * np.einsum("nti,ntj->ij", alpha[:, :-1], later)
+                later = (beta[1:] * e[1:]) * real[1:, :, None]
+                pairs += move * np.einsum("tni,tnj->ij", alpha[:-1], later)
         return out, total
 
-    def label(self, texts: list[str | None]) -> tuple[list[str], list[float], list[list[tuple[str, int]]]]:
-        """Each text's language, its score, and its runs of words in one language."""
+    def label(self, texts: list[str | None], with_runs: bool = True) -> tuple[list[str], list[float], list[list[tuple[str, int]]]]:
+        """Each text's language, its score, and (if asked for) its runs of words in one language."""
         chains: list[list[str]] = []
         of: list[int] = []
         for i, text in enumerate(texts):
@@ -161,10 +194,11 @@ class LanguageField:
         doc = np.repeat(of, lengths)
         count = np.bincount(doc, letter, len(texts))
         mean = np.stack([np.bincount(doc, p[:, k] * letter, len(texts)) for k in range(p.shape[1])], 1) / np.maximum(count, 1)[:, None]
-        word_best = p.argmax(axis=1)
-        cuts = np.flatnonzero((np.diff(word_best, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)]):
-            runs[doc[a]].append((self.languages[word_best[a]], b - a))
+        if with_runs:
+            word_best = p.argmax(axis=1)
+            cuts = np.flatnonzero((np.diff(word_best, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)]):
+                runs[doc[a]].append((self.languages[word_best[a]], b - a))
         for i in np.flatnonzero(count).tolist():
             k = int(mean[i].argmax())
             names[i], scores[i] = self.languages[k], float(min(1.0, mean[i, k]))
@@ -190,19 +224,17 @@ def fit_field(texts: list[str], labels: list[str], rules: CrfRules = CrfRules())
     gold = np.repeat(gold_chain, lengths)
     distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
     at = np.fromiter((distinct[w] for w in words), np.int64, len(words))
-    found = [word_features(w, lexicon, rules.buckets) for w in distinct]
-    sizes, feature = np.array(list(map(len, found))), np.concatenate(found).astype(np.int64)
-    starts = np.cumsum(sizes) - sizes
+    owner, feature = word_features(list(distinct), lexicon, rules.buckets)
     stay = np.bincount(gold_chain, lengths - 1, n)
     squares = [np.full_like(x, 1e-8) for x in (model.weights, model.transitions, model.first)]
     for _ in range(rules.steps):
-        scores = np.add.reduceat(model.weights[feature], starts, axis=0)
+        scores = np.stack([np.bincount(owner, w[feature], len(distinct)) for w in model.weights.T], 1)
         pairs = np.zeros((n, n))
         p, _ = model.marginals(scores[at], lengths, pairs)
         p[np.arange(len(gold)), gold] -= 1
         opened = p[np.cumsum(lengths) - lengths].sum(axis=0)
         by_word = np.stack([np.bincount(at, p[:, k], len(distinct)) for k in range(n)], 1)
-        by_feature = np.stack([np.bincount(feature, np.repeat(by_word[:, k], sizes), rules.buckets) for k in range(n)], 1)
+        by_feature = np.stack([np.bincount(feature, by_word[owner, k], rules.buckets) for k in range(n)], 1)
         for x, g, s in zip((model.weights, model.transitions, model.first), (by_feature, pairs - np.diag(stay), opened), squares):
             g = g / len(gold) + rules.ridge * x / rules.buckets
             s += g * g
@@ -233,12 +265,12 @@ def learn_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fit_field([r["text"] for r in sample], [r["lang"] for r in sample], rules)
 
 
-def label_languages(df: DataFrame, model: LanguageField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, runs) of every row; runs are stretches of words in one language."""
+def label_languages(df: DataFrame, model: LanguageField, id_col: str = "doc_id", text_col: str = "text", with_runs: bool = True) -> DataFrame:
+    """(doc_id, lang_pred, score, runs) of every row; runs are stretches of words in one language (empty unless asked for)."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: rules.buckets x languages
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores, runs = shared.value.label(batch.column("text").to_pylist())
+        names, scores, runs = shared.value.label(batch.column("text").to_pylist(), with_runs)
         kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(names), pa.array(scores), pa.array([[{"lang": a, "words": n} for a, n in r] for r in runs], kind)],
@@ -252,7 +284,7 @@ def keep_identified(df: DataFrame, model: LanguageField, text_col: str = "text",
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def judge(texts: list[str | None]) -> list[bool]:
-        names, scores, _ = shared.value.label(texts)
+        names, scores, _ = shared.value.label(texts, with_runs=False)
         return [n != "und" and s >= min_score for n, s in zip(names, scores)]
 
     return keep_rows(df, text_col, judge)

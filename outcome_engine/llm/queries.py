@@ -86,7 +86,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    labelled = label_languages(docs, learn_languages(docs))
+    labelled = label_languages(docs, learn_languages(docs), with_runs=False)
     return labelled.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 

@@ -1,13 +1,14 @@
 """Language field, template leaks and licences: held-out accuracy, hand-made cases, brute force."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from outcome_engine.llm import queries as Q
-from outcome_engine.llm.langid import CrfRules, LanguageField, fit_field, keep_identified, label_languages, learn_languages
+from outcome_engine.llm.langid import CrfRules, LanguageField, fit_field, keep_identified, label_languages, learn_languages, word_features
 from outcome_engine.llm.licences import TEMPLATES, LicenceRules, Matcher, document_frequencies, scan_licences, template_terms
 from outcome_engine.llm.templates import LeakRules, build_index, decontaminate, find_leaks, leaks, without_leaks
 
@@ -257,3 +258,17 @@ def test_notices_inside_longer_text_are_found(spark):
     df = spark.createDataFrame([(i, "x", t) for i, t in rows], "doc_id long, path string, text string")
     got = {r["doc_id"]: r["own_licence"] for r in scan_licences(df).collect()}
     assert got == {**{i: name for i, (name, _) in enumerate(notices)}, n: "MIT", n + 1: None, n + 2: None}
+
+
+def test_the_tail_of_a_long_unspaced_run_counts():
+    """No character of a run of letters is left out: two texts with the same first 64 letters differ by the rest."""
+    rng = random.Random(5)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(200))
+    field = fit_field([text("abcde") for _ in range(20)] + [text("vwxyz") for _ in range(20)], ["left"] * 20 + ["right"] * 20)
+    head = "".join(rng.choice("abcde") for _ in range(64))
+    tails = {"left": "abcde", "right": "vwxyz"}
+    for name, letters in tails.items():
+        whole = head + "".join(rng.choice(letters) for _ in range(100_000))
+        assert field.label([whole])[0] == [name]
+    owner, feature = word_features(["a" * 64, "ab", "é"], frozenset(), 1 << 16)
+    assert set(owner) == {0, 1, 2} and feature.min() >= 0 and feature.max() < 1 << 16
