@@ -45,5 +45,47 @@ FROM marked GROUP BY doc_id
 """
 
 
+# All phrases of up to five words counted one by one, every longer candidate searched for every shorter one.
+PHRASES_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+cut AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang),
+sized AS (SELECT lang, w, unnest(range(1, 6)) AS k FROM cut),
+grams AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized WHERE len(w) >= k),
+f AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT lang, phrase, k AS m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+parted AS (SELECT *, unnest(range(1, m)) AS j FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.m, c.a, c.j, x.f AS l, y.f AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM parted c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:c.m], ' ') JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (
+  SELECT * FROM lowest c WHERE NOT EXISTS (
+    SELECT 1 FROM candidates q WHERE q.lang = c.lang AND q.m > c.m AND 100 * q.a >= 100 * c.a AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept
+QUALIFY rank <= 2000
+"""
+
+# Every 400 bytes of every text as hexadecimal digits, by digest; repeated ones joined to spans.
+PASSAGES_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, hex(coalesce(text, '')) AS h FROM documents),
+places AS (SELECT row, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM d WHERE len(h) >= 800),
+windows AS (SELECT row, p, md5(substr(h, 2 * p + 1, 800)) AS k FROM places),
+starts AS (SELECT row, p FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)),
+marked AS (SELECT row, p, (p - lag(p) OVER (PARTITION BY row ORDER BY p) <= 400) IS NOT TRUE AS opens FROM starts),
+numbered AS (SELECT row, p, sum(opens::INT) OVER (PARTITION BY row ORDER BY p) AS span FROM marked),
+spans AS (SELECT row, min(p) AS a, max(p) + 400 AS b FROM numbered GROUP BY row, span),
+gaps AS (SELECT row, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS x, a AS y FROM spans UNION ALL SELECT row, max(b), NULL FROM spans GROUP BY row),
+kept AS (SELECT g.row, string_agg(substr(d.h, 2 * x + 1, 2 * (coalesce(y, len(d.h) // 2) - x)), '' ORDER BY x) AS h FROM gaps g JOIN d ON d.row = g.row GROUP BY g.row),
+sizes AS (SELECT row, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY row)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.row = d.row LEFT JOIN sizes ON sizes.row = d.row
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lines": LINES_SQL, "op9_urls": URLS_SQL}
+    return {"op4_lines": LINES_SQL, "op9_urls": URLS_SQL, "op12_phrases": PHRASES_SQL, "op13_passages": PASSAGES_SQL}
