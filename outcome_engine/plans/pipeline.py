@@ -19,6 +19,7 @@ from .. import config as C
 from ..config import DEFAULT, Roles, Settings
 from ..operators import clean as CL
 from ..operators import features as FE
+from ..operators import impute as IM
 from ..operators import insights as INS
 from ..operators import models as MD
 from ..operators import prep as PR
@@ -52,6 +53,7 @@ class Scorer:
     models: dict
     best: str
     settings: Settings = DEFAULT
+    imputer: IM.KnnImputer | None = None  # for features of the caller's own that may be null
 
     def score(self, raw: DataFrame) -> DataFrame:
         """Raw venture rows (text columns) -> the 8-column prediction table."""
@@ -62,6 +64,10 @@ class Scorer:
         shown = ["name", "primary_category", "country_code", "funding_total_usd", "company_age_years"]
         feat = feat.select("*", *[F.col(c).alias(f"_show_{c}") for c in shown])
         keep = ["venture_id"] + [f"_show_{c}" for c in shown]
+        if self.imputer is not None:
+            if feat.isStreaming:
+                raise ValueError("the neighbour search needs whole batches: score them with foreachBatch")
+            feat = self.imputer.transform(feat)
         scaled = PR.robust_scale(feat, self.scaler, self.features, keep=keep)
         scored = MD.predict(self.models, self.best, scaled)
         scored = scored.select("venture_id", "success_probability", "predicted_success",
@@ -75,9 +81,12 @@ class Scorer:
         self.feature_model.save(f"{base}/feature_statistics")
         sinks.write_table(self.scaler, f"{base}/scaler", partitions=1)
         sinks.write_table(self.cap, f"{base}/funding_cap", partitions=1)
+        if self.imputer is not None:
+            self.imputer.save(f"{base}/imputer")
         members = {n: len(m) if isinstance(m, list) else 0 for n, m in self.models.items()}
         settings = {k: v for k, v in asdict(self.settings).items() if k != "roles"}
-        meta = {"features": list(self.features), "best": self.best, "models": members, "settings": settings, "roles": asdict(self.settings.roles)}
+        meta = {"features": list(self.features), "best": self.best, "models": members, "settings": settings, "roles": asdict(self.settings.roles),
+                "imputed": self.imputer is not None}
         spark = self.scaler.sparkSession
         sinks.write_table(spark.createDataFrame([(json.dumps(meta),)], "meta string"), f"{base}/scorer", partitions=1)
 
@@ -91,14 +100,17 @@ class Scorer:
         load = lambda name, suffix="": PipelineModel.load(f"{base}/{sinks.model_key(name)}{suffix}")
         models = {n: [load(n, f"_member{i}") for i in range(k)] if k else load(n) for n, k in meta["models"].items()}
         return cls(spark.read.parquet(f"{base}/funding_cap"), FE.FeatureModel.load(spark, f"{base}/feature_statistics", settings),
-                   meta["features"], spark.read.parquet(f"{base}/scaler"), models, meta["best"], settings)
+                   meta["features"], spark.read.parquet(f"{base}/scaler"), models, meta["best"], settings,
+                   IM.KnnImputer.load(spark, f"{base}/imputer") if meta.get("imputed") else None)
 
 
 def run(spark: SparkSession, raw: DataFrame, output_root: str | None = None, settings: Settings = DEFAULT,
         grid: str = "single", model_names: list[str] | None = None, models: dict | None = None,
-        extra_features: dict[str, str] | None = None) -> tuple[RunResult, Scorer]:
+        extra_features: dict[str, str] | None = None, impute: bool = False) -> tuple[RunResult, Scorer]:
     """End-to-end analysis of a raw venture table.
 
+    ``impute`` fills nulls of the chosen features from the nearest concluded ventures,
+    in training and in scoring; the built-in features have none after their median fill.
     ``models``: families of the caller's own, as for ``train_models``;
     ``extra_features``: features of the caller's own, as for ``fit_features``.
     """
@@ -111,16 +123,19 @@ def run(spark: SparkSession, raw: DataFrame, output_root: str | None = None, set
     feat = fmodel.transform(train)
     sel = SEL.select_features(feat, settings, candidates=[*C.CANDIDATE_FEATURES, *(extra_features or {})])  # 3b: selection
     chosen = sel["selected"]
+    imputer = IM.fit_knn(feat, chosen) if impute else None
+    feat = imputer.transform(feat) if imputer else feat
     scaler = PR.fit_robust_scaler(feat, chosen, settings)
     scaled = PR.robust_scale(feat, scaler, chosen, keep=["venture_id", "target"])
     data = PR.stratified_split(scaled, "target", settings=settings).withColumnRenamed("target", "label")
     res = MD.train_models(data, chosen, settings, grid=grid, names=model_names, models=models)  # 4-5: models and evaluation
-    scorer = Scorer(cap, fmodel, chosen, scaler, res.models, res.best_name, settings)
+    scorer = Scorer(cap, fmodel, chosen, scaler, res.models, res.best_name, settings, imputer)
     op = fmodel.transform(v.where(F.col("status") == "operating"))  # 6: open ventures
     op = op.select("*", *[F.col(c).alias(f"_show_{c}") for c in
                           ["name", "primary_category", "country_code", "funding_total_usd", "company_age_years"]])
     keep = ["venture_id"] + [f"_show_{c}" for c in
                              ["name", "primary_category", "country_code", "funding_total_usd", "company_age_years"]]
+    op = imputer.transform(op) if imputer else op
     scaled = PR.robust_scale(op, scaler, chosen, keep=keep)
     scored = MD.predict(res.models, res.best_name, scaled)
     scored = scored.select("venture_id", "success_probability", "predicted_success",

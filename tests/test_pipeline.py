@@ -56,6 +56,19 @@ def test_run_write_and_score(spark):
     assert spark.table("oe_scored").count() == len(rows)
 
 
+def test_null_features_are_imputed_in_training_and_scoring(spark, tmp_path):
+    """A feature of the caller's own with nulls: filled from the nearest concluded ventures on both sides, and by a loaded scorer."""
+    raw = ventures_raw(spark, SF_SMALL)
+    res, scorer = PL.run(spark, raw, model_names=["Logistic Regression"], impute=True,
+                         extra_features={"round_size": "if(venture_id % 3 = 0, null, funding_log / (funding_rounds + 1))"})
+    assert "round_size" in scorer.features and scorer.imputer.columns == tuple(scorer.features)
+    rows = {r["name"]: r["success_probability"] for r in res.predictions.collect()}
+    assert len(rows) > 20 and all(p is not None and 0 <= p <= 1 for p in rows.values())
+    scorer.save(str(tmp_path))
+    again = PL.Scorer.load(spark, str(tmp_path)).score(raw.where("status = 'operating'"))
+    assert {r["name"]: r["success_probability"] for r in again.collect()}.keys() == rows.keys()
+
+
 def test_repeated_rows_stay_as_many_as_they_are(spark):
     """Equal rows share a content id; no step joins them with each other."""
     raw = ventures_raw(spark, SF_SMALL).drop("k")
