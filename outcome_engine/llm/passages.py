@@ -233,11 +233,11 @@ def _shard_rows(pieces: list[tuple[int, bytes, int, bytes]], length: int, core:
             repeated[begin[k]:begin[k] + n_windows[k]] = True
     chosen = cores_of(data, length, core)
     inside = covered(starts[repeated[starts]], length, len(data))
-    lead = starts[first[starts]]
-    cut = np.ones(len(lead), bool)
-    cut[1:] = chosen[lead[1:]] != chosen[lead[:-1]]
-    left = lead[cut]
-    right = lead[np.append(np.flatnonzero(cut)[1:], len(lead)) - 1] if len(lead) else lead
+    cut = np.ones(len(starts), bool)
+    cut[1:] = chosen[starts[1:]] != chosen[starts[:-1]]
+    at = np.flatnonzero(cut)
+    new = np.logical_or.reduceat(first[starts], at)  # a region without a first window is another one's copy
+    left, right = starts[at][new], starts[np.append(at[1:], len(starts)) - 1][new]
     owner = np.searchsorted(ends, left, "right")
     raw, edges = data.tobytes(), np.searchsorted(owner, np.arange(len(own) + 1))
     place = {i: k for k, i in enumerate(own)}
@@ -429,18 +429,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, shar
     return found
 
 
-def _cut(text: bytes, spans: list[dict] | None) -> tuple[list[dict], bytes]:
-    """Maximal spans, and the text without them."""
-    out, kept, at = [], [], 0
-    for a, b in sorted((s["start"], s["stop"]) for s in spans or []):
-        if out and a <= out[-1]["stop"]:
-            out[-1]["stop"] = max(out[-1]["stop"], b)
-        else:
-            out.append({"start": a, "stop": b})
-    for s in out:
-        kept.append(text[at:s["start"]])
-        at = s["stop"]
-    return out, b"".join([*kept, text[at:]])
+def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that touch or overlap, as one."""
+    order = np.argsort(start)
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    first = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+    return start[first], reach[np.append(first[1:], len(start)) - 1]
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, core: int = CORE,
@@ -464,12 +458,25 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            texts = raw_texts(batch, "text")
-            cut = [_cut(t, s) for t, s in zip(texts, batch.column("spans").to_pylist())]
-            sizes = [len(t) for t in texts]
+            texts, spans = raw_texts(batch, "text"), batch.column("spans").fill_null([])
+            flat, bound = spans.flatten(), np.append(0, np.cumsum(spans.value_lengths().to_numpy(zero_copy_only=False)))
+            start, stop = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            size, starts, stops, kept = [], [], [], []
+            for text, lo, hi in zip(texts, bound[:-1].tolist(), bound[1:].tolist()):
+                if lo < hi:
+                    a, b = _merged(start[lo:hi], stop[lo:hi])
+                    starts.append(a)
+                    stops.append(b)
+                    ends = zip([0, *b.tolist()], [*a.tolist(), len(text)])
+                    kept.append(b"".join([text[x:y] for x, y in ends]))
+                else:
+                    kept.append(text)
+                size.append(len(starts[-1]) if lo < hi else 0)
+            every = pa.StructArray.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]), pa.int64()) for x in (starts, stops)], ["start", "stop"])
+            n = np.array([len(t) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("id"), pa.array(sizes, pa.int64()), pa.array([n - len(k) for n, (_, k) in zip(sizes, cut)], pa.int64()),
-                pa.array([s for s, _ in cut], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                pa.array([k for _, k in cut], pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+                batch.column("id"), pa.array(n), pa.array(n - np.array([len(k) for k in kept], np.int64)),
+                pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), every), pa.array(kept, pa.binary())],
+                ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
