@@ -331,7 +331,7 @@ def shared_hashes(packed: DataFrame, step: int = 1) -> DataFrame:
 
 
 def _suspects(pieces: DataFrame, cores) -> DataFrame:
-    """(doc_id, digest, start, stop, region, core) of each region whose core passes the filter."""
+    """(part, start, stop, region, core) of each region whose core passes the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
@@ -341,19 +341,18 @@ def _suspects(pieces: DataFrame, cores) -> DataFrame:
             core = np.frombuffer(b"".join(r["cores"] for r in rows), "<u8")
             hit = np.flatnonzero(cores.value.holds(core))
             owner = np.searchsorted(np.cumsum(sizes), hit, "right")
-            ids, digests = batch.column("doc_id").take(pa.array(owner)), batch.column("digest").take(pa.array(owner))
             flat = lambda c: np.fromiter((x for r in rows for x in r[c]), np.int64, int(sizes.sum()))[hit]
             regions = b"".join(r["regions"] for r in rows)
-            yield pa.RecordBatch.from_arrays([ids, digests, pa.array(flat("region_starts")), pa.array(flat("region_stops")),
+            yield pa.RecordBatch.from_arrays([batch.column("part").take(pa.array(owner)), pa.array(flat("region_starts")), pa.array(flat("region_stops")),
                                               pa.array([regions[16 * i:16 * i + 16] for i in hit.tolist()], pa.binary()), pa.array(core[hit].view(np.int64))],
-                                             ["doc_id", "digest", "start", "stop", "region", "core"])
+                                             ["part", "start", "stop", "region", "core"])
 
-    return pieces.select("doc_id", "digest", "region_starts", "region_stops", "cores", "regions").mapInArrow(
-        run, "doc_id long, digest binary, start long, stop long, region binary, core long")
+    return pieces.select("part", "region_starts", "region_stops", "cores", "regions").mapInArrow(
+        run, "part long, start long, stop long, region binary, core long")
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, digest, starts, windows): places and 128-bit digests of all windows of the regions that ``texts`` names, packed."""
+    """(part, starts, windows): places and 128-bit digests of all windows of the regions that ``texts`` names, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             starts, windows = [], []
@@ -361,14 +360,13 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
                 at = np.unique(np.concatenate([np.arange(r["start"], r["stop"] + 1) for r in regions]))
                 starts.append(at.astype("<i8").tobytes())
                 windows.append(b"".join(_digest(text[p:p + length]) for p in at.tolist()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(starts, pa.binary()), pa.array(windows, pa.binary())],
-                                             ["doc_id", "digest", "starts", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(starts, pa.binary()), pa.array(windows, pa.binary())], ["part", "starts", "windows"])
 
-    return texts.mapInArrow(run, "doc_id long, digest binary, starts binary, windows binary")
+    return texts.select("part", "regions", "text").mapInArrow(run, "part long, starts binary, windows binary")
 
 
 def _passing(windows: DataFrame, known: Broadcast) -> DataFrame:
-    """(doc_id, digest, start, window) of the windows whose hash passes the filter."""
+    """(part, start, window) of the windows whose hash passes the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
@@ -378,11 +376,26 @@ def _passing(windows: DataFrame, known: Broadcast) -> DataFrame:
                 hit = np.flatnonzero(known.value.holds(np.frombuffer(whole, "<u8")[::2]))
                 owner = pa.array(np.searchsorted(np.cumsum([len(x) // 16 for x in packed]), hit, "right"))
                 starts = np.frombuffer(b"".join(part.column("starts").to_pylist()), "<i8")
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(owner), part.column("digest").take(owner), pa.array(starts[hit]),
-                                                  pa.array([whole[16 * i:16 * i + 16] for i in hit.tolist()], pa.binary())],
-                                                 ["doc_id", "digest", "start", "window"])
+                yield pa.RecordBatch.from_arrays([part.column("part").take(owner), pa.array(starts[hit]),
+                                                  pa.array([whole[16 * i:16 * i + 16] for i in hit.tolist()], pa.binary())], ["part", "start", "window"])
 
-    return windows.mapInArrow(run, "doc_id long, digest binary, start long, window binary")
+    return windows.mapInArrow(run, "part long, start long, window binary")
+
+
+def _rows_of(starts: DataFrame, length: int) -> DataFrame:
+    """(part, spans) from the places of repeated windows: windows in a row make one span."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for places in batch.column("starts").to_pylist():
+                at = np.sort(np.array(places, np.int64))
+                first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+                last = at[np.append(first[1:], len(at)) - 1] + length
+                spans.append([{"start": a, "stop": b} for a, b in zip(at[first].tolist(), last.tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
+                                             ["part", "spans"])
+
+    return starts.mapInArrow(run, "part long, spans array<struct<start:long,stop:long>>")
 
 
 def _key():
@@ -403,26 +416,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, shar
 
     ``docs`` has doc_id, text and the text's digest.
     """
-    pieces = stored(_shards(docs, length, core, shard_bytes), "pieces")
+    # a piece of a text goes by a number from here on
+    pieces = stored(_shards(docs, length, core, shard_bytes).withColumn("part", F.monotonically_increasing_id()), "pieces")
+    whose = pieces.select("part", "doc_id", "digest")
     suspects = _suspects(pieces, hash_filter(shared_hashes(pieces.select("cores"))))
     again = suspects.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region", F.lit(True).alias("again"))
     marked = stored(suspects.join(spread(again), "region", "left").select(*suspects.columns, "again"), "regions")
     # windows of the other regions may lie in a region that is settled as a whole: one of each such kind is compared with them
     other = marked.filter("again IS NULL")
-    settled = marked.filter("again").groupBy("region").agg(F.min(F.struct("doc_id", "digest", "start", "stop")).alias("one"), F.min("core").alias("core"))
+    settled = marked.filter("again").groupBy("region").agg(F.min(F.struct("part", "start", "stop")).alias("one"), F.min("core").alias("core"))
     settled = settled.join(spread(other.select("core").distinct()), "core", "left_semi").select("one.*")
-    open_ = stored(other.select("doc_id", "digest", "start", "stop").unionByName(settled).groupBy("doc_id", "digest")
-                   .agg(F.collect_set(F.struct("start", "stop")).alias("regions")), "open-regions")
+    open_ = other.select("part", "start", "stop").unionByName(settled).groupBy("part").agg(F.collect_set(F.struct("start", "stop")).alias("regions"))
+    open_ = stored(open_.join(whose, "part"), "open-regions")
     # only the texts that may hold such regions are shuffled
     texts = docs.filter(_may_hold(hash_filter(open_.select(_key().alias("h")))))
     windows = stored(_windows(texts.join(spread(open_), ["doc_id", "digest"]), length), "windows")
     likely = stored(_passing(windows, hash_filter(shared_hashes(windows.select("windows"), 2))), "likely-windows")
     twice = likely.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    span = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("stop"))
-    parts = [pieces.filter(F.size("starts") > 0).select("doc_id", "digest", F.explode(F.arrays_zip(F.col("starts").alias("start"), F.col("stops").alias("stop"))).alias("s")),
-             marked.filter("again").select("doc_id", "digest", span(F.col("start"), F.col("stop") + length).alias("s")),
-             likely.join(spread(twice), "window").select("doc_id", "digest", span(F.col("start"), F.col("start") + length).alias("s"))]
-    union = reduce(DataFrame.unionByName, [p.select("doc_id", "digest", F.col("s").cast("struct<start:long,stop:long>").alias("s")) for p in parts])
+    # windows in a row are one span
+    starts = likely.join(spread(twice), "window").groupBy("part").agg(F.collect_set("start").alias("starts"))
+    spans = [marked.filter("again").groupBy("part").agg(F.collect_set(F.struct(F.col("start"), (F.col("stop") + length).alias("stop"))).alias("spans")),
+             _rows_of(starts, length)]
+    kind = "array<struct<start:long,stop:long>>"
+    parts = [p.join(whose, "part").select("doc_id", "digest", F.col("spans").cast(kind).alias("spans")) for p in spans]
+    parts.append(pieces.filter(F.size("starts") > 0).select("doc_id", "digest", F.arrays_zip(F.col("starts").alias("start"), F.col("stops").alias("stop"))
+                                                            .cast(kind).alias("spans")))
+    union = reduce(DataFrame.unionByName, parts).select("doc_id", "digest", F.explode("spans").alias("s"))
     found = stored(union.groupBy("doc_id", "digest").agg(F.collect_set("s").alias("spans")), "spans")
     for table in (pieces, marked, open_, windows, likely):
         discard(table)
