@@ -13,6 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 
+_CACHING: list[tuple[str, Callable[[], None]]] = []
+
+
+def sole_cache(owner: str, release: Callable[[], None]) -> None:
+    """Called by an operator that remembers words: what another one remembered in this worker is released."""
+    if _CACHING and _CACHING[0][0] != owner:
+        _CACHING[0][1]()
+    _CACHING[:] = [(owner, release)]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

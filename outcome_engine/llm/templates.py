@@ -29,7 +29,8 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import keep_rows, slices, spread
+from .tables import keep_rows, slices, sole_cache, spread
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,8 @@ class _Vocabulary:
     def look_up(self, tokens: list[str]) -> np.ndarray:
         if len(self.place) > self.most:
             self.clear()
-        at = np.fromiter((self.place.get(t, -1) for t in tokens), np.int64, len(tokens))
+        sole_cache("templates", self.clear)
+        at = np.fromiter(map(self.place.get, tokens, repeat(-1)), np.int64, len(tokens))
         if (unknown := np.flatnonzero(at < 0)).size:
             new = list(dict.fromkeys(tokens[i] for i in unknown))
             kinds, hashes = zip(*map(self._classify, new))
@@ -116,15 +118,31 @@ class Canonical:
     opening: np.ndarray   # whether it is a capitalised word that opens a sentence: perhaps a name
     exact: np.ndarray     # hash of the value
     value: list[str]      # the token as written
-
-    def _hashes(self, code: np.ndarray, size: int) -> np.ndarray:
+    sums: dict = field(default_factory=dict)  # of each form: the longest window summed so far
+
+    def _hashes(self, form: str, size: int) -> np.ndarray:
+        """Hashes of all windows of a size, going on from a smaller size."""
+        done, power, out = self.sums.get(form, (0, np.ones(1, np.uint64), None))
+        if done > size or out is None:
+            done, power, out = 0, np.ones(1, np.uint64), np.zeros(len(self.code) + 1, np.uint64)
+        code = {"exact": self.exact, "code": self.code}.get(form)
+        if code is None:
+            code = np.where(self.opening, NAME_SLOT, self.code)
         n = len(code) - size + 1
-        power, base, out = np.ones(1, np.uint64), np.uint64(0x9E3779B97F4A7C15), np.full(n, size, np.uint64)
-        for j in range(size):
-            power = power * base
-            out += code[j:n + j] * power
+        for j in range(done, size):
+            power = power * np.uint64(0x9E3779B97F4A7C15)
+            out = out[:len(code) - j] + code[j:] * power
+        self.sums[form] = size, power, out
+        out = out[:n] + np.uint64(size)
         return out ^ (out >> np.uint64(29))
 
+    def _counts(self, form: str, size: int) -> np.ndarray:
+        """How many tokens of every window are placeholders, or opening words."""
+        if (form, 0) not in self.sums:
+            self.sums[form, 0] = np.concatenate([[0], np.cumsum(self.slot if form == "slot" else self.opening)])
+        c = self.sums[form, 0]
+        return c[size:] - c[:-size]
+
     def windows(self, size: int, least_literals: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the windows of a size that lie in one text: of values, or,
         if enough literals are left, with placeholders and with opening words as names."""
@@ -134,13 +152,11 @@ class Canonical:
         inside = self.doc[:n] == self.doc[size - 1:]
         if least_literals is None:
             at = np.flatnonzero(inside)
-            return at, self._hashes(self.exact, size)[at]
-        count = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[size:] - c[:-size]
-        slots, openings = count(self.slot), count(self.opening)
+            return at, self._hashes("exact", size)[at]
+        slots, openings = self._counts("slot", size), self._counts("opening", size)
         a = np.flatnonzero(inside & (slots > 0) & (size - slots >= least_literals))  # without slots the values are the window
         b = np.flatnonzero(inside & (openings > 0) & (size - slots - openings >= least_literals))
-        named = np.where(self.opening, NAME_SLOT, self.code)
-        return np.concatenate([a, b]), np.concatenate([self._hashes(self.code, size)[a], self._hashes(named, size)[b]])
+        return np.concatenate([a, b]), np.concatenate([self._hashes("code", size)[a], self._hashes("named", size)[b]])
 
 
 def canonical(texts: list[str | None]) -> Canonical:
