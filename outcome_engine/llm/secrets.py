@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -43,8 +43,7 @@ MIN_LITERAL, MIN_SCORE = 8, 0.45
 
 # Lexical grammar of the assignment lexer.
 _lexer = re.compile(r"""
-    (?P<skip>[ \t]+ | \\\r?\n)
-  | (?P<comment>/\*.*?\*/ | <!--.*?-->)
+    (?P<skip>[ \t]+ | \\\r?\n | /\* | \*/ | <!-- | -->)
   | (?P<line>\r?\n)
   | (?P<string>[bBuUrRfF]{0,2}(?:\"\"\".*?\"\"\" | '''.*?''' | "(?:[^"\\\n]|\\.)*" | '(?:[^'\\\n]|\\.)*' | `(?:[^`\\\n]|\\.)*`))
   | (?P<name>[A-Za-z_][A-Za-z0-9_.-]*[A-Za-z0-9_]|[A-Za-z_])
@@ -97,8 +96,19 @@ class _Literal:
 
 
 def assignments(text: str) -> list[tuple[str, str | _Literal]]:
-    """Pairs of a name and what it is given: a literal (joined over ``+``) or another name."""
-    tokens = [(m.lastgroup, m.start(), m.end()) for m in _lexer.finditer(text) if m.lastgroup not in ("skip", "comment")]
+    """Pairs of a name and what it is given: a literal (joined over ``+``) or another name.
+
+    Comments are read like the rest, as a secret in one is no less known; tokens are
+    read one by one, and only a chain of joined literals is held.
+    """
+    source = ((m.lastgroup, m.start(), m.end()) for m in _lexer.finditer(text) if m.lastgroup != "skip")
+    ahead: deque[tuple[str, int, int]] = deque()
+
+    def peek(k: int) -> tuple[str, int, int]:
+        while len(ahead) <= k:
+            ahead.append(next(source, ("end", len(text), len(text))))
+        return ahead[k]
+
     out: list[tuple[str, str | _Literal]] = []
 
     def literal(kind: str, a: int, b: int) -> _Literal:
@@ -109,20 +119,26 @@ def assignments(text: str) -> list[tuple[str, str | _Literal]]:
         a = b - len(body)
         return _Literal(body[quote:len(body) - quote], [(a + quote, b - quote)])
 
-    for i, (kind, a, b) in enumerate(tokens):
-        if kind != "assign" or text[a:b] not in ASSIGNS or not i or i + 1 >= len(tokens):
+    now = ("end", 0, 0)
+    while True:
+        before, now = now, peek(0)
+        ahead.popleft()
+        kind, a, b = now
+        if kind == "end":
+            return out
+        if kind != "assign" or text[a:b] not in ASSIGNS:
             continue
-        before, after = tokens[i - 1], tokens[i + 1]
         if before[0] == "name":
             name = text[before[1]:before[2]]
         elif before[0] == "string":
             name = literal(*before).value
         else:
             continue
+        after = peek(0)
         if after[0] == "string":
-            value, j = literal(*after), i + 2
-            while j + 1 < len(tokens) and tokens[j][0] == "plus" and tokens[j + 1][0] == "string":
-                more = literal(*tokens[j + 1])
+            value, j = literal(*after), 1
+            while peek(j)[0] == "plus" and peek(j + 1)[0] == "string":
+                more = literal(*peek(j + 1))
                 value.value += more.value
                 value.parts += more.parts
                 j += 2
@@ -132,7 +148,6 @@ def assignments(text: str) -> list[tuple[str, str | _Literal]]:
             if after[0] == "name" and m.end() == after[2]:
                 out.append((name, bare))  # a constant's name, or an unquoted value
             out.append((name, _Literal(bare, [(m.start(), m.end())])))
-    return out
 
 
 def lexed_spans(text: str) -> list[Span]:

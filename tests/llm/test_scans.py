@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -42,7 +43,26 @@ def test_lexer_reads_several_syntaxes():
     assert literals("client_secret: Zk3v9QpL0aX\nurl: http://example.org/a") == ["Zk3v9QpL0aX"]
     assert literals('{"access_key": "q8R2-xYzP01m", "name": "q8R2-xYzP01m"}') == ["q8R2-xYzP01m"]
     assert literals('auth_token := "ab12CD" + "34efGH"') == ["34efGH", "ab12CD"]
-    assert literals("/* token = 'aB3dE5fG7hJ9' */ x = 1") == []
+    assert literals("/* token = 'aB3dE5fG7hJ9' */ x = 1") == ["aB3dE5fG7hJ9"]
+
+
+def test_lexer_reads_comments_and_is_not_lost_in_them():
+    assert literals('/* db_pwd = "Xy7abc9912Qz" */') == ["Xy7abc9912Qz"]
+    assert literals('<!-- api_secret: "Xy7abc9912Qz" -->') == ["Xy7abc9912Qz"]
+    assert literals('include = dist/*\nauth_token = "aB3dE5fG7hJ9"\nexclude = src/*/x\n') == ["aB3dE5fG7hJ9"]
+    assert literals("/* never closed\nclient_secret = 'Zk3v9QpL0aX'") == ["Zk3v9QpL0aX"]
+
+
+HOSTILE = ["/*", "*", "<!--", '"', "'", "`", '"""', "'" * 3, "\\", "a = ", "token", "b'", 'x: "', "-", "/* ' \" ", "'\n", '"""\'\'\'', "a='\\\n"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_lexer_is_linear_in_hostile_texts(piece):
+    """Half a megabyte of openers that nothing closes takes seconds, not hours."""
+    text = piece * ((1 << 19) // len(piece))
+    start = time.time()
+    lexed_spans(text)
+    assert time.time() - start < 8
 
 
 def test_constants_carry_sensitivity_over_several_names():
