@@ -22,11 +22,13 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from .tables import sole_cache
+
 #: Unicode White_Space, which is what \s means in the tokenizers' patterns (fixed values).
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 START, END = "\ud800", "\ud801"  # in no valid text
 #: Distinct atoms that a worker remembers; beyond it the cache starts anew (bounded memory).
-MAX_ATOMS = 2_000_000
+MAX_ATOMS = 1_000_000
 
 _run = re.compile(f"[^{WS}]+")
 _byte_atom = re.compile(f"( ?)([^{WS}]+)|[{WS}]+(?![^{WS}])|[{WS}]")
@@ -51,6 +53,23 @@ def byte_atoms(text: str) -> list[str]:
     return atoms
 
 
+class _Grown:
+    """An array that grows at its end, without a copy of the whole each time."""
+
+    def __init__(self, dtype: type):
+        self.held, self.n = np.empty(1 << 10, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.held[:self.n], np.empty(max(len(values), self.n // 2 + 1), self.held.dtype)])
+        self.held[self.n:self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[:self.n]
+
+
 class AtomEncoder:
     """Encodes whole texts to id arrays; one instance lives in each Python worker."""
 
@@ -68,9 +87,7 @@ class AtomEncoder:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self._start, self._size, self._ids = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint32)
 
     def _text(self, key: str) -> str:
         if not self.spaced:
@@ -79,14 +96,14 @@ class AtomEncoder:
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the atoms at these places, one after the other, and each atom's end among them."""
-        sizes = self.size[at]
+        sizes = self._size.values[at]
         ends = np.cumsum(sizes)
-        return self.ids[np.arange(ends[-1] if ends.size else 0) + np.repeat(self.start[at] - ends + sizes, sizes)], ends
+        return self._ids.values[np.arange(ends[-1] if ends.size else 0) + np.repeat(self._start.values[at] - ends + sizes, sizes)], ends
 
     def _add(self, keys: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        self.start = np.concatenate([self.start, self.ids.size + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, ids])
+        self._start.add(self._ids.n + np.cumsum(size) - size)
+        self._size.add(size)
+        self._ids.add(ids)
         self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys))))
 
     def _learn(self, keys: list[str]) -> None:
@@ -142,6 +159,7 @@ _ENCODERS: dict[tuple[str, str], AtomEncoder] = {}
 
 def encoder(path: str, kind: str) -> AtomEncoder:
     """The worker's encoder for a tokenizer file; kind: ``word`` or ``byte``."""
+    sole_cache("encoding", _ENCODERS.clear)
     if (path, kind) not in _ENCODERS:
         _ENCODERS[path, kind] = AtomEncoder(path, kind)
     return _ENCODERS[path, kind]
