@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import by_text, keep_rows
+from .tables import by_text, keep_rows, sole_cache
 
 MAX_SAMPLE = 20_000
 CELLS = 1 << 16  # words in one step of forward-backward
@@ -99,6 +99,10 @@ class _Known:
 _KNOWN = _Known()
 
 
+def _forget() -> None:
+    _KNOWN.key, _KNOWN.place, _KNOWN.scores = None, {}, np.zeros((0, 0))
+
+
 @dataclass
 class LanguageField:
     languages: list[str]
@@ -116,6 +120,7 @@ class LanguageField:
     def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each word's scores (words x languages), and whether it holds a letter."""
         known = _KNOWN
+        sole_cache("language", _forget)
         if known.key != self.key or len(known.place) > self.rules.cached_words:
             known.key, known.place, known.scores = self.key, {}, np.zeros((0, len(self.languages) + 1), np.float32)
         at = np.fromiter(map(known.place.get, words, repeat(-1)), np.int64, len(words))
