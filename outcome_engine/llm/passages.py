@@ -291,25 +291,34 @@ def merge_runs(runs: list[np.ndarray]) -> np.ndarray:
     return level[0][1] if level else np.zeros(0, np.uint64)
 
 
-def shared_hashes(packed: DataFrame, step: int = 1) -> DataFrame:
-    """(h) of the hashes that occur twice or more: sorted runs of many rows, cut into ranges, are merged range by range.
+def short_hash(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """What ``shared_hashes`` tells apart of a hash, with ``2 ** bits`` ranges: the range and 32 bits below it, mixed anew."""
+    return (hashes >> np.uint64(32 - bits)) * np.uint64(0x9E3779B97F4A7C15)
 
-    ``packed`` has one binary column of 64-bit hashes, every ``step``-th of its numbers one.
+
+def shared_hashes(packed: DataFrame, step: int = 1) -> tuple[DataFrame, int]:
+    """(h) of the short hashes that occur twice or more, and the ``bits`` that they were shortened by.
+
+    Sorted runs of many rows are cut into ranges of the hashes, and all runs of a
+    range are merged.  Below its range 32 bits of a hash are sent: different hashes
+    may then count as one, which a filter may do.  ``packed`` has one binary column of
+    64-bit hashes, every ``step``-th of its numbers one.
     """
     size = packed.agg(F.sum(F.octet_length(packed.columns[0])).alias("b")).first()["b"] or 0
     ranges = max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // step // (32 << 20))
+    bits = min(31, max(1, (ranges - 1).bit_length()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = (np.arange(ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64)
         held, size = [], 0
 
         def close() -> pa.RecordBatch:
-            keys, count = np.unique(np.concatenate(held), return_counts=True)
-            at = np.append(np.searchsorted(keys, bounds), len(keys))
-            full = np.flatnonzero(np.diff(at))
+            keys, count = np.unique(np.concatenate(held) >> np.uint64(32 - bits), return_counts=True)
+            group, low = (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32)
+            starts = np.flatnonzero(np.diff(group, prepend=-1))
+            parts = list(zip(starts, np.append(starts[1:], len(keys))))
             return pa.RecordBatch.from_arrays([
-                pa.array(full), pa.array([keys[at[i]:at[i + 1]].tobytes() for i in full], pa.binary()),
-                pa.array([keys[at[i]:at[i + 1]][count[at[i]:at[i + 1]] > 1].tobytes() for i in full], pa.binary())], ["range", "run", "many"])
+                pa.array(group[starts]), pa.array([low[a:b].tobytes() for a, b in parts], pa.binary()),
+                pa.array([low[a:b][count[a:b] > 1].tobytes() for a, b in parts], pa.binary())], ["range", "run", "many"])
 
         for batch in batches:
             for x in batch.column(0).to_pylist():
@@ -323,14 +332,15 @@ def shared_hashes(packed: DataFrame, step: int = 1) -> DataFrame:
             yield close()
 
     def merge(table: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(x, "<u8") for x in table.column("run").to_pylist()]
-        many = [np.frombuffer(x, "<u8") for x in table.column("many").to_pylist()]
-        return pa.table([pa.array(np.unique(np.concatenate([merge_runs(runs), *many])).view(np.int64))], ["h"])
+        runs, many = ([np.frombuffer(x, "<u4") for x in table.column(c).to_pylist()] for c in ("run", "many"))
+        low = np.unique(np.concatenate([merge_runs(runs).astype(np.uint32), *many])).astype(np.uint64)
+        keys = low | np.uint64(table.column("range")[0].as_py()) << np.uint64(32)
+        return pa.table([pa.array(short_hash(keys << np.uint64(32 - bits), bits).view(np.int64))], ["h"])
 
-    return packed.mapInArrow(cut, "range long, run binary, many binary").groupBy("range").applyInArrow(merge, "h long")
+    return packed.mapInArrow(cut, "range long, run binary, many binary").groupBy("range").applyInArrow(merge, "h long"), bits
 
 
-def _suspects(pieces: DataFrame, cores) -> DataFrame:
+def _suspects(pieces: DataFrame, cores: Broadcast, bits: int) -> DataFrame:
     """(part, start, stop, region, core) of each region whose core passes the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,7 +349,7 @@ def _suspects(pieces: DataFrame, cores) -> DataFrame:
             if not sizes.sum():
                 continue
             core = np.frombuffer(b"".join(r["cores"] for r in rows), "<u8")
-            hit = np.flatnonzero(cores.value.holds(core))
+            hit = np.flatnonzero(cores.value.holds(short_hash(core, bits)))
             owner = np.searchsorted(np.cumsum(sizes), hit, "right")
             flat = lambda c: np.fromiter((x for r in rows for x in r[c]), np.int64, int(sizes.sum()))[hit]
             regions = b"".join(r["regions"] for r in rows)
@@ -365,7 +375,7 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("part", "regions", "text").mapInArrow(run, "part long, starts binary, windows binary")
 
 
-def _passing(windows: DataFrame, known: Broadcast) -> DataFrame:
+def _passing(windows: DataFrame, known: Broadcast, bits: int) -> DataFrame:
     """(part, start, window) of the windows whose hash passes the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,7 +383,7 @@ def _passing(windows: DataFrame, known: Broadcast) -> DataFrame:
                 part = batch.slice(begin, 64)
                 packed = part.column("windows").to_pylist()
                 whole = b"".join(packed)
-                hit = np.flatnonzero(known.value.holds(np.frombuffer(whole, "<u8")[::2]))
+                hit = np.flatnonzero(known.value.holds(short_hash(np.frombuffer(whole, "<u8")[::2], bits)))
                 owner = pa.array(np.searchsorted(np.cumsum([len(x) // 16 for x in packed]), hit, "right"))
                 starts = np.frombuffer(b"".join(part.column("starts").to_pylist()), "<i8")
                 yield pa.RecordBatch.from_arrays([part.column("part").take(owner), pa.array(starts[hit]),
@@ -419,7 +429,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, shar
     # a piece of a text goes by a number from here on
     pieces = stored(_shards(docs, length, core, shard_bytes).withColumn("part", F.monotonically_increasing_id()), "pieces")
     whose = pieces.select("part", "doc_id", "digest")
-    suspects = _suspects(pieces, hash_filter(shared_hashes(pieces.select("cores"))))
+    hashes, bits = shared_hashes(pieces.select("cores"))
+    suspects = _suspects(pieces, hash_filter(hashes), bits)
     again = suspects.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region", F.lit(True).alias("again"))
     marked = stored(suspects.join(spread(again), "region", "left").select(*suspects.columns, "again"), "regions")
     # windows of the other regions may lie in a region that is settled as a whole: one of each such kind is compared with them
@@ -431,7 +442,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, shar
     # only the texts that may hold such regions are shuffled
     texts = docs.filter(_may_hold(hash_filter(open_.select(_key().alias("h")))))
     windows = stored(_windows(texts.join(spread(open_), ["doc_id", "digest"]), length), "windows")
-    likely = stored(_passing(windows, hash_filter(shared_hashes(windows.select("windows"), 2))), "likely-windows")
+    hashes, bits = shared_hashes(windows.select("windows"), 2)
+    likely = stored(_passing(windows, hash_filter(hashes), bits), "likely-windows")
+    discard(windows)
     twice = likely.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
     # windows in a row are one span
     starts = likely.join(spread(twice), "window").groupBy("part").agg(F.collect_set("start").alias("starts"))
@@ -443,7 +456,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, shar
                                                             .cast(kind).alias("spans")))
     union = reduce(DataFrame.unionByName, parts).select("doc_id", "digest", F.explode("spans").alias("s"))
     found = stored(union.groupBy("doc_id", "digest").agg(F.collect_set("s").alias("spans")), "spans")
-    for table in (pieces, marked, open_, windows, likely):
+    for table in (pieces, marked, open_, likely):
         discard(table)
     return found
 
