@@ -287,6 +287,24 @@ def test_suffix_order_and_common_prefixes():
             assert got[b] == same
 
 
+def test_window_classes_need_no_order_beyond_the_window(monkeypatch):
+    import numpy as np
+
+    from outcome_engine.llm import passages
+
+    monkeypatch.setattr(passages, "suffix_array", None)  # the whole order
+    monkeypatch.setattr(passages, "common_prefixes", None)
+    rng = random.Random(6)
+    for _ in range(300):
+        d = bytes(rng.choice(b"ab\x00cdefgh"[:rng.choice([1, 2, 3, 9])]) for _ in range(rng.randint(1, 150)))
+        d = d + b"\xff" + d[rng.randint(0, len(d)):] + b"\xff" + d if rng.random() < 0.5 else d
+        n = rng.choice([1, 2, 5, 8, 13, 40])
+        windows = [d[i:i + n] for i in range(len(d) - n + 1)]
+        repeated, first = passages.window_classes(np.frombuffer(d, np.uint8), n)
+        assert repeated[:len(windows)].tolist() == [windows.count(w) > 1 for w in windows]
+        assert first[:len(windows)].tolist() == [windows.index(w) == i for i, w in enumerate(windows)]
+
+
 def test_merged_runs():
     import numpy as np
 
