@@ -195,7 +195,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, kind: str = "byte", e
             shard, first, held = shard + 1, first + len(ids), []
             return pa.RecordBatch.from_pylist([row], schema=_shard_schema())
 
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 4 << 20):  # each different word of a slice is looked up once
             ids, lengths = encoder(tokenizer, kind).encode(batch.column("text").to_pylist(), end_id)
             held.append((ids, lengths, batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist()))
             if sum(len(h[0]) for h in held) >= shard_tokens:

@@ -37,3 +37,34 @@ def test_end_id_and_forgotten_cache():
     for _ in range(3):
         ids, sizes = e.encode(["one two three", None, "four"], end=1)
         assert sizes.tolist() == [4, 1, 2] and ids[[3, 4, 6]].tolist() == [1, 1, 1]
+
+
+@pytest.mark.parametrize("kind", FILES)
+def test_many_new_words_take_few_calls_and_one_lookup_each(kind):
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, 0
+
+        def __getattr__(self, name):
+            def call(texts, **kw):
+                self.texts += len(texts)
+                return getattr(self.tokenizer, name)(texts, **kw)
+            return call
+
+    class Places(dict):
+        looked_up = 0
+
+        def get(self, *args):
+            Places.looked_up += 1
+            return super().get(*args)
+
+    e = AtomEncoder(public_tokenizers.path(FILES[kind]), kind)
+    plain, e.place, e.tokenizer = e.tokenizer, Places(), Counted(e.tokenizer)
+    words = [f"{a}{b}{c}" for a in "bcdfgé" for b in "aeiou" for c in ("x'yz", "word,", "l日", "n9.!", "st")]
+    texts = [" ".join(words[i:] + words) for i in range(0, len(words), 10)]
+    ids, sizes = e.encode(texts)
+    whole = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for x in whole for i in x]
+    assert sizes.tolist() == [len(x) for x in whole]
+    assert e.tokenizer.texts < 30
+    assert Places.looked_up < 2 * len(words)
