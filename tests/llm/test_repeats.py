@@ -305,6 +305,29 @@ def test_window_classes_need_no_order_beyond_the_window(monkeypatch):
         assert first[:len(windows)].tolist() == [windows.index(w) == i for i, w in enumerate(windows)]
 
 
+def test_a_shard_holds_few_arrays_at_once():
+    import tracemalloc
+
+    from outcome_engine.llm import passages
+
+    pieces = [(i, b"%d" % i, 0, words(i, 90).encode()) for i in range(1200)]
+    size = sum(len(p[3]) for p in pieces)
+    tracemalloc.start()
+    passages._shard_rows(pieces, 400, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * size
+
+
+def test_passages_run_one_python_step_a_task_at_the_end(spark):
+    """A filter in Python below the step that writes the rows would be a second worker beside it in each task."""
+    df = spark.createDataFrame(passage_docs(7, 24), "doc_id long, text string").repartition(3)
+    out = remove_repeats(df, length=24, core=16, shard_bytes=400)
+    below = out._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")[2]
+    assert below.count("ArrowEvalPython") == 1  # of the rows that are joined, before their shuffle
+    assert "Exchange" in below.partition("ArrowEvalPython")[0]
+
+
 def test_merged_runs():
     import numpy as np
 
